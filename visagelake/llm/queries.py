@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import bpe
+from visagelake.llm import _scratch, bpe, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
+
+
+QUERIES = {"op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
