@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, html, secrets
+from visagelake.llm import _scratch, bpe, html, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
 
 
-QUERIES = {"op6_html": op6_html, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
