@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, html, secrets, sharding
+from visagelake.llm import _scratch, bpe, decontamination, html, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -27,5 +31,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
 
 
-QUERIES = {"op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op2_decontamination": op2_decontamination, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
