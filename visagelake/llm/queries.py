@@ -3,13 +3,17 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, decontamination, html, secrets, sharding
+from visagelake.llm import _scratch, bpe, decontamination, html, quality, rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -19,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -31,5 +39,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
