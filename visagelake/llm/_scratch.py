@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +31,8 @@ def drop(df: DataFrame) -> None:
     for directory in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(directory)
         path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcasting if a count shows at most so many rows; a larger table is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visagelake.llm import _scratch
+from visagelake.llm._scratch import small
 
 NUMBER, NAME, UNIT = "\x02num", "\x02name", "\x02unit"
 TOKENS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[.!?:;|\n%$€£]"
@@ -68,11 +69,6 @@ def literal_enough(canon: Column, at: Column, length: int) -> Column:
     return F.size(literal) * 2 >= length
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcasting if it has at most so many rows; larger tables are shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, decontamination, html, quality, rules, secrets, sharding
+from visagelake.llm import _scratch, bpe, chat, decontamination, html, quality, rules, secrets, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -39,5 +47,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+ORACLE: dict[str, str] = {"op3_urls": urls.oracle()}
