@@ -23,7 +23,9 @@ def test_spread_over_links(spark):
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()]
     assert len(got) == len(rows) and got.count((1, "a.net", "/x", "net/", "block")) == 2
     by = {g[0]: g for g in got}
-    assert by[2] == (2, "b.com", "/z", None, "block")
+    assert by[2] == (2, "b.com", "/z", None, "allow")  # distrust through a.net, and trust from d.org
+    without = {r.page_id: r.verdict for r in urls.judge(pages.where("coalesce(page_id, 0) <> 6")).collect()}
+    assert without[2] == "block" and without[3] == "allow"
     assert by[3][4] == "allow" and by[4] == (4, "", "", None, "allow") and by[5][1:3] == ("", "")
     assert by[6] == (6, "d.org", "/fr/x", "org/fr/", "allow") and by[7][2:] == ("", None, "allow")
     assert by[8][3:] == ("example.net/en/", "allow") and by[None] == (None, "example.net", "/EN/", "net/", "block")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, chat, decontamination, html, quality, rules, secrets, sharding, urls
+from visagelake.llm import _scratch, bpe, chat, decontamination, html, neardup, quality, rules, secrets, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +51,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
-ORACLE: dict[str, str] = {"op3_urls": urls.oracle()}
+QUERIES = {"op1_neardup": op1_neardup, "op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+ORACLE: dict[str, str] = {"op1_neardup": neardup.ORACLE, "op3_urls": urls.oracle()}
