@@ -17,12 +17,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visagelake.llm._arrow import slices
+
 #: Pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept per Python worker before the cache starts anew.
-CACHE_WORDS = 150_000
-#: Texts encoded together; bounds the memory of the occurrence index.
-ENCODE_CHARS = 2_000_000
+CACHE_WORDS = 200_000
+#: No symbol: merged away, or past the end of a word.
+NONE = -1
+#: Bytes of text, or ids, handled together; bounds the memory of the occurrence index.
+TOGETHER = 3_000_000
 
 
 def byte_letters() -> list[str]:
@@ -38,6 +42,16 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the places of a pair of equal symbols, those that are merged: leftmost first, none inside another."""
+    kept, taken = [], -1
+    for i, j in zip(places.tolist(), after[places].tolist(), strict=True):
+        if i != taken:
+            kept.append(i)
+            taken = j
+    return np.array(kept, dtype=places.dtype)
+
+
 class Vocabulary:
     """Ids, merge ranks and token bytes of a tokenizer file, with the encoder over them."""
 
@@ -47,14 +61,13 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.start = [ids[c] for c in letters]
-        self.merges: dict[int, tuple[int, int]] = {}
-        self.pair_of: list[int] = []
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            key = ids[left] << 32 | ids[right]
-            self.merges[key] = (rank, ids[left + right])
-            self.pair_of.append(key)
+        self.start = np.array([ids[c] for c in letters], dtype=np.int64)
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        self.pair_of = [ids[left] << 32 | ids[right] for left, right in merges]
+        self.made = [ids[left + right] for left, right in merges]
+        pairs = np.array(self.pair_of, dtype=np.int64)
+        self.ranks = np.append(np.argsort(pairs, kind="stable"), 0)
+        self.keys = np.append(pairs[self.ranks[:-1]], np.iinfo(np.int64).max)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, i in ids.items():
@@ -77,72 +90,70 @@ class Vocabulary:
 
     def learn(self, fresh: list[str]) -> None:
         """Encode pre-tokens into the cache, as packed 32-bit ids."""
-        symbols: list[int] = []
-        after: list[int] = []
-        ends: list[int] = []
-        start = self.start
-        for word in fresh:
-            raw = word.encode("utf-8", "surrogatepass")
-            base = len(symbols)
-            symbols.extend([start[b] for b in raw])
-            after.extend(range(base + 1, base + len(raw) + 1))
-            after[-1] = -1
-            ends.append(len(symbols))
-        before = [-1] * len(symbols)
-        where: dict[int, list[int]] = {}
-        merges, heap = self.merges, []
-
-        def note(key: int, position: int) -> None:
-            if (found := merges.get(key)) is not None:
-                if (places := where.get(key)) is None:
-                    where[key] = [position]
-                    heapq.heappush(heap, found[0])
+        words = [word.encode("utf-8", "surrogatepass") for word in fresh]
+        if not words:
+            return
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        symbols = np.empty(n + 1, dtype=np.int64)
+        symbols[:n] = self.start[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        symbols[n] = NONE  # what the ends of words point to
+        after = np.arange(1, n + 2)
+        after[ends - 1] = n
+        before = np.arange(-1, n)
+        before[ends - sizes] = n
+        keys, ranks, made_by = self.keys, self.ranks, self.made
+        where: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(positions: np.ndarray) -> None:
+            pair = symbols[positions] << 32 | symbols[after[positions]]
+            at = np.searchsorted(keys, pair)
+            hit = keys[at] == pair
+            rank, positions = ranks[at[hit]], positions[hit]
+            if not len(rank):
+                return
+            order = np.argsort(rank, kind="stable")
+            rank, positions = rank[order], positions[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, places in zip(rank[np.concatenate(([0], cuts))].tolist(), np.split(positions, cuts), strict=True):
+                if r in where:
+                    where[r].append(places)
                 else:
-                    places.append(position)
+                    where[r] = [places]
+                    heapq.heappush(heap, r)
 
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                note(symbols[i] << 32 | symbols[j], i)
+        note(np.arange(n))
         while heap:
-            key = self.pair_of[heapq.heappop(heap)]
-            left, right, made = key >> 32, key & 0xFFFFFFFF, merges[key][1]
-            for i in sorted(where.pop(key)):
-                if symbols[i] != left or (j := after[i]) < 0 or symbols[j] != right:
-                    continue
-                symbols[i], symbols[j] = made, -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                    note(made << 32 | symbols[k], i)
-                if (h := before[i]) >= 0:
-                    note(symbols[h] << 32 | made, h)
-        flat = np.array(symbols, dtype=np.int32)
-        base = 0
-        for word, end in zip(fresh, ends, strict=True):
-            one = flat[base:end]
+            rank = heapq.heappop(heap)
+            left, right, made = self.pair_of[rank] >> 32, self.pair_of[rank] & 0xFFFFFFFF, made_by[rank]
+            found = where.pop(rank)
+            places = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            places = places[(symbols[places] == left) & (symbols[after[places]] == right)]
+            if left == right and len(places) > 1:
+                places = apart(places, after)
+            if not len(places):
+                continue
+            gone = after[places]
+            symbols[places], symbols[gone] = made, NONE
+            after[places] = further = after[gone]
+            before[further] = places
+            symbols[n], after[n] = NONE, n
+            note(np.concatenate((before[places], places)))
+        for word, one in zip(fresh, np.split(symbols[:n].astype(np.int32), ends[:-1]), strict=True):
             self.cache[word] = one[one >= 0].tobytes()
-            base = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and (upto == at or chars < ENCODE_CHARS):
-                chars += len(texts[upto])
-                upto += 1
-            split = [self.pieces(t) for t in texts[at:upto]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {}
-            for token, i in self.special.items():
-                self.cache[token] = np.int32(i).tobytes()
-            self.learn(list({w for words in split for w in words if w not in self.cache}))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-            at = upto
-        return out
+        split = [self.pieces(t) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
+        for token, i in self.special.items():
+            self.cache[token] = np.int32(i).tobytes()
+        self.learn(list({w for words in split for w in words if w not in self.cache}))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -164,7 +175,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 1, TOGETHER)):
             packed = vocab.encode([t or "" for t in batch.column(1).to_pylist()])
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
@@ -185,7 +196,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 1, TOGETHER)):
             lists = batch.column(1)
             texts = [vocab.decode(lists[i].values.to_numpy(zero_copy_only=False).tolist() if lists[i].is_valid else []) for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["id", "token_ids", "decoded"])
@@ -195,10 +206,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return made.withColumnsRenamed({"id": id_col, "token_ids": ids_col})
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Count and digests of what encode() and decode() returned."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """Count and digests of what encode() and decode() returned, and the columns in more."""
     return decoded.select(
         F.col(id_col),
+        *more,
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
