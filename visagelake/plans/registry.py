@@ -1,4 +1,6 @@
 """Name to query and name to DuckDB SQL, gathered from the query modules."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from visagelake.plans import collection
+
+QUERIES = dict(collection.QUERIES)
+ORACLE = dict(collection.ORACLE)
