@@ -67,7 +67,7 @@ def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
 def condense(part: pd.DataFrame) -> pd.DataFrame:
     """Work off the edges of one component in ascending order.
 
-    Rows of kind n are nodes (id, size, open, inner, cluster): open is the sum of density at which points left the node's open cluster, inner the best stability below it.
+    Columns that a kind of row has no use for hold 0, not null, so that ids stay whole numbers. Rows of kind n are nodes (id, size, open, inner, cluster): open is the sum of density at which points left the node's open cluster, inner the best stability below it.
     Edges are rows of kind e. Gives the contracted node, and for every cluster that ended here: parent, own stability, stability of its children.
     """
     nodes, edges = part[part["kind"] == "n"], part[part["kind"] == "e"].sort_values(["w", "a", "b"])
@@ -107,9 +107,9 @@ def condense(part: pd.DataFrame) -> pd.DataFrame:
             out += [("c", ci, cluster, False), ("c", cj, cluster, False)]
             state[i] = [2, 2 * density, 0.0, cluster]
     (n, open_, inner, cluster) = state[root(top)]
-    rows = [{"kind": "c", "name": name, "parent": parent, "wins": wins} for _, name, parent, wins in out]
-    rows.append({"kind": "n", "id": top, "size": n, "open": open_, "inner": inner, "cluster": cluster})
-    return pd.DataFrame(rows, columns=["kind", "id", "size", "open", "inner", "cluster", "name", "parent", "wins"]).astype({"id": "Int64", "size": "Int64"})
+    rows = [("c", 0, 0, 0.0, 0.0, "", name, parent, wins) for _, name, parent, wins in out]
+    rows.append(("n", top, n, open_, inner, cluster, "", "", False))
+    return pd.DataFrame(rows, columns=["kind", "id", "size", "open", "inner", "cluster", "name", "parent", "wins"])
 
 
 CONDENSED = "kind string, id bigint, size bigint, open double, inner double, cluster string, name string, parent string, wins boolean"
@@ -134,8 +134,8 @@ def cluster_faces(faces: DataFrame, core_k: int = 2, block_rows: int = 1500, lev
     for level, cut in enumerate(cuts):
         now = edges.where(F.col("w") <= cut)
         to = components(now.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "id", "component": "top"})
-        grouped_nodes = nodes.join(to, "id").select(F.lit("n").alias("kind"), "top", "id", "size", "open", "inner", "cluster", *(F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("w", "double"), ("x", "long"), ("y", "long"))))
-        grouped_edges = now.join(to.withColumnRenamed("id", "x"), "x").select(F.lit("e").alias("kind"), "top", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("open", "double"), ("inner", "double"), ("cluster", "string"))), "a", "b", "w", "x", "y")
+        grouped_nodes = nodes.join(to, "id").select(F.lit("n").alias("kind"), "top", "id", "size", "open", "inner", "cluster", *(F.lit(0).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("w", "double"), ("x", "long"), ("y", "long"))))
+        grouped_edges = now.join(to.withColumnRenamed("id", "x"), "x").select(F.lit("e").alias("kind"), "top", *(F.lit(0).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("open", "double"), ("inner", "double"), ("cluster", "string"))), "a", "b", "w", "x", "y")
         done = tables.save(grouped_nodes.unionByName(grouped_edges).withColumn("level", F.lit(level)).groupBy("top").applyInPandas(condense, CONDENSED), "condensed")
         parents.append(done.where("kind = 'c'").select("name", "parent", "wins"))
         fresh = done.where("kind = 'n'").select("id", "size", "open", "inner", "cluster")

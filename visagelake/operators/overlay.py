@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from visagelake.functions import records
 
@@ -13,13 +14,13 @@ def geometry(faces: DataFrame) -> DataFrame:
     return faces.select("media_id", "face_index", *(v.alias("p" + c) for c, v in corners.items()), records.colour(F.col("face_index")).alias("colour"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def two_places(v: pd.Series) -> pd.Series:
     """Number with two decimals, rounded from its binary value as the panel shows it."""
     return v.map(lambda x: None if pd.isna(x) else f"{x:.2f}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def signed_place(v: pd.Series) -> pd.Series:
     """Number with its sign and one decimal."""
     return v.map(lambda x: None if pd.isna(x) else f"{x:+.1f}")

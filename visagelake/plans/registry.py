@@ -1,6 +1,6 @@
 """Name to query and name to DuckDB SQL, gathered from the query modules."""
 
-from visagelake.plans import collection
+from visagelake.plans import collection, faces
 
-QUERIES = dict(collection.QUERIES)
-ORACLE = dict(collection.ORACLE)
+QUERIES = collection.QUERIES | faces.QUERIES
+ORACLE = collection.ORACLE | faces.ORACLE

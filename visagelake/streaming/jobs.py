@@ -10,9 +10,10 @@ from visagelake.operators import sidecar
 FAILURES_KEPT = "24 hours"
 
 
-def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
-    """A folder of Parquet files as a stream of its rows."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def table_stream(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 10) -> DataFrame:
+    """The Parquet files of a folder whose names fit a pattern, as a stream of their rows."""
+    kind = spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    return spark.readStream.schema(kind).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def discover(paths_stream: DataFrame) -> DataFrame:
