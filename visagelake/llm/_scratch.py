@@ -1,38 +1,5 @@
-"""Intermediate tables in the shared folder of the cluster, which cut lineage and outlive lost executors."""
+"""Intermediate tables of the operators: those of the collection library."""
 
-import tempfile
-import uuid
+from visagelake.operators.tables import drop, folder, save, small
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="visagelake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back; the plan above it then starts at those files."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/visagelake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by save() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for directory in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(directory)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcasting if a count shows at most so many rows; a larger table is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = ["drop", "folder", "save", "small"]

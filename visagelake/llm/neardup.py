@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from visagelake.llm import _scratch
 from visagelake.llm._arrow import slices
-from visagelake.llm.components import components
+from visagelake.operators.graph import components
 
 #: Chance that a pair at the least similarity falls below the match threshold.
 RISK = 1e-9
 #: Buckets of the sketch of coordinate frequencies; rows of a posting block; shingles of a confirmation block.
 SKETCH, LIST_ROWS, SET_SHINGLES = 1 << 16, 1000, 200_000
 TOGETHER = 4_000_000
+#: Hash buckets of ids that keep most texts without a loose partner out of the shuffle for the confirmation.
+MEMBER_BUCKETS = 1 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -289,7 +291,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     members = _scratch.save(members, "members")
     weights = members.groupBy("cluster").agg(F.sum("n").alias("all"))
     dealt = blocks(members.join(weights, "cluster"), F.ceil(F.col("all") / SET_SHINGLES), "digest")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(dealt, "rep")
+    bucket = lambda: F.pmod(F.xxhash64("rep"), F.lit(MEMBER_BUCKETS))
+    likely = F.broadcast(members.select(bucket().alias("bucket")).distinct())  # MEMBER_BUCKETS rows at most
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("bucket", bucket())
+    texts = texts.join(likely, "bucket", "left_semi").join(dealt.hint("merge"), "rep")
     linked = components(confirmed_edges(sets_of(texts, words), percent))
     named = classes.select("digest", "rep").join(linked.withColumnsRenamed({"node": "rep", "component": "found"}), "rep", "left")
     named = named.select("digest", F.coalesce("found", "rep").alias("component"))
