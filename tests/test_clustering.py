@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from visagelake.operators import clustering, vectors
 
@@ -97,3 +98,20 @@ def test_block_size_does_not_change_neighbours(spark):
     unit = vectors.normalize(faces_of(spark, blobs(1, 3, 10, 5)))
     want = sorted(tuple(r)[:4] + (r["rank"],) for r in vectors.top_k(unit, 4).collect())
     assert sorted(tuple(r)[:4] + (r["rank"],) for r in vectors.top_k(unit, 4, block_rows=7).collect()) == want
+
+
+def test_collection_entries_and_summary(spark):
+    x = np.repeat(np.eye(4)[:2], 4, axis=0)
+    faces = faces_of(spark, x).withColumn("scar_path", F.concat(F.lit("p"), "media_id"))
+    entries, summary = clustering.cluster_collection(faces, "dlib_embed", F.lit("2024-01-01").cast("timestamp"), F.lit(1))
+    got = {(r.scar_path, r.entry_key): r.entry_value for r in entries.collect()}
+    assert got["p1", "face.cluster_dlib.labels"] == "[0,1,1]" and got["p1", "face.cluster_dlib.num_clusters"] == "2"
+    assert tuple(summary.first()) == ("ok", 8, 4, 2, 3, "dlib_embed")
+    entries, summary = clustering.cluster_collection(faces.limit(0), "arcface", F.lit("2024-01-01").cast("timestamp"), F.lit(1))
+    assert entries.collect() == [] and summary.first().status == "no_embeddings"
+
+
+def test_export(spark, tmp_path):
+    vectors.export_index(faces_of(spark, np.eye(3)), "arcface", str(tmp_path))
+    assert spark.read.json(str(tmp_path / "faces")).select("path", "face_index", "embedding_tool").count() == 3
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 3

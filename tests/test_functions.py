@@ -63,6 +63,12 @@ def test_decode(spark):
     assert one(spark, a=decode.live_score(scores(0.2)), b=decode.live_score(scores(0.2, 0.7))) == (0.2, 0.7)
     assert tuple(one(spark, a=decode.gaze(scores(1.0, 2.0), False))) == (1.0, 2.0) and tuple(one(spark, a=decode.gaze(scores(1.0, 2.0), True))) == (2.0, 1.0)
     assert one(spark, a=decode.attributes(F.lit("not json"))).age is None
+    assert tuple(one(spark, a=decode.valence_arousal(scores(0.5, 1.0), scores()))) == (0.5, None)
+    fields = lambda **kw: F.create_map(*[F.lit(x) for kv in kw.items() for x in kv])
+    assert one(spark, a=decode.gaze_of(fields(gaze_direction="g", other="o"))) == "g" and one(spark, a=decode.gaze_of(fields(gaze="a", gaze_direction="g"))) == "a"
+    assert one(spark, a=decode.emotion_columns(fields(anger="0.5", x="1"))) == {"anger": 0.5} and one(spark, a=decode.action_units(fields(AU01="2", x="1"))) == {"AU01": 2.0}
+    assert one(spark, a=decode.emotion_argmax(decode.emotion_columns(fields(fear="0.7", anger="0.7", disgust="0.1")))) == "anger"
+    assert one(spark, a=decode.blendshapes(F.array(F.lit("a"), F.lit("b")), scores(0.5))) == {"a": 0.5}
     assert one(spark, a=decode.parsing_labels(F.array(scores(3.0, 1.9), scores(1.0, 0.0)))) == [0, 1, 3]
 
 

@@ -73,6 +73,27 @@ def first_value(values: Column) -> Column:
     return F.get(values, F.lit(0)).cast("double")
 
 
+def valence_arousal(valence: Column, arousal: Column) -> Column:
+    """Struct of the first elements of two outputs; an output that is empty gives null."""
+    return F.struct(first_value(valence).alias("valence"), first_value(arousal).alias("arousal"))
+
+
+def gaze_of(fields: Column) -> Column:
+    """The gaze of a result, else its gaze_direction."""
+    return F.coalesce(F.try_element_at(fields, F.lit("gaze")), F.try_element_at(fields, F.lit("gaze_direction")))
+
+
+def emotion_columns(fields: Column) -> Column:
+    """Scores of the known emotions among a result's fields."""
+    return F.transform_values(F.map_filter(fields, lambda k, _: k.isin(*EMOTIONS)), lambda _, v: v.cast("double"))
+
+
+def emotion_argmax(scores: Column) -> Column:
+    """Name of the largest score of a map, ties by name; null for an empty map."""
+    order = F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    return F.get(order, F.lit(0))["k"]
+
+
 def blendshapes(names: Column, scores: Column) -> Column:
     """Map of blendshape scores."""
     n = F.least(F.size(names), F.size(scores))

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visagelake.functions import catalog
+from visagelake.operators import sidecar
+
 
 def face_counts(media: DataFrame, faces: DataFrame) -> DataFrame:
     """Media with n_faces, 0 without any; faces has (media_id)."""
@@ -92,6 +95,13 @@ def labels_by_image(labelled: DataFrame) -> DataFrame:
     return grouped.withColumn("num_clusters", F.size(F.array_except(F.array_distinct("labels"), F.array(F.lit(-1)))))
 
 
+def label_entries(labelled: DataFrame, embedding_tool: str, at: Column, seq: Column) -> DataFrame:
+    """Patch entries that write the labels of (scar_path, face_index, cluster_label) back: the list in the order of faces
+    and the number of clusters, under the cluster tool of the embeddings."""
+    images = labels_by_image(labelled.select(F.col("scar_path").alias("media_id"), "face_index", "cluster_label")).select(F.col("media_id").alias("scar_path"), F.to_json("labels").alias("labels"), "num_clusters")
+    return sidecar.tool_patch(images, catalog.CLUSTER_OF[embedding_tool], ["labels", "num_clusters"], at, seq)
+
+
 def cluster_summary(labelled: DataFrame, embedding_tool: str, dim: Column) -> DataFrame:
     """One row: status, faces, embedding_dim, clusters without noise, updated_sidecars, tool."""
     return labelled.agg(

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visagelake.operators import tables, vectors
+from visagelake.operators import analytics, tables, vectors
 from visagelake.operators.graph import components
 
 LEAST_DISTANCE = 1e-9  # equal vectors: their density is capped
@@ -175,3 +175,13 @@ def ranked(firsts: DataFrame, spark) -> DataFrame:
 def labels_to_faces(faces: DataFrame, labels: DataFrame) -> DataFrame:
     """Faces with their cluster label, -1 where there is none."""
     return faces.join(labels, vectors.KEY, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
+def cluster_collection(faces: DataFrame, embedding_tool: str, at: Column, seq: Column, **options) -> tuple[DataFrame, DataFrame]:
+    """Patch entries and the one-row summary of clustering faces (scar_path, media_id, face_index, embedding).
+
+    Without faces there are no entries, and the status is no_embeddings.
+    """
+    found = labels_to_faces(faces, tables.save(cluster_faces(faces, **options), "labels")).withColumnRenamed("label", "cluster_label")
+    entries = analytics.label_entries(found.select("scar_path", "face_index", "cluster_label"), embedding_tool, at, seq)
+    return entries, analytics.cluster_summary(found, embedding_tool, F.size("embedding"))

@@ -245,6 +245,16 @@ def labels_by_image(spark, sf_dir):
     return found.select("media_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"), F.col("num_clusters").cast("long").alias("num_clusters"))
 
 
+@query(
+    ", i AS (SELECT '/photos/' || media_id || '.scar' AS scar_path, '[' || string_agg(cluster_label, ',' ORDER BY face_index) || ']' AS labels, CAST(count(DISTINCT cluster_label) FILTER (cluster_label <> -1) AS VARCHAR) AS n FROM embedded GROUP BY media_id)"
+    " SELECT scar_path, unnest(['face.cluster.version', 'face.cluster.processed_at', 'face.cluster.labels', 'face.cluster.num_clusters']) AS entry_key, unnest(['1.1.0', '2024-01-01T00:00:00+00:00', labels, n]) AS entry_value FROM i",
+    "embedded",
+)
+def label_writeback(spark, sf_dir):
+    faces = view(spark, sf_dir, "embedded").withColumn("scar_path", F.concat(F.lit("/photos/"), "media_id", F.lit(".scar")))
+    return analytics.label_entries(faces, "arcface", F.lit("2024-01-01").cast("timestamp"), F.lit(0)).select("scar_path", "entry_key", "entry_value")
+
+
 @query("SELECT media_id, tool, face_index, CASE WHEN face_index = 0 THEN 7 WHEN face_index = 1 THEN -1 END AS label FROM faces", "faces")
 def labels_by_position(spark, sf_dir):
     return view(spark, sf_dir, "faces").select("media_id", "tool", "face_index", payloads.label_at(F.array(F.lit(7), F.lit(-1)), F.col("face_index")).alias("label"))
