@@ -35,8 +35,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(decoded, more=("token_ids",))
+    return bpe.digests(bpe.encode_and_decode(docs, path), more=("token_ids",))
 
 
 STAGES = [

@@ -25,6 +25,7 @@ def test_equals_library(spark, library):
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.token_ids, r.decoded) for r in out.collect())
     want = sorted(((r[0] if r[0] is not None else -1), (ids := library.encode(r[1] or "", add_special_tokens=False).ids), library.decode(ids, skip_special_tokens=False)) for r in rows)
     assert got == want
+    assert sorted(((r.doc_id if r.doc_id is not None else -1), r.token_ids, r.decoded) for r in bpe.encode_and_decode(docs, PATH).collect()) == got
     one = {r.doc_id: r for r in bpe.digests(out).collect()}[3]
     ids = library.encode(TEXTS[3], add_special_tokens=False).ids
     assert (one.n_tokens, one.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

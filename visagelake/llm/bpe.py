@@ -22,11 +22,11 @@ from visagelake.llm._arrow import slices
 #: Pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept per Python worker before the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: No symbol: merged away, or past the end of a word.
 NONE = -1
 #: Bytes of text, or ids, handled together; bounds the memory of the occurrence index.
-TOGETHER = 3_000_000
+TOGETHER = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -166,6 +166,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """Arrow lists of packed 32-bit ids."""
+    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of whole texts.
 
@@ -177,10 +184,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         vocab = vocabulary(path)
         for batch in (part for whole in found for part in slices(whole, 1, TOGETHER)):
             packed = vocab.encode([t or "" for t in batch.column(1).to_pylist()])
-            offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "token_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(packed)], names=["id", "token_ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = source.mapInArrow(batches, f"id {source.schema['id'].dataType.simpleString()}, token_ids array<int>")
@@ -206,6 +210,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return made.withColumnsRenamed({"id": id_col, "token_ids": ids_col})
 
 
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode() of encode() in one pass, which keeps one vocabulary and one cache in memory for a task, not two.
+
+    Returns (id_col, token_ids, decoded), one row per input row, with the results that the two give for odd rows.
+    """
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in (part for whole in found for part in slices(whole, 1, TOGETHER)):
+            packed = vocab.encode([t or "" for t in batch.column(1).to_pylist()])
+            texts = [vocab.decode(np.frombuffer(p, dtype=np.int32).tolist()) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(packed), pa.array(texts, pa.string())], names=["id", "token_ids", "decoded"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    made = source.mapInArrow(batches, f"id {source.schema['id'].dataType.simpleString()}, token_ids array<int>, decoded string")
+    return made.withColumnRenamed("id", id_col)
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
     """Count and digests of what encode() and decode() returned, and the columns in more."""
     return decoded.select(

@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visagelake.llm._arrow import slices
+
 BIGRAMS, CLASSES, STATISTICS = 2048, 1024, 8
 BLOCK = 256
+TOGETHER = 4_000_000  # bytes of text handled together
 SYMBOLS = b"#*$%&|<>@^~=+_{}[]\\/"
 
 
@@ -163,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     score = scorer(docs, train(docs, labels, **options))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 1, TOGETHER)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -177,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     where = docs.columns.index("text")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, where, TOGETHER)):
             yield batch.filter(pa.array(score(batch.column(where).to_pylist()) >= 0.5))
 
     return docs.mapInArrow(batches, docs.schema)
