@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visagelake.llm import _scratch
+from visagelake.llm._arrow import slices
 
 SYMBOLS = "#*$%&|<>"
+TOGETHER = 4_000_000  # bytes of text handled together
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -27,6 +29,8 @@ VECTOR = {"length": 1.0, "word_length": 0.08, "symbols": 0.25, "lines": 0.3, "re
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
 #: Upper 0.0001 point of chi-squared with six degrees of freedom, and the consistency factor of a share of 3/4 (fixed values).
 CUTOFF, CONSISTENCY = 27.856, 1.36
+#: Groups up to which estimates are broadcast (42 numbers each); more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 #: Distances are compared in steps of this share of their size.
 STEP = 0.02
 
@@ -78,7 +82,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, statistics, vector) of all rows; a null text has no words."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 3, TOGETHER)):
             rows = [statistics(t or "") for t in batch.column(3).to_pylist()]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "lang", "source", *STATISTICS])
@@ -143,11 +147,12 @@ def estimate(rows: DataFrame, share: float, steps: int) -> DataFrame:
     start = [float(x) for x in np.diag(1 / np.square(3 * np.array(list(VECTOR.values())))).ravel()]
     now = _scratch.save(medians(rows).select("group", "centre", F.array(*map(F.lit, start)).alias("inverse")), "centres")
     for _ in range(steps):
-        near = rows.join(now, "group").withColumn("step", F.ceil(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) / STEP))
+        near = rows.join(_scratch.small(now, BROADCAST_GROUPS), "group").withColumn("step", F.ceil(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) / STEP))
         counts = near.groupBy("group", "step").agg(F.count("*").alias("n"))
         w = Window.partitionBy("group")
         ranked = counts.withColumns({"k": F.sum("n").over(w.orderBy("step")), "m": F.sum("n").over(w)})
         limits = ranked.where(F.col("k") >= share * F.col("m")).groupBy("group").agg(F.min("step").alias("most"))
+        limits = _scratch.small(_scratch.save(limits, "limits"), BROADCAST_GROUPS)
         names = list(VECTOR)
         sums = near.join(limits, "group").where(F.col("step") <= F.col("most")).groupBy("group").agg(
             F.count("*").alias("n"),
@@ -169,7 +174,7 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least_rows: int
     rows = _scratch.save(measured(docs), "statistics")
     passed = rows.where(~F.col("base_failed"))
     sizes = passed.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
-    models = estimate(passed, share, steps).join(sizes.drop("n"), "group", "left_semi")
+    models = _scratch.small(_scratch.save(estimate(passed, share, steps).join(sizes.drop("n"), "group", "left_semi"), "models"), BROADCAST_GROUPS)
     judged = rows.join(models, "group", "left").withColumn("distance", distance(F.col("centre"), F.col("inverse")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", *STATISTICS[:5], "base_failed", kept.alias("kept"), "distance")
