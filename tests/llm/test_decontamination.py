@@ -35,6 +35,13 @@ def test_slots_must_agree(spark):
     assert got == {1, 3}
 
 
+def test_marks_and_capitals_hide_nothing(spark):
+    item = "The old boat lay at a quiet shore. Nobody had seen a sail there since the long and stormy winter of that year."
+    docs = spark.createDataFrame([(1, "X! " + item.upper().replace(" ", "!! ")), (2, item.replace(" ", "%%% ")), (3, item.replace(" ", "$$$ ").lower())], "doc_id long, text string")
+    got = {r.doc_id: r for r in d.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got.keys() == {1, 2, 3} and all(r.covered == r.n_words for r in got.values())
+
+
 def test_shuffled_join_gives_the_same(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

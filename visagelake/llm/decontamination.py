@@ -41,11 +41,11 @@ def templates(df: DataFrame, text: Column) -> DataFrame:
         plain = (word == low)
         digit = (word >= "0") & (word < ":")
         number_before = (before >= "0") & (before < ":")
-        name = ~plain & (at > 0) & ~before.isin(*STOPS) & (F.substring(word, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
+        name = ~plain & (at > 0) & ~before.isin(*STOPS, *SIGNS) & (F.char_length(word) > 1) & (F.substring(word, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
         kind = (
             F.when(word.isin(*STOPS), F.lit(None))
             .when(digit, F.lit(NUMBER))
-            .when(word.isin(*SIGNS), F.lit(UNIT))
+            .when(word.isin(*SIGNS), F.when(number_before, F.lit(UNIT)))
             .when(number_before & low.isin(*UNITS), F.lit(UNIT))
             .when(name, F.lit(NAME))
             .otherwise(low)
