@@ -16,7 +16,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), path))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
