@@ -54,6 +54,23 @@ def test_outliers_per_group(spark):
     assert again == {i: r.kept for i, r in got.items()}
 
 
+def test_small_groups_are_judged_by_a_pool(spark):
+    rng = random.Random(3)
+    words = ["ale", "bird", "coast", "dune", "elder", "fjord", "gale", "harbour", "iris", "juniper", "kelp", "lagoon"]
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 999)) for _ in range(n))
+    junk = lambda: text(100).replace(" ", "%%% ")
+    rows = [(i, text(rng.randint(40, 300)), "en", f"s{i % 20}") for i in range(300)]
+    rows += [(1000, junk(), "en", "rare"), (1001, junk(), None, "s3"), (1002, junk(), "xx", None), (1003, junk(), None, None)]
+    rows += [(2000, text(100), "en", "rare"), (2001, text(100), None, "s3"), (2002, text(100), "xx", None), (2003, "short", "yy", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = rules.judge(docs).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) == len(got)
+    assert all(r.distance is None and r.pooled_distance is not None for r in out)
+    assert sum(got[i].kept for i in range(300)) >= 297 and all(got[i].kept for i in (2000, 2001, 2002))
+    assert not any(got[i].kept for i in (1000, 1001, 1002, 1003, 2003))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert rules.judge(docs).collect() == []

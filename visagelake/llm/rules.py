@@ -3,7 +3,8 @@
 Statistics of whole texts are transformed to vectors. For every language and source the minimum-covariance-
 determinant estimate is approached by concentration steps: distances from the present centre and scatter, the nearest
 `share` of the group's rows, and their mean and covariance as the next estimate. Each step is two aggregations over
-the table of statistics, whatever the size of a group; group members never meet in one task.
+the table of statistics, whatever the size of a group; group members never meet in one task. Groups too small for an
+estimate of their own are judged by that of a pool: their language, else their source, else all rows.
 """
 
 import math
@@ -163,18 +164,40 @@ def estimate(rows: DataFrame, share: float, steps: int) -> DataFrame:
     return now
 
 
+def pools(rows: DataFrame, least_rows: int) -> DataFrame:
+    """(group, judge, members) for every group: the key of the estimate that judges it, and the keys of those it feeds.
+
+    A group with least_rows good rows judges itself. Others are judged by their language, else by their source, if that
+    has so many good rows, else by all rows, however few. Keys of pools begin with their kind, those of groups with "{".
+    """
+    n = F.count_if(~F.col("base_failed")).alias("n")
+    sizes = _scratch.save(rows.groupBy("group", "lang", "source").agg(n), "sizes")
+    sizes = sizes.withColumns({c: F.concat(F.lit(f"{c} "), F.to_json(F.struct(c))) for c in ("lang", "source")})
+    for c in ("lang", "source"):
+        sizes = sizes.join(sizes.groupBy(c).agg(F.sum("n").alias(f"{c}_n")), c)
+    enough = lambda c: F.col(c) >= least_rows
+    judge = F.when(enough("n"), F.col("group")).when(enough("lang_n"), F.col("lang")).when(enough("source_n"), F.col("source")).otherwise(F.lit("all"))
+    chosen = _scratch.save(sizes.select("group", "lang", "source", judge.alias("judge")), "judges")
+    needed = chosen.select("judge").distinct()
+    fed = chosen.select("group", F.explode(F.array("group", "lang", "source", F.lit("all"))).alias("judge")).join(needed, "judge", "left_semi")
+    members = fed.groupBy("group").agg(F.collect_list("judge").alias("members"))  # four keys at most
+    return _scratch.save(chosen.select("group", "judge").join(members, "group", "left"), "pools")
+
+
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least_rows: int = 40) -> DataFrame:
     """Base statistics and verdict of all rows.
 
-    Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance), one row
-    per input row; other columns are not carried. A null or empty text has no words and fails the base rules. Null
-    languages and sources form groups of their own. Estimates come from rows that pass the base rules; in groups with
-    fewer than least_rows of them only the base rules decide, and distance is null. Repeated rows count repeatedly.
+    Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance,
+    pooled_distance), one row per input row; other columns are not carried. A null or empty text has no words and fails
+    the base rules. Null languages and sources form groups of their own. Estimates come from rows that pass the base
+    rules; distance is null in groups with fewer than least_rows of them, and pooled_distance, by the estimate of
+    pools(), decides there. Both are null only if no row passes the base rules. Repeated rows count repeatedly.
     """
     rows = _scratch.save(measured(docs), "statistics")
-    passed = rows.where(~F.col("base_failed"))
-    sizes = passed.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
-    models = _scratch.small(_scratch.save(estimate(passed, share, steps).join(sizes.drop("n"), "group", "left_semi"), "models"), BROADCAST_GROUPS)
-    judged = rows.join(models, "group", "left").withColumn("distance", distance(F.col("centre"), F.col("inverse")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", *STATISTICS[:5], "base_failed", kept.alias("kept"), "distance")
+    groups = _scratch.small(pools(rows, least_rows), BROADCAST_GROUPS)
+    passed = rows.where(~F.col("base_failed")).join(groups.select("group", "members"), "group").withColumn("group", F.explode("members")).drop("members")
+    models = _scratch.small(estimate(passed, share, steps).withColumnRenamed("group", "judge"), BROADCAST_GROUPS)
+    judged = rows.join(groups.select("group", "judge"), "group").join(models, "judge", "left").withColumn("found", distance(F.col("centre"), F.col("inverse")))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("found") <= CUTOFF, F.lit(True))
+    own = F.col("judge") == F.col("group")
+    return judged.select("doc_id", *STATISTICS[:5], "base_failed", kept.alias("kept"), F.when(own, F.col("found")).alias("distance"), F.when(~own, F.col("found")).alias("pooled_distance"))
