@@ -21,6 +21,22 @@ def test_replies(spark):
     assert order[:6] == [(1, 0), (1, 1), (1, 2), (2, 0), (1, 3), (2, 1)]
 
 
+def test_deeper_levels_and_parts_of_paragraphs(spark):
+    long = "We went down to the old harbour at dawn. The boats were already out, and only two men stood at the quay. Nobody spoke."
+    rows = [
+        (1, 0, "u", long), (1, 1, "u", "A reply with other words."), (1, 2, "u", "Third of them."),
+        (1, 3, "u", ">> A reply with other words.\n\nTwo levels, the middle trimmed."),
+        (1, 4, "u", "> some edited text\n>> A reply with other words.\n>>> Third of them.\nEdited."),
+        (1, 5, "u", "> Third of them.\n>> A reply with other words. " + long + "\nFirst level first."),
+        (1, 6, "u", "> Nobody spoke.\nOne sentence."),
+        (1, 7, "u", "> already out, and only\n> two men stood at\nPart, wrapped anew."),
+        (1, 8, "u", "> words that stand in no other message at all\nNothing."),
+    ]
+    got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r.reply_turn for t, r in got.items()} == {0: None, 1: None, 2: None, 3: 1, 4: 1, 5: 2, 6: 0, 7: 0, 8: None}
+    assert got[7].n_quotes == 3 and got[0].n_quotes == 0 and got[7].text == "Part, wrapped anew."
+
+
 def brute(rows):
     own, out = [], {}
     for conv, turn, _, text in rows:

@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking.
 
-Lines that begin with quote marks are parsed into nested levels. Quoted passages (runs of one level, and their lines)
-are normalised, hashed and joined with the passages that messages wrote themselves; a message answers the one that it
-quotes most on the first level. Paths from the first message of a thread, found by pointer doubling over the quoting
+Lines that begin with quote marks are parsed into nested levels. Quoted passages (runs of one level, their lines,
+sentences and overlapping windows of words) are normalised, hashed and joined with the passages that messages wrote
+themselves; a message answers the one that it quotes most on the first level, or, where that finds none, on the next
+level that finds one. Paths from the first message of a thread, found by pointer doubling over the quoting
 messages only, put conversations into the order of their replies. Quotes are left out of the texts.
 """
 
@@ -18,6 +19,10 @@ from visagelake.llm import _scratch
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 SAYS = re.compile(r"\s*(?:On\b.{0,200}|.{1,80}?)\s(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*")
+SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+WINDOW = 5
+#: Quoted hashes up to which own passages are narrowed by a broadcast; more are joined by shuffle.
+BROADCAST_HASHES = 200_000
 PASSAGE = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))
 
 
@@ -39,15 +44,29 @@ def levels(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Own text, quoted passages and own passages (level, hash, words) of a message."""
+def pieces(text: str) -> list[str]:
+    """A text's sentences and its windows of words, all normalised; lines may break anywhere."""
+    words = normal(text).split()
+    return [normal(x) for x in SENTENCE_END.split(text)] + [" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+
+
+def passages(own: str) -> list[tuple[int, int, int]]:
+    """Passages (0, hash, words) that a message offers: its own text, paragraphs, lines, sentences and windows."""
+    paragraphs = re.split(r"\n\s*\n", own)
+    parts = [normal(x) for x in (own, *paragraphs, *own.split("\n"))]
+    written = dict.fromkeys([*parts, *pieces(own), *(normal(x) for paragraph in paragraphs for x in SENTENCE_END.split(paragraph))])
+    return [(0, hashed(p), len(p.split())) for p in written if p]
+
+
+def split_quotes(text: str) -> tuple[str, list[tuple[int, int, int]], int]:
+    """Own text, quoted passages (level, hash, words) of a message, and how many of them are whole runs or lines."""
     lines = levels(text)
     lines = [x for i, x in enumerate(lines) if not (x[0] == 0 and i + 1 < len(lines) and lines[i + 1][0] > 0 and SAYS.fullmatch(x[1]))]
     if not any(level for level, _ in lines):
-        own = text
-    else:
-        own = re.sub(r"\n{3,}", "\n\n", "\n".join(x for level, x in lines if level == 0)).strip()
+        return text, [], 0
+    own = re.sub(r"\n{3,}", "\n\n", "\n".join(x for level, x in lines if level == 0)).strip()
     quoted: dict[tuple[int, str], None] = {}
+    more: dict[tuple[int, str], None] = {}
     run: list[str] = []
     for i, (level, content) in enumerate(lines):
         if level:
@@ -55,9 +74,15 @@ def parse(text: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, i
             quoted[level, normal(content)] = None
             if i + 1 == len(lines) or lines[i + 1][0] != level:
                 quoted[level, normal("\n".join(run))] = None
+                more |= dict.fromkeys((level, x) for x in pieces("\n".join(run)))
                 run = []
-    written = dict.fromkeys(normal(x) for x in (own, *re.split(r"\n\s*\n", own), *own.split("\n")))
-    return own, [(k, hashed(p), len(p.split())) for k, p in quoted if p], [(0, hashed(p), len(p.split())) for p in written if p]
+    return own, [(k, hashed(p), len(p.split())) for k, p in quoted | more if p], sum(p != "" for _, p in quoted)
+
+
+def parse(text: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Own text, quoted passages and own passages (level, hash, words) of a message."""
+    own, quoted, _ = split_quotes(text)
+    return own, quoted, passages(own)
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -66,30 +91,37 @@ def link(messages: DataFrame) -> DataFrame:
     Returns (conv_id, turn, role, text, n_quotes, reply_conv, reply_turn, depth, reply_path), one row per input row; other
     columns are not carried. reply_path lists the messages from the first of the thread to this one; sorting by it gives
     the order. A message answers the earliest writer of the passages it quotes most words of, first in its own
-    conversation, else in any; only earlier messages (by conversation and turn) count. A null text counts as an empty
+    conversation, else in any; deeper levels count only where no shallower one finds a writer. n_quotes counts quoted
+    runs and lines. Only earlier messages (by conversation and turn) count. A null text counts as an empty
     one; messages with a null conversation or turn are neither linked nor answered; of rows with one conversation and turn, each
     writes for all and all share their reply.
     """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            parsed = [parse(t or "") for t in batch.column(3).to_pylist()]
-            told = [pa.array([[dict(zip(("level", "hash", "words"), p, strict=True)) for p in x[k]] for x in parsed], PASSAGE) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in parsed], pa.string()), *told], names=["conv", "turn", "role", "text", "quoted", "own"])
+            parsed = [split_quotes(t or "") for t in batch.column(3).to_pylist()]
+            told = pa.array([[dict(zip(("level", "hash", "words"), p, strict=True)) for p in x[1]] for x in parsed], PASSAGE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in parsed], pa.string()), told, pa.array([x[2] for x in parsed], pa.int64())], names=["conv", "turn", "role", "text", "quoted", "n_quotes"])
+
+    def offered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            hashes = [[h for _, h, _ in passages(t)] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, pa.list_(pa.int64()))], names=["conv", "turn", "hashes"])
 
     source = messages.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     passage = "array<struct<level: int, hash: bigint, words: int>>"
-    parsed = _scratch.save(source.mapInArrow(batches, f"conv bigint, turn bigint, role string, text string, quoted {passage}, own {passage}"), "messages")
+    parsed = _scratch.save(source.mapInArrow(batches, f"conv bigint, turn bigint, role string, text string, quoted {passage}, n_quotes bigint"), "messages")
     keyed = parsed.where("conv is not null and turn is not null")
-    quotes = keyed.select("conv", "turn", F.explode("quoted").alias("q")).where("q.level = 1").select("conv", "turn", F.col("q.hash").alias("hash"), F.col("q.words").alias("words")).distinct()
-    written = keyed.select("conv", "turn", F.explode("own.hash").alias("hash"))
+    quotes = keyed.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.words").distinct()
+    sought = _scratch.small(_scratch.save(quotes.select("hash").distinct(), "sought"), BROADCAST_HASHES)
+    written = keyed.select("conv", "turn", "text").mapInArrow(offered, "conv bigint, turn bigint, hashes array<bigint>").select("conv", "turn", F.explode("hashes").alias("hash")).join(sought, "hash", "left_semi")
     inside = written.groupBy("hash", "conv").agg(F.min("turn").alias("inside"))
     first = inside.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("inside").alias("turn"))).alias("first"))
     met = quotes.join(first, "hash").join(inside, ["hash", "conv"], "left")
     near = F.when(F.col("inside") < F.col("turn"), F.struct("conv", F.col("inside").alias("turn")))
     far = F.when(F.col("first") < F.struct("conv", "turn"), F.col("first"))
-    votes = met.withColumn("to", F.coalesce(near, far)).where("to is not null").groupBy("conv", "turn", "to").agg(F.sum("words").alias("words"))
-    answers = votes.groupBy("conv", "turn").agg(F.max_by("to", F.struct("words", "to")).alias("to"))
+    votes = met.withColumn("to", F.coalesce(near, far)).where("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("words").alias("words"))
+    answers = votes.groupBy("conv", "turn").agg(F.max_by("to", F.struct(-F.col("level"), "words", "to")).alias("to"))
     answers = _scratch.save(answers.select(F.struct("conv", "turn").alias("node"), "to"), "answers")
     paths = answers.select("node", "to", F.col("to").alias("ahead"), F.array("node").alias("path"))
     while not paths.where("ahead is not null").isEmpty():
@@ -103,7 +135,7 @@ def link(messages: DataFrame) -> DataFrame:
         "turn",
         "role",
         "text",
-        F.size("quoted").cast("long").alias("n_quotes"),
+        "n_quotes",
         F.col("to.conv").alias("reply_conv"),
         F.col("to.turn").alias("reply_turn"),
         (F.size(path) - 1).cast("long").alias("depth"),
