@@ -42,6 +42,17 @@ def test_marks_and_capitals_hide_nothing(spark):
     assert got.keys() == {1, 2, 3} and all(r.covered == r.n_words for r in got.values())
 
 
+def test_verbatim_copies_without_literal_words_or_capitals(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, "Compute 125 - 37 + 48 - 9."), (3, "Der Hund von Frau Meier sah im Garten einen Vogel und der Vogel sah den Hund von Herrn Braun."), (4, "Seven grey birds sat there.")]
+    rows = [(i, f"Some words before: {t} Some words after.") for i, t in items]
+    rows += [(10 + i, f"some words before {t.upper()} and after") for i, t in items] + [(20 + i, f"some words before {t.lower()} and after") for i, t in items]
+    rows += [(34, "they said Seven grey birds sat there"), (40, "What is 11 + 5 * 3 - 4 / 9? Compute 12 - 3 + 4 - 8."), (41, "12 7 3 4")]
+    found = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert got.keys() == {(k + i, i) for k in (0, 10, 20) for i, _ in items} | {(34, 4)}
+    assert all(r.verbatim and r.covered == r.n_words for r in found)
+
+
 def test_shuffled_join_gives_the_same(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

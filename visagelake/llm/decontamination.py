@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units after a number and capitalised names inside a sentence turn into typed
-placeholders, everything else is lower-cased. Windows of the template are hashed and joined with those of the
-benchmark. Matches along one alignment of a document and an item give its coverage; then the words behind the
+placeholders, everything else is lower-cased. Windows of the template and of the lower-cased words
+themselves are hashed and joined with those of the benchmark; the words find verbatim copies in any case, and of items
+that are mostly placeholders. Matches along one alignment of a document and an item give its coverage; then the words behind the
 placeholders must correspond one to one along that alignment, so that a question with other numbers or names is
 caught and a chance likeness of templates is not. Built from DataFrame functions only.
 """
@@ -63,6 +64,12 @@ def windows(canon: Column, length: int) -> Column:
     return let(F.transform(canon, lambda w: F.xxhash64(w)), lambda words: F.transform(starts(words), lambda h, i: hashed(words, h, i)))
 
 
+def both_windows(canon: Column, raw: Column, length: int) -> Column:
+    """Hashes of the template's windows, then those of the words' windows; null where both are the same window."""
+    of = F.struct(windows(canon, length).alias("c"), windows(raw, length).alias("r"))
+    return let(of, lambda w: F.concat(w["c"], F.zip_with(w["c"], w["r"], lambda c, r: F.nullif(r, c))))
+
+
 def literal_enough(canon: Column, at: Column, length: int) -> Column:
     """At least half of a window's words are no placeholders."""
     literal = F.filter(F.slice(canon, at + 1, length), lambda w: ~w.startswith("\x02"))
@@ -84,7 +91,8 @@ def contaminated(
 
     Returns (id_col, item_col, covered, n_words, n_slots, verbatim), one row per pair: words of the item covered by
     matching windows, its words, its placeholders among them, and whether those hold the item's own words. An item
-    shorter than a window is sought as one window of its length; an item without words, a null or empty text, and
+    shorter than a window is sought as one window of its length. Windows with more than half placeholders are sought
+    with the item's own words only, not with other numbers or names. An item without words, a null or empty text, and
     null ids never match. Repeated documents or items give one row per pair of ids (of equal ids with different
     texts, the better match). Only ids and texts are read, so other columns cannot clash.
     """
@@ -96,18 +104,24 @@ def contaminated(
     if not lengths:
         lengths = [length]
     of_length = lambda n: items.where(F.least(F.size("canon"), F.lit(length)) == n)
-    sought = reduce(
+    kept = lambda n: [
+        of_length(n).select("item", "version", "canon", F.posexplode(windows(F.col(words), n)).alias("item_at", "hash"), F.lit(n).alias("n"))
+        .where(literal_enough(F.col("canon"), F.col("item_at"), n) | F.lit(words == "raw")).drop("canon")
+        for words in ("canon", "raw")
+    ]
+    sought = reduce(DataFrame.unionByName, [part for n in lengths for part in kept(n)]).distinct()
+    sought = _scratch.save(sought, "windows")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
+    canon = templates(texts, F.col("t")).withColumn("text_hash", F.xxhash64("t"))
+    starts = lambda n: F.size("canon") - (n - 1)
+    seen = reduce(
         DataFrame.unionByName,
         [
-            of_length(n).select("item", "version", "canon", F.posexplode(windows(F.col("canon"), n)).alias("item_at", "hash"), F.lit(n).alias("n"))
-            .where(literal_enough(F.col("canon"), F.col("item_at"), n)).drop("canon")
+            canon.select("doc", "text_hash", starts(n).alias("starts"), F.posexplode(both_windows(F.col("canon"), F.col("raw"), n)).alias("at", "hash"))
+            .where("hash is not null").select("doc", "text_hash", (F.col("at") % F.col("starts")).alias("at"), "hash")
             for n in lengths
         ],
     )
-    sought = _scratch.save(sought, "windows")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
-    canon = templates(texts, F.col("t")).withColumn("text_hash", F.xxhash64("t"))
-    seen = reduce(DataFrame.unionByName, [canon.select("doc", "text_hash", F.posexplode(windows(F.col("canon"), n)).alias("at", "hash")) for n in lengths])
     hits = seen.join(small(sought, broadcast_rows), "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = hits.groupBy("doc", "text_hash", "item", "version", "shift").agg(F.collect_set(F.struct("item_at", "n")).alias("where"))  # within one item's length
     words = F.array_distinct(F.flatten(F.transform("where", lambda w: F.sequence(w["item_at"], w["item_at"] + w["n"] - 1))))
