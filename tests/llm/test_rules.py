@@ -1,6 +1,10 @@
+import itertools
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from visagelake.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,3 +78,58 @@ def test_small_groups_are_judged_by_a_pool(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert rules.judge(docs).collect() == []
+
+
+def exact_estimate(x, share, least):
+    """The subset of least determinant among all of them."""
+    found = []
+    for some in itertools.combinations(range(len(x)), round(share * len(x))):
+        near = x[list(some)]
+        cov = rules.scatter(near.mean(axis=0), near.T @ near / len(near), share, least)
+        found.append((np.linalg.slogdet(cov)[1], near.mean(axis=0), cov))
+    return min(found, key=lambda f: f[0])
+
+
+def test_estimates_equal_the_exact_minimum(spark):
+    draw = np.random.default_rng(5)
+    least = np.full(6, 1e-6)
+    data = {}
+    for g in ("a", "b", "c"):
+        x = draw.normal(size=(16, 6)) @ draw.normal(size=(6, 6))
+        x[draw.choice(16, 4, replace=False)] += 30 * draw.normal(size=6)
+        data[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in data.items() for v in x], ["group", *rules.VECTOR])
+    got = {r.group: r for r in rules.estimate(rows, 0.75, 20, least).collect()}
+    for g, x in data.items():
+        _, mean, cov = exact_estimate(x, 0.75, least)
+        assert np.allclose(got[g].centre, mean) and np.allclose(np.array(got[g].inverse).reshape(6, 6), np.linalg.inv(cov), rtol=1e-4)
+
+
+def test_the_covariance_decides(spark):
+    """Rows that are ordinary in every statistic and odd only in how two of them go together."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(900, 6))
+    x[:, 1] = 2 * x[:, 0] + 0.1 * x[:, 1]
+    odd = draw.normal(size=(30, 6)) * 0.3
+    odd[:, 0], odd[:, 1] = 1.0, -2.0
+    rows = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(np.vstack([x, odd]))], ["id", "group", *rules.VECTOR])
+    model = rules.estimate(rows.drop("id"), 0.75, 20, np.full(6, 1e-9))
+    far = rows.join(model, "group").where(rules.distance(F.col("centre"), F.col("inverse")) > F.col("cutoff"))
+    got = {r.id for r in far.collect()}
+    assert set(range(900, 930)) <= got and len(got) <= 33
+    assert (np.abs(odd) < 3 * np.abs(x).std(axis=0)).all()
+
+
+def test_cutoff_nears_chi_squared():
+    assert abs(rules.cutoff(1e7, 0.75) / 27.856 - 1) < 0.02 and abs(rules.consistency(0.75) - 1.362) < 1e-3
+    assert rules.cutoff(100, 0.75) > rules.cutoff(1000, 0.75) > 27.8
+
+
+def test_masses_of_copies_do_not_shrink_the_scatter(spark):
+    rng = random.Random(8)
+    words = ["ale", "bird", "coast", "dune", "elder", "fjord", "gale", "harbour", "iris", "juniper", "kelp", "lagoon"]
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 999)) for _ in range(n))
+    copy = text(90)
+    rows = [(i, text(rng.randint(40, 300)), "en", "s") for i in range(100)] + [(1000 + i, copy, "en", "s") for i in range(900)]
+    got = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i] for i in range(100)) >= 98 and all(got[1000 + i] for i in range(900))

@@ -1,10 +1,15 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
-Statistics of whole texts are transformed to vectors. For every language and source the minimum-covariance-
-determinant estimate is approached by concentration steps: distances from the present centre and scatter, the nearest
-`share` of the group's rows, and their mean and covariance as the next estimate. Each step is two aggregations over
-the table of statistics, whatever the size of a group; group members never meet in one task. Groups too small for an
-estimate of their own are judged by that of a pool: their language, else their source, else all rows.
+Counts of whole texts become a vector: logarithms and square roots of rates, drawn towards the rate of all rows by
+PRIOR words so that short texts do not stand out by chance. For every language and source the minimum-covariance-
+determinant estimate is sought in two steps. Concentration from many starts on a sample of each group (START_ROWS
+expected rows) gives the subset with the least determinant; from there, concentration over all rows goes on until the
+determinant stays. A step over all rows is two aggregations, whatever the size of a group; group members never meet
+in one task. The covariance gets only the variance that counting alone gives the rates of rare events, so a statistic
+that is zero in most rows has a finite scale; no scale is set by hand. A row is rejected beyond the 0.9999 point of the
+F distribution that distances from such an estimate have for the group's size (Hardin and Rocke, 2005).
+Groups too small for an estimate of their own are judged by that of a pool: their language, else their source, else all
+rows.
 """
 
 import math
@@ -25,15 +30,22 @@ TOGETHER = 4_000_000  # bytes of text handled together
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-#: Statistics of the vector, with the least standard deviation that each is granted.
-VECTOR = {"length": 1.0, "word_length": 0.08, "symbols": 0.25, "lines": 0.3, "repeats": 0.05, "capitals": 0.08}
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
-#: Upper 0.0001 point of chi-squared with six degrees of freedom, and the consistency factor of a share of 3/4 (fixed values).
-CUTOFF, CONSISTENCY = 27.856, 1.36
-#: Groups up to which estimates are broadcast (42 numbers each); more are joined by shuffle.
+#: The vector, and which of its parts are rates of rare events (square roots of a count over words).
+VECTOR = ("length", "word_length", "symbols", "lines", "repeats", "capitals")
+RARE = (0.0, 0.0, 1.0, 1.0, 1.0, 0.0)
+#: Words by which every text's rates are drawn towards those of all rows; words that a repeated window brings at least.
+PRIOR, REPEAT_UNIT = 50.0, 10.0
+#: Standard normal point of the rejected tail, 0.0001.
+TAIL = 3.719
+#: Groups up to which estimates are broadcast (44 numbers each); more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
-#: Distances are compared in steps of this share of their size.
-STEP = 0.02
+#: Rows of a group that are expected in the sample for the starts, and the number of starts.
+START_ROWS, STARTS = 400, 12
+#: Distances are compared in steps of this share of their size; the rows of the last step count in part.
+STEP = 0.001
+#: A determinant stays if its logarithm changes by less.
+SAME = 1e-3
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -79,8 +91,8 @@ def statistics(text: str) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, statistics, vector) of all rows; a null text has no words."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, statistics) of all rows; a null text has no words."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in found for part in slices(whole, 3, TOGETHER)):
@@ -91,49 +103,110 @@ def measured(docs: DataFrame) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     source = docs.select("doc_id", text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
     made = source.mapInArrow(batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang string, source string, " + ", ".join(f"{s} bigint" for s in STATISTICS))
-    chars = F.greatest("word_chars", F.lit(1))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return made.withColumns(
-        {
-            "base_failed": failed,
-            "length": F.log1p(F.col("n_words").cast("double")),
-            "word_length": F.log(chars / F.greatest("n_words", F.lit(1))),
-            "symbols": F.log1p(100.0 * F.col("n_symbols") / chars),
-            "lines": F.log1p(F.col("n_dup_lines").cast("double")),
-            "repeats": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-            "capitals": F.col("n_capitals") / chars,
-            "group": F.to_json(F.struct("lang", "source")),
-        }
-    )
+    return made.withColumns({"base_failed": failed, "group": F.to_json(F.struct("lang", "source"))})
 
 
-def medians(rows: DataFrame) -> DataFrame:
-    """Centre and scatter to start from: medians and scaled mean absolute deviations near them, per group."""
-    long = rows.select("group", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(c), 2).alias("x")) for i, c in enumerate(VECTOR)))).alias("v"))
-    counts = long.groupBy("group", "v.i", "v.x").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("group", "i")
-    ranked = counts.withColumns({"k": F.sum("n").over(w.orderBy("x")), "m": F.sum("n").over(w)})
-    middle = ranked.where(2 * F.col("k") >= F.col("m")).groupBy("group", "i").agg(F.min("x").alias("x"), F.first("m").alias("m"))
-    return middle.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("centre"), F.first("m").alias("n"))  # six rows a group
+def with_vector(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Rows with their vector, and the variances that counting gives its parts; both rest on totals over all rows."""
+    total = rows.where(~F.col("base_failed")).agg(
+        F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars"), F.sum("n_capitals").alias("capitals"), F.avg(1 / (4 * (F.col("n_words") + PRIOR))).alias("spread")
+    ).first()  # one row
+    chars = (total.chars or 0) / max(total.words or 0, 1)
+    capitals = (total.capitals or 0) / max(total.chars or 0, 1)
+    words, letters = F.col("n_words") + PRIOR, F.col("word_chars") + PRIOR * chars
+    vector = {
+        "length": F.log1p(F.col("n_words").cast("double")),
+        "word_length": F.log(F.greatest(letters / words, F.lit(1e-9))),
+        "symbols": F.sqrt(F.col("n_symbols") / words),
+        "lines": F.sqrt(F.col("n_dup_lines") / words),
+        "repeats": F.sqrt(F.col("n_repeat_words") / REPEAT_UNIT / words),
+        "capitals": F.sqrt((F.col("n_capitals") + PRIOR * chars * capitals) / F.greatest(letters, F.lit(1e-9))),
+    }
+    return rows.withColumns(vector), np.array(RARE) * (total.spread or 0.0)
 
 
-def inverted(estimates: DataFrame) -> DataFrame:
-    """(group, centre, inverse) from (group, n, sums, products): covariance with the granted variances added."""
-    p, grant = len(VECTOR), np.diag(np.square(list(VECTOR.values())))
+def chi_squared(x: float, half: int) -> float:
+    """Lower tail of chi-squared with 2 * half degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(half))
 
-    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in found:
-            centre, inverse = [], []
-            for n, sums, products in zip(batch["n"], batch["sums"], batch["products"], strict=True):
-                mean = np.asarray(sums) / n
-                cov = np.zeros((p, p))
-                cov[np.triu_indices(p)] = np.asarray(products) / n
-                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                centre.append(mean)
-                inverse.append(np.linalg.inv(CONSISTENCY * cov + grant).ravel())
-            yield pd.DataFrame({"group": batch["group"], "centre": centre, "inverse": inverse})
 
-    return estimates.mapInPandas(batches, "group string, centre array<double>, inverse array<double>")
+def quantile(share: float, half: int) -> float:
+    """Point below which a share of chi-squared with 2 * half degrees of freedom lies, by bisection."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_squared(mid, half) < share else (lo, mid)
+    return lo
+
+
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest share of normal rows that of all."""
+    half = len(VECTOR) // 2
+    return share / chi_squared(quantile(share, half), half + 1) if share < 1 else 1.0
+
+
+def cutoff(n: float, share: float) -> float:
+    """0.9999 point of squared distances from the estimate of n rows: that of F with Hardin and Rocke's degrees of freedom."""
+    p, half, a = len(VECTOR), len(VECTOR) // 2, 1 - share
+    q, c = quantile(share, half), consistency(share)
+    c2, c3 = -chi_squared(q, half + 1) / 2, -chi_squared(q, half + 2) / 2
+    b1 = c * (c3 - 3 * c3) / share
+    b2 = 0.5 + c / share * (c3 - q / p * (c2 + share / 2))
+    v1 = share * b1 * b1 * (a * (c * q / p - 1) ** 2 - 1) - 2 * c3 * c * c * (3 * (b1 - p * b2) ** 2 + (p + 2) * b2 * (2 * b1 - p * b2))
+    v2 = n * (b1 * (b1 - p * b2) * share) ** 2 * c * c
+    m = 2 / (c * c * v1 / v2) * math.exp(0.725 - 0.00663 * p - 0.078 * math.log(n))
+    m = max(m, p + 4.0)
+    x, y, z = 2 / (9 * p), 2 / (9 * (m - p + 1)), TAIL  # Paulson's normal form of F, solved for its cube root
+    u, w = (1 - y) ** 2 - z * z * y, (1 - x) * (1 - y)
+    root = (w + math.sqrt(w * w - u * ((1 - x) ** 2 - z * z * x))) / u if u > 0 else 4.0
+    return root**3 * p * m / (m - p + 1)
+
+
+def scatter(mean: np.ndarray, second: np.ndarray, share: float, least: np.ndarray) -> np.ndarray:
+    """Covariance of a subset from its mean and mean products, made consistent, with the variances of counting."""
+    return consistency(share) * (second - np.outer(mean, mean)) + np.diag(least)
+
+
+def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+
+def concentrate(x: np.ndarray, share: float, least: np.ndarray, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the subset with the least determinant that concentration reaches from several starts: the
+    medians with the mean deviations, and small random subsets drawn with a fixed seed."""
+    n, p = x.shape
+    h = max(share * n, min(n, p + 1))
+    w = np.minimum(1.0, h - np.arange(math.ceil(h)))
+    draw, best = np.random.default_rng(11), None
+    for start in range(starts):
+        if start:
+            some = x[draw.choice(n, min(n, p + 4), replace=False)]
+            d = distances(x, some.mean(axis=0), np.cov(some.T, bias=True) + np.diag(least + 1e-9)) if len(some) > 1 else np.zeros(n)
+        else:
+            middle = np.median(x, axis=0)
+            d = ((x - middle) ** 2 / (np.square(np.abs(x - middle).mean(axis=0)) + least + 1e-9)).sum(axis=1)
+        last = math.inf
+        for _ in range(60):
+            near = x[np.argsort(d, kind="stable")[: len(w)]]
+            mean = w @ near / h
+            cov = scatter(mean, (near.T * w) @ near / h, share, least)
+            size = np.linalg.slogdet(cov)[1]
+            if not size < last - 1e-12:
+                break
+            last, kept = size, (mean, cov)
+            d = distances(x, mean, cov)
+        if best is None or last < best[0]:
+            best = (last, kept)
+    return best[1]
+
+
+def estimate_row(group: str, n: float, mean: np.ndarray, cov: np.ndarray, share: float) -> dict:
+    return {"group": group, "n": float(n), "centre": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(), "size": float(np.linalg.slogdet(cov)[1]), "cutoff": cutoff(max(n, 8.0), share)}
+
+
+ESTIMATE = "group string, n double, centre array<double>, inverse array<double>, size double, cutoff double"
 
 
 def distance(centre: Column, inverse: Column) -> Column:
@@ -143,25 +216,70 @@ def distance(centre: Column, inverse: Column) -> Column:
     return sum(d[i] * sum(inverse[i * p + j] * d[j] for j in range(p)) for i in range(p))
 
 
-def estimate(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """(group, centre, inverse) for every group of rows."""
-    start = [float(x) for x in np.diag(1 / np.square(3 * np.array(list(VECTOR.values())))).ravel()]
-    now = _scratch.save(medians(rows).select("group", "centre", F.array(*map(F.lit, start)).alias("inverse")), "centres")
+def first_estimates(rows: DataFrame, share: float, least: np.ndarray) -> DataFrame:
+    """Estimates of ESTIMATE from a sample of every group, START_ROWS rows expected; the whole of smaller groups."""
+
+    def start(part: pd.DataFrame) -> pd.DataFrame:
+        x = part[list(VECTOR)].to_numpy(dtype=np.float64)
+        order = np.lexsort(x.T[::-1])
+        mean, cov = concentrate(x[order], share, least)
+        return pd.DataFrame([estimate_row(part["group"].iloc[0], part["rows"].iloc[0], mean, cov, share)])
+
+    sizes = _scratch.small(_scratch.save(rows.groupBy("group").agg(F.count("*").alias("rows")), "sizes"), BROADCAST_GROUPS)
+    place = F.pmod(F.xxhash64(*VECTOR), F.lit(1 << 30)) / (1 << 30)  # vectors are distinct
+    drawn = rows.join(sizes, "group").where(place * F.col("rows") < START_ROWS)
+    return drawn.select("group", "rows", *VECTOR).groupBy("group").applyInPandas(start, ESTIMATE)
+
+
+def stepped(rows: DataFrame, now: DataFrame, share: float, least: np.ndarray) -> DataFrame:
+    """The estimates after a concentration step over all rows of the groups in now."""
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(VECTOR)
+        for batch in found:
+            out = []
+            for group, n, weight, sums, products in zip(batch["group"], batch["m"], batch["weight"], batch["sums"], batch["products"], strict=True):
+                mean, second = np.asarray(sums) / weight, np.zeros((p, p))
+                second[np.triu_indices(p)] = np.asarray(products) / weight
+                second += np.triu(second, 1).T
+                out.append(estimate_row(group, n, mean, scatter(mean, second, share, least), share))
+            yield pd.DataFrame(out, columns=["group", "n", "centre", "inverse", "size", "cutoff"])
+
+    step = F.ceil(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) / STEP)
+    near = rows.join(_scratch.small(now.select("group", "centre", "inverse"), BROADCAST_GROUPS), "group").withColumn("step", step)
+    counts = near.groupBy("group", "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("group")
+    ranked = counts.withColumns({"k": F.sum("n").over(w.orderBy("step")), "m": F.sum("n").over(w)})
+    limits = ranked.where(F.col("k") >= share * F.col("m")).groupBy("group").agg(F.min(F.struct("step", "n", "k", "m")).alias("last"))
+    part = 1 - (F.col("last.k") - share * F.col("last.m")) / F.col("last.n")  # of the rows of the last step
+    limits = limits.select("group", F.col("last.step").alias("most"), part.alias("part"), F.col("last.m").alias("m"))
+    limits = _scratch.small(_scratch.save(limits, "limits"), BROADCAST_GROUPS)
+    weighed = near.join(limits, "group").where(F.col("step") <= F.col("most")).withColumn("w", F.when(F.col("step") < F.col("most"), 1.0).otherwise(F.col("part")))
+    names = list(VECTOR)
+    sums = weighed.groupBy("group").agg(
+        F.first("m").alias("m"),
+        F.sum("w").alias("weight"),
+        F.array(*(F.sum(F.col("w") * F.col(c)) for c in names)).alias("sums"),
+        F.array(*(F.sum(F.col("w") * F.col(names[i]) * F.col(names[j])) for i in range(len(names)) for j in range(i, len(names)))).alias("products"),
+    )
+    return sums.mapInPandas(batches, ESTIMATE)
+
+
+def estimate(rows: DataFrame, share: float, steps: int, least: np.ndarray) -> DataFrame:
+    """(group, centre, inverse, cutoff) for every group of rows: steps until no determinant gets smaller, so many at most."""
+    done = []
+    now = _scratch.save(first_estimates(rows, share, least), "starts")
     for _ in range(steps):
-        near = rows.join(_scratch.small(now, BROADCAST_GROUPS), "group").withColumn("step", F.ceil(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) / STEP))
-        counts = near.groupBy("group", "step").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("group")
-        ranked = counts.withColumns({"k": F.sum("n").over(w.orderBy("step")), "m": F.sum("n").over(w)})
-        limits = ranked.where(F.col("k") >= share * F.col("m")).groupBy("group").agg(F.min("step").alias("most"))
-        limits = _scratch.small(_scratch.save(limits, "limits"), BROADCAST_GROUPS)
-        names = list(VECTOR)
-        sums = near.join(limits, "group").where(F.col("step") <= F.col("most")).groupBy("group").agg(
-            F.count("*").alias("n"),
-            F.array(*(F.sum(c) for c in names)).alias("sums"),
-            F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i in range(len(names)) for j in range(i, len(names)))).alias("products"),
-        )
-        now = _scratch.save(inverted(sums), "scatter")
-    return now
+        after = stepped(rows, now, share, least).join(_scratch.small(now.select("group", F.col("size").alias("before")), BROADCAST_GROUPS), "group")
+        after = _scratch.save(after.withColumn("open", F.col("size") < F.col("before") - SAME), "scatter")
+        done.append(after.where(~F.col("open")).select(*now.columns))
+        now = after.where("open").select(*now.columns)
+        if now.isEmpty():
+            break
+    out = now
+    for some in done:
+        out = out.unionByName(some)
+    return out.select("group", "centre", "inverse", "cutoff")
 
 
 def pools(rows: DataFrame, least_rows: int) -> DataFrame:
@@ -184,20 +302,24 @@ def pools(rows: DataFrame, least_rows: int) -> DataFrame:
     return _scratch.save(chosen.select("group", "judge").join(members, "group", "left"), "pools")
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least_rows: int = 40) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, least_rows: int = 40) -> DataFrame:
     """Base statistics and verdict of all rows.
 
     Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance,
     pooled_distance), one row per input row; other columns are not carried. A null or empty text has no words and fails
     the base rules. Null languages and sources form groups of their own. Estimates come from rows that pass the base
-    rules; distance is null in groups with fewer than least_rows of them, and pooled_distance, by the estimate of
-    pools(), decides there. Both are null only if no row passes the base rules. Repeated rows count repeatedly.
+    rules, equal vectors of a group counting once, so that masses of copies do not shrink the scatter; distance is null in
+    groups with fewer than least_rows such rows, and pooled_distance, by the estimate of pools(), decides there. Both are
+    null only if no row passes the base rules. Repeated rows are judged alike.
     """
-    rows = _scratch.save(measured(docs), "statistics")
+    rows, spread = with_vector(_scratch.save(counted(docs), "statistics"))
     groups = _scratch.small(pools(rows, least_rows), BROADCAST_GROUPS)
-    passed = rows.where(~F.col("base_failed")).join(groups.select("group", "members"), "group").withColumn("group", F.explode("members")).drop("members")
-    models = _scratch.small(estimate(passed, share, steps).withColumnRenamed("group", "judge"), BROADCAST_GROUPS)
+    passed = rows.where(~F.col("base_failed")).join(groups.select("group", "members"), "group").select(F.explode("members").alias("group"), *VECTOR)
+    passed = _scratch.save(passed.distinct(), "vectors")
+    scales = passed.agg(*(F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in VECTOR)).first()  # one row
+    least = spread + 1e-6 * np.array(list(scales)) + 1e-12
+    models = _scratch.small(estimate(passed, share, steps, least).withColumnRenamed("group", "judge"), BROADCAST_GROUPS)
     judged = rows.join(groups.select("group", "judge"), "group").join(models, "judge", "left").withColumn("found", distance(F.col("centre"), F.col("inverse")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("found") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("found") <= F.col("cutoff"), F.lit(True))
     own = F.col("judge") == F.col("group")
     return judged.select("doc_id", *STATISTICS[:5], "base_failed", kept.alias("kept"), F.when(own, F.col("found")).alias("distance"), F.when(~own, F.col("found")).alias("pooled_distance"))
