@@ -1,5 +1,9 @@
 import itertools
 import random
+import time
+
+import numpy as np
+import pytest
 
 from visagelake.llm import html
 
@@ -14,7 +18,7 @@ def test_cut_is_least():
     for _ in range(150):
         n = rng.randint(1, 9)
         scores = [rng.choice([-1, 1]) * rng.random() * 1.2 for _ in range(n)]
-        edges = html.smooth_edges([rng.randint(0, 2) for _ in range(n)])
+        edges = html.edges_of([html.Block("x", rng.randint(0, 3), 0.0, 0) for _ in range(n)], [0, 0, 1, 0])
         got = cut_cost(html.minimum_cut(scores, edges), scores, edges)
         best = min(cut_cost(x, scores, edges) for x in itertools.product([False, True], repeat=n))
         assert abs(got - best) < 1e-9
@@ -35,6 +39,46 @@ def test_page():
     assert html.main_text(PAGE) == "Title & more First paragraph with bold text here. Second été paragraph, which is longer than the first one. Quoted words. Last."
 
 
+NEUTRAL = """<html><body><div class="x1"><ul><li><a href=/a>Home</a></li><li><a href=/b>World news</a></li><li><a href=/c>Sport</a></li></ul></div>
+<div class="c7"><h1>River levels fall</h1><p>The river fell by two metres over the night, and people along the banks could return to their houses.</p>
+<p>So it goes</p><p>Officials say that more rain is not expected before the end of the week, although clouds remain.</p></div>
+<div class="c9"><p>Subscribe to our newsletter</p><p>Sign up for weekly news, you can unsubscribe at any time.</p><p><a href=/p>Privacy</a> and <a href=/t>terms</a></p></div>
+<div class="c8"><p>3 comments</p><p>Reply</p><p>bob 2 hours ago</p><p>nice one, share it</p><p>Reply</p></div>
+<div class="c5"><p>© 2020 The Paper</p></div></body></html>"""
+
+
+def test_the_cut_decides_where_names_tell_nothing():
+    """Without the edges the heading and the short line of the article are lost."""
+    want = "River levels fall The river fell by two metres over the night, and people along the banks could return to their houses. So it goes Officials say that more rain is not expected before the end of the week, although clouds remain."
+    assert html.main_text(NEUTRAL) == want
+    blocks, _ = html.blocks_of(NEUTRAL)
+    alone = " ".join(b.text for b, s in zip(blocks, html.costs(blocks, html.PRIOR), strict=True) if s > 0)
+    assert alone != want and "So it goes" not in alone and "River levels" not in alone
+
+
+def test_names_count_in_whole():
+    text = "The share price rose by three per cent on Monday, after the firm spoke of better sales."
+    assert html.main_text(f'<body><div class="share-price"><p>{text}</p></div><div class="comment-free"><p>{text}</p></div></body>') == f"{text} {text}"
+    assert html.main_text(f'<body><div class="share-buttons"><p>{text}</p></div><div id="commentList"><p>{text}</p></div></body>') == ""
+    assert html.main_text(f"<form><article><p>{text}</p></article></form>") == text
+
+
+@pytest.mark.parametrize("bad", ["<a '\"<a '\"", "<a ", "x<y ", '<a ">" ', "<!--", "<script>", "<head>", "<p a='", "</ul><div>", "<![CDATA[", '<a b="', "&amp &#x;", "<p>x<b ' >", "</script "])
+def test_broken_markup_takes_linear_time(bad):
+    began = time.time()
+    html.main_text(bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 5
+
+
+def test_learnt_weights():
+    draw = np.random.default_rng(1)
+    rows = np.hstack([np.ones((20000, 1)), draw.random((20000, 5))])
+    labels = (rows[:, 1] + 0.2 * draw.normal(size=20000) > 0.5).astype(float)
+    w = html.learnt(rows, labels)
+    assert ((rows @ w > 0) == (labels > 0)).mean() > 0.85
+    assert (html.learnt(rows, np.ones(20000)) == html.PRIOR).all() and (html.learnt(np.empty((0, 6)), np.empty(0)) == html.PRIOR).all()
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "plain words only, without any markup at all.", "x"), (4, "u", "<p>open <b>text here, that never ends", "x"), (4, "u", "<!-- open", "x"), (5, "u", "<p>" + "word " * 200000, "x"), (6, "u", "<div>" * 3000 + "<p>Deep text inside of many.</p>", "x"), (7, "u", "".join(f"<p>Line {i} of the text.</p><div class=ad>Ad {i} to sell you things.</div>" for i in range(2000)), "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -1,73 +1,156 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is read into text blocks with their containers. A linear classifier gives every block a cost for either
-label; the costs become capacities to the two terminals, and neighbouring blocks and blocks near each other in the
-tree get smoothness edges. The minimum cut, found by maximum flow, separates content from boilerplate. Pages are
-independent rows, so the work is one pass over Arrow batches without a shuffle.
+A page is read into text blocks with their containers. A classifier gives every block a cost for either label: the log
+odds of its own text, learnt from the blocks of a bounded sample of pages that stand in containers of a plain meaning,
+and the evidence of its containers. The costs become capacities to the two terminals; neighbouring blocks, and blocks
+of one container, get smoothness edges that get weaker with the distance in the tree. The minimum cut, found by
+maximum flow, separates content from boilerplate, so that a short line inside an article and a sentence inside a notice go
+with what surrounds them. Pages are independent rows, so the work is one pass over Arrow batches without a shuffle.
 """
 
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+from visagelake.llm._arrow import slices
+
+TAG = re.compile(r"</?([A-Za-z][^\s/><\"']*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Za-z]+")
+TOGETHER = 4_000_000  # bytes of html handled together
 
 RAW = frozenset("script style textarea title noscript iframe svg math template select object canvas audio video head".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr figure fieldset menu dialog details blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre address figcaption caption summary legend option button label".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TEXT_TAGS = frozenset("p pre blockquote".split())
 
-#: Score of a block inside a container of this tag (content is positive).
-TAG_SCORES = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "menu": -4.0, "dialog": -4.0, "fieldset": -3.0, "header": -3.0, "article": 2.5, "main": 2.5}
-#: Score of a container whose class, id or role holds this word.
-NAME_SCORES = dict.fromkeys(
+#: Evidence that containers of a plain meaning pass to their blocks (log odds, content is positive).
+TAG_EVIDENCE = {"nav": -2.5, "footer": -2.5, "aside": -2.5, "menu": -2.5, "dialog": -2.5, "fieldset": -1.2, "form": -1.2}
+CONTENT, NAMED, PARTLY, HEADER, HEADER_INSIDE, LEAST = 1.2, -2.5, -0.3, -1.5, -0.6, -5.0
+#: Names (class, id, role) of boilerplate and of content, and the words that may stand beside them in such a name.
+BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal newsletter subscribe "
     "subscription share sharing social related recommended sidebar navigation navbar nav menu breadcrumb breadcrumbs pagination footer comment comments "
-    "disqus reply replies respond widget login signup search toolbar contentinfo complementary copyright".split(),
-    -5.0,
+    "disqus reply replies respond login signup toolbar contentinfo complementary copyright".split()
 )
-SMOOTH_NEXT, SMOOTH_SIBLING, SMOOTH_APART = 0.5, 0.3, 0.1
-
-
-def container_score(tag: str, attributes: str, inside: float) -> float:
-    """Score that a container passes to its blocks: the page's own header and footer count against them, those of
-    an article less so; a name for boilerplate outweighs everything around it."""
-    score = TAG_SCORES.get(tag, 0.0)
-    if tag == "header" and inside > 0:
-        score = -0.5
-    named = 0.0
-    if attributes:
-        for _, value in ATTRIBUTE.findall(attributes):
-            named = min([named, *(NAME_SCORES.get(w.lower(), 0.0) for w in WORDS.findall(value))])
-    if named < 0 and tag not in ("html", "body", "main", "article"):
-        score = min(score, 0.0) + named
-    if score < 0:
-        return min(inside, 0.0) + score
-    return inside if inside < 0 else max(inside, score)
-
-
-def blocks_of(page: str) -> list[tuple[str, str, int, float, int]]:
-    """Blocks in page order: text, tag, number of the container, score of the containers, characters in links."""
-    out: list[tuple[str, str, int, float, int]] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
-    tag, parts, linked, in_link, made, at = "", [], 0, 0, 0, 0
+CONTENT_NAMES = frozenset("article content post entry story text body main".split())
+HELPERS = frozenset(
+    "box bar block list section wrap wrapper container area links link buttons button top bottom left right main site page form item items inner outer widget group row col "
+    "content text header title global primary secondary first last mobile desktop holder region panel".split()
+)
+#: Words that speak of a page's machinery.
+BOILERPLATE_WORDS = frozenset(
+    "subscribe newsletter cookie cookies login logout signup advertisement sponsored copyright reply replies comment comments share tweet privacy terms unsubscribe "
+    "register permalink breadcrumb sitemap menu ago posted upvote".split()
+)
+#: Weights of features() before anything is learnt, and how many blocks they count for.
+PRIOR, PRIOR_BLOCKS, TEXT_MOST = np.array([-1.3, 2.6, -3.0, 0.7, -2.4, -1.5]), 50.0, 3.0
+#: Capacities: next block (shared out by the distance in the tree), block of the same container; longest distance that counts.
+SMOOTH_NEXT, SMOOTH_SAME, DISTANCE_MOST = 1.2, 0.6, 6
+
+
+def named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether a container's names tell of boilerplate in whole or in part, or of content: of a name in whole, every
+    word is a word for boilerplate or a helper."""
+    whole = partly = content = False
+    for value in ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+            some = sum(w in BOILERPLATE_NAMES for w in words)
+            if some and all(w in BOILERPLATE_NAMES or w in HELPERS for w in words):
+                whole = True
+            elif some:
+                partly = True
+            elif words and all(w in CONTENT_NAMES or w in HELPERS for w in words) and any(w in CONTENT_NAMES for w in words):
+                content = True
+    return whole, partly, content
+
+
+def container_evidence(tag: str, attributes: str, inside: float) -> float:
+    """Evidence that a container passes to its blocks, given that of the container around it. An article in a form is an
+    article; one in a sidebar is not."""
+    found = inside
+    if tag in ("article", "main"):
+        found = CONTENT if inside > -2.0 else inside
+    elif tag == "header":
+        found = inside + HEADER_INSIDE if inside > 0 else min(inside, HEADER)
+    elif tag in TAG_EVIDENCE:
+        found = min(inside, 0.0, TAG_EVIDENCE[tag])
+    if attributes and tag not in ("html", "body"):
+        whole, partly, content = named(attributes)
+        if whole and tag not in ("main", "article"):
+            found = min(found, 0.0) + NAMED
+        elif partly:
+            found += PARTLY
+        elif content and found > -1.0 and tag not in TAG_EVIDENCE:
+            found = max(found, CONTENT / 2)
+    return max(found, LEAST)
+
 
-    def text_seen(upto: int) -> None:
-        nonlocal linked
-        if upto > at:
-            piece = page[at:upto]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+class Block:
+    """Text, container (number), evidence of the containers, characters in links."""
+
+    __slots__ = ("text", "container", "around", "linked")
+
+    def __init__(self, text: str, container: int, around: float, linked: int):
+        self.text, self.container, self.around, self.linked = text, container, around, linked
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of comments (no name) and tags, in one pass: a tag whose quotes never
+    close ends at the first '>', and so do all tags after it, so that no part of a page is searched again and again."""
+    at, loose = 0, False
+    unclosed: set[str] = set()
+    while (start := page.find("<", at)) >= 0:
+        follows = page[start + 1 : start + 2]
+        if follows in ("!", "?"):
+            opening, closing = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, start)), ("<!", ">"))
+            end = page.find(closing, start + len(opening))
+            at = end + len(closing) if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        found = TAG.match(page, start)
+        if not found:
+            at = start + 1
+            continue
+        name, closing, place, end = found[1].lower(), follows == "/", found.end(), -1
+        while not loose:
+            mark = QUOTE_OR_END.search(page, place)
+            if mark and mark[0] == ">":
+                end = mark.start()
+                break
+            place = page.find(mark[0], mark.end()) + 1 if mark else 0
+            if not place:
+                loose = True
+        if end < 0 and (end := page.find(">", found.end())) < 0:
+            return
+        attributes = page[found.end() : end]
+        at = end + 1
+        if name in RAW and not closing and not attributes.endswith("/"):
+            ended = None if name in unclosed else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            if ended:
+                at = ended.end()
+            else:
+                unclosed.add(name)
+                if name != "head":
+                    at = len(page)
+        yield start, at, name, closing, attributes
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks in page order, and the parent of every container."""
+    out: list[Block] = []
+    parents = [0]
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    opened: Counter[str] = Counter()
+    parts, linked, in_link, at = [], 0, False, 0
 
     def close() -> None:
         nonlocal parts, linked
@@ -75,62 +158,95 @@ def blocks_of(page: str) -> list[tuple[str, str, int, float, int]]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, tag, stack[-1][1], stack[-1][2], linked))
+                out.append(Block(text, stack[-1][1], stack[-1][2], linked))
         parts, linked = [], 0
 
-    match = MARKUP.search(page)
-    while match:
-        start, end = match.span()
-        text_seen(start)
+    for start, end, name, closing, attributes in markup(page):
+        if start > at:
+            parts.append(page[at:start])
+            linked += len(parts[-1].strip()) if in_link else 0
         at = end
-        name = match[2].lower() if match[2] else ""
         if name in RAW:
-            if not match[1] and not (match[3] or "").endswith("/"):
-                closing = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, end)
-                if closing:
-                    at = closing.end()
-                elif name != "head":
-                    at = len(page)
-        elif name in BLOCKS:
+            continue
+        if name in BLOCKS:
             close()
             if name in CONTAINERS:
-                if not match[1]:
-                    made += 1
-                    stack.append((name, made, container_score(name, match[3], stack[-1][2])))
-                elif any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            tag = "" if match[1] else name
-            if not match[1]:
-                in_link = 0
+                if not closing:
+                    parents.append(stack[-1][1])
+                    stack.append((name, len(parents) - 1, container_evidence(name, attributes, stack[-1][2])))
+                    opened[name] += 1
+                elif opened[name]:
+                    while True:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                        if last == name:
+                            break
+            if not closing:
+                in_link = False
         elif name == "a":
-            in_link = 0 if match[1] else 1
+            in_link = not closing
         elif name in ("br", "hr", "img", "input"):
             parts.append(" ")
-        match = MARKUP.search(page, at)
-    text_seen(len(page))
+    if at < len(page):
+        parts.append(page[at:])
+        linked += len(parts[-1].strip()) if in_link else 0
     close()
-    return out
+    return out, parents
+
+
+def features(b: Block) -> list[float]:
+    """What a block's own text tells: constant, length, links, end of a sentence, machinery, copyright."""
+    n = len(b.text)
+    low = b.text[:400].lower() if n < 400 else ""
+    words = WORDS.findall(low)
+    machinery = sum(w in BOILERPLATE_WORDS for w in words) / max(len(words), 1)
+    return [
+        1.0,
+        min(2.0, 0.5 * math.log1p(n / 20)),
+        min(1.0, b.linked / n),
+        float(b.text[-1] in ".!?…。:;\"”'’)"),
+        min(1.0, 4 * machinery),
+        float(n < 200 and ("©" in b.text or "copyright" in low)),
+    ]
+
 
+def learnt(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic classifier with PRIOR as its prior; Newton's steps, half of all weight to either label."""
+    w = PRIOR.copy()
+    if not 0 < labels.sum() < len(labels):
+        return w
+    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        slope = rows.T @ (weight * (labels - p)) - PRIOR_BLOCKS * (w - PRIOR)
+        curve = (rows * (weight * p * (1 - p))[:, None]).T @ rows + PRIOR_BLOCKS * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
-def block_score(text: str, tag: str, around: float, linked: int) -> float:
-    """Log odds of content of one block."""
-    n = len(text)
-    score = around + min(2.0, 0.5 * math.log1p(n / 20)) - 3.0 * min(1.0, linked / n)
-    score += 1.0 if tag in TEXT_TAGS else 0.3 if tag in HEADINGS else 0.0
-    if n < 20:
-        score -= 0.3
-    if text[-1] in ".!?…。":
-        score += 0.5
-    if n < 200 and ("©" in text or "copyright" in text.lower()):
-        score -= 1.5
-    return score
 
+def edges_of(blocks: list[Block], parents: list[int]) -> list[tuple[int, int, float]]:
+    """Neighbouring blocks, less the farther apart they stand in the tree, and blocks of one container with others between."""
 
-def smooth_edges(containers: list[int]) -> list[tuple[int, int, float]]:
-    """Adjacent blocks, and the next but one with the same container."""
-    edges = [(i, i + 1, SMOOTH_NEXT if containers[i] == containers[i + 1] else SMOOTH_APART) for i in range(len(containers) - 1)]
-    return edges + [(i, i + 2, SMOOTH_SIBLING) for i in range(len(containers) - 2) if containers[i] == containers[i + 2]]
+    def distance(a: int, b: int) -> int:
+        steps = 0
+        while a != b and steps < DISTANCE_MOST:  # a container's number is larger than its parent's
+            a, b = (parents[a], b) if a > b else (a, parents[b])
+            steps += 1
+        return steps
+
+    at = [b.container for b in blocks]
+    edges = [(i, i + 1, SMOOTH_NEXT / (1 + distance(at[i], at[i + 1]))) for i in range(len(at) - 1)]
+    last: dict[int, int] = {}
+    for i, container in enumerate(at):
+        if last.get(container, i - 1) != i - 1:
+            edges.append((last[container], i, SMOOTH_SAME))  # a list or table stands between
+        elif i > 1 and at[i - 2] == container:
+            edges.append((i - 2, i, SMOOTH_SAME))
+        last[container] = i
+    return edges
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -187,28 +303,55 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
                     room[e ^ 1] += flow
 
 
-def main_text(page: str | None) -> str:
-    """Main text of one page; empty for a null or empty page, or one without content."""
-    blocks = blocks_of(page or "")
+def costs(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """Log odds of content of every block: its text's, bounded, and its containers'."""
     if not blocks:
-        return ""
-    scores = [block_score(text, tag, around, linked) for text, tag, _, around, linked in blocks]
-    if all(s <= 0 for s in scores):
-        return ""
-    content = minimum_cut(scores, smooth_edges([b[2] for b in blocks]))
-    return " ".join(b[0] for b, kept in zip(blocks, content, strict=True) if kept)
+        return []
+    own = np.clip(np.array([features(b) for b in blocks]) @ weights, -TEXT_MOST, TEXT_MOST)
+    return [float(s) + b.around for s, b in zip(own, blocks, strict=True)]
+
+
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
+    """Main text of one page; empty for a null or empty page, or one without content."""
+    blocks, parents = blocks_of(page or "")
+    content = minimum_cut(costs(blocks, weights), edges_of(blocks, parents))
+    return " ".join(b.text for b, kept in zip(blocks, content, strict=True) if kept)
+
+
+def train(pages: DataFrame, html_col: str = "html", sample: int = 500, page_blocks: int = 200) -> np.ndarray:
+    """Weights learnt from sample pages, drawn by a hash of their html, and page_blocks blocks of each at most.
+
+    Blocks in an article or main text are content, blocks with strong evidence against them boilerplate; others are
+    not learnt from. Without blocks of either kind, PRIOR.
+    """
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in found for part in slices(whole, 0, TOGETHER)):
+            rows, labels = [], []
+            for page in batch.column(0).to_pylist():
+                told = [b for b in blocks_of(page)[0] if b.around >= CONTENT or b.around <= -2.0][:page_blocks]
+                rows += [features(b) for b in told]
+                labels += [int(b.around > 0) for b in told]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["row", "label"])
+
+    source = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null")
+    drawn = source.orderBy(F.xxhash64("html"), "html").limit(sample)
+    found = sorted((tuple(r.row), r.label) for r in drawn.mapInArrow(batches, "row array<double>, label int").collect())  # sample x page_blocks rows at most
+    return learnt(np.array([r for r, _ in found]).reshape(len(found), len(PRIOR)), np.array([label for _, label in found], dtype=float))
 
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), **options) -> DataFrame:
     """Main text of every page.
 
     Returns the columns in keep (which may be null), text string and n_chars long (code points), one row per input
-    row, in whole. Other columns are not carried, so none can clash. A null, empty or unreadable page has an empty text.
+    row, in whole; equal pages get equal texts. Other columns are not carried, so none can clash. A null, empty or unreadable page has an empty
+    text; of broken markup what can be read counts, in time proportional to its length.
     """
+    weights = train(pages, html_col, **options)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            texts = [main_text(p) for p in batch.column(0).to_pylist()]
+        for batch in (part for whole in found for part in slices(whole, 0, TOGETHER)):
+            texts = [main_text(p, weights) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
     names = [f"k{i}" for i in range(len(keep))]
