@@ -75,7 +75,7 @@ def test_learnt_weights():
     rows = np.hstack([np.ones((20000, 1)), draw.random((20000, 5))])
     labels = (rows[:, 1] + 0.2 * draw.normal(size=20000) > 0.5).astype(float)
     w = html.learnt(rows, labels)
-    assert ((rows @ w > 0) == (labels > 0)).mean() > 0.85
+    assert ((rows @ w > 0) == (labels > 0)).mean() > 0.8
     assert (html.learnt(rows, np.ones(20000)) == html.PRIOR).all() and (html.learnt(np.empty((0, 6)), np.empty(0)) == html.PRIOR).all()
 
 

@@ -211,18 +211,22 @@ def features(b: Block) -> list[float]:
 
 
 def learnt(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Weights of a logistic classifier with PRIOR as its prior; Newton's steps, half of all weight to either label."""
+    """Weights of a logistic classifier with PRIOR as its prior; Newton's steps, halved where they overshoot, half of all
+    weight to either label."""
     w = PRIOR.copy()
     if not 0 < labels.sum() < len(labels):
         return w
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    for _ in range(30):
+    loss = lambda v: float(weight @ (np.logaddexp(0, rows @ v) - labels * (rows @ v)) + PRIOR_BLOCKS / 2 * ((v - PRIOR) ** 2).sum())
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         slope = rows.T @ (weight * (labels - p)) - PRIOR_BLOCKS * (w - PRIOR)
         curve = (rows * (weight * p * (1 - p))[:, None]).T @ rows + PRIOR_BLOCKS * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w = w + step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
