@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import _scratch, bpe, chat, decontamination, html, neardup, quality, rules, secrets, sharding, urls
+from visagelake.llm import bpe, chat, decontamination, html, neardup, quality, rules, secrets, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), save=_scratch.save))
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op1_neardup": op1_neardup, "op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
