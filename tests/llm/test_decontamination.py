@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from visagelake.llm import decontamination as d
 
 ITEM = "Anna walks 12 km to school every day, then Peter gives her 5 apples and she walks home again with 3 friends."
@@ -75,3 +78,43 @@ def test_empty(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert d.contaminated(docs, items.limit(0)).collect() == []
     assert d.contaminated(docs.limit(0), items).collect() == []
+
+
+FRAMES = [
+    "On Monday {a} bought {x} kg of rice and gave {y} of the bags to {b}, who sold them again. How many bags did {a} keep, if {b} paid {z} euros for each of them?",
+    "A train leaves the town at {x} and drives {y} miles to the coast, where {a} waits for {b}. After {z} minutes {b} comes out of the station and greets {a} with a smile.",
+    "The teacher asked {a} to share {x} pencils with {b} and with {y} other children. Each child then lost {z} pencils on the way home, so how many were left with {a}?",
+    "In the garden of {a} there are {x} trees, and every tree bears {y} apples. If {b} picks {z} of them each day, how long does it take until the trees are bare?",
+    "When {a} was {x} years old, the house of {b} had {y} rooms with {z} windows each, and the two of them cleaned every window before the winter came.",
+]
+NAMES = "Anna Peter Carla Hugo Mary-Ann Ruth Oscar Ida Walter Nora Felix Greta Simon Edith Martin Clara".split()
+SURNAMES = "Miller Baker Fisher Carter Hunter Mason Porter Weaver".split()
+
+
+def filled(rng, frame, longest=1):
+    names = [" ".join([n, *rng.sample(SURNAMES, rng.randint(0, longest - 1))]) for n in rng.sample(NAMES, 2)]
+    x, y, z = rng.sample(range(3, 900), 3)
+    return frame.format(a=names[0], b=names[1], x=x, y=y, z=z)
+
+
+@pytest.mark.parametrize("how", ["plain", "long names", "inserted", "lower case", "upper case", "left out"])
+def test_recall_on_reparameterised_questions(spark, how):
+    """Other names of one to three words, other numbers, two inserted words, other case: nine in ten at least are found."""
+    rng = random.Random(how)
+    items = [(k, filled(rng, frame)) for k, frame in enumerate(FRAMES)]
+    rows = []
+    for i in range(100):
+        text = filled(rng, FRAMES[i % 5], 3 if how in ("long names", "lower case") else 1)
+        words = text.split()
+        if how == "inserted":
+            words.insert(rng.randint(1, len(words) - 1), rng.choice(["very gladly", "of course", "so then"]))
+        if how == "left out":
+            del words[rng.randint(1, len(words) - 2)]
+        text = " ".join(words)
+        text = text.lower() if how == "lower case" else text.upper() if how == "upper case" else text
+        rows.append((i, f"Something stands before it, as ever. {text} And something after it."))
+    for i, text in enumerate(("They walked along the river and spoke of the weather, of the harvest and of old friends.", "The train to the coast leaves at noon, and nobody waits at the station.", "Every child lost a pencil, so the teacher bought new ones and shared them out.")):
+        rows.append((1000 + i, text))
+    found = {(r.doc_id, r.item_id) for r in d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i % 5) in found for i in range(100)) >= 90
+    assert not {i for i, _ in found if i >= 1000} and not {(i, k) for i, k in found if k != i % 5}

@@ -1,15 +1,15 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units after a number and capitalised names inside a sentence turn into typed
-placeholders, everything else is lower-cased. Windows of the template and of the lower-cased words
-themselves are hashed and joined with those of the benchmark; the words find verbatim copies in any case, and of items
-that are mostly placeholders. Matches along one alignment of a document and an item give its coverage; then the words behind the
-placeholders must correspond one to one along that alignment, so that a question with other numbers or names is
-caught and a chance likeness of templates is not. Built from DataFrame functions only.
+placeholders, runs of names or of numbers into one, everything else is lower-cased. Three kinds of windows are hashed and
+joined with those of the benchmark: windows of the template; windows of the lower-cased words themselves, which find
+verbatim copies in any case, and of items that are mostly placeholders; and short windows of the words between an
+item's placeholders, which find it where names are not written with capitals. The hits of one kind in a document and an
+item are chained over nearby offsets, so that inserted or left out words do not cut an item in two, and give its
+coverage; then the words behind the placeholders must correspond one to one, so that a question with other numbers or
+names is caught and a chance likeness of templates is not. Built from DataFrame functions only.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +32,17 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def templates(df: DataFrame, text: Column) -> DataFrame:
-    """df with `canon` (words with placeholders) and `raw` (lower-cased words), aligned; empty for a null text."""
+def kinds_of(text: Column) -> Column:
+    """Words of a text in order: (kind, word), the kind being a placeholder or the word, in lower case; marks that end a
+    sentence are left out."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
+    both = F.transform(found, lambda w: F.struct(w.alias("w"), F.lower(w).alias("l")))
 
-    def typed(tokens: Column, word: Column, at: Column) -> Column:
-        before = F.get(tokens, at - 1)
-        low = F.lower(word)
-        plain = (word == low)
+    def typed(tokens: Column, token: Column, at: Column) -> Column:
+        before, word, low = F.get(tokens, at - 1)["w"], token["w"], token["l"]
         digit = (word >= "0") & (word < ":")
         number_before = (before >= "0") & (before < ":")
-        name = ~plain & (at > 0) & ~before.isin(*STOPS, *SIGNS) & (F.char_length(word) > 1) & (F.substring(word, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
+        name = (word != low) & (at > 0) & ~before.isin(*STOPS, *SIGNS) & (F.char_length(word) > 1) & (F.substring(word, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
         kind = (
             F.when(word.isin(*STOPS), F.lit(None))
             .when(digit, F.lit(NUMBER))
@@ -51,29 +51,88 @@ def templates(df: DataFrame, text: Column) -> DataFrame:
             .when(name, F.lit(NAME))
             .otherwise(low)
         )
-        return F.struct(kind.alias("canon"), low.alias("raw"))
+        return F.struct(kind.alias("kind"), low.alias("word"))
+
+    return let(both, lambda tokens: F.filter(F.transform(tokens, lambda t, i: typed(tokens, t, i)), lambda p: p["kind"].isNotNull()))
+
+
+def collapsed(words: Column) -> Column:
+    """(kind, word) with every run of names or of numbers as one, whose word is that of the run (its first four words)."""
+    run = lambda p: p["kind"].isin(NAME, NUMBER)
+
+    def one(p: Column, i: Column) -> Column:
+        follows = [F.get(words, i + k) for k in (1, 2, 3)]
+        more, same = [], F.lit(True)
+        for f in follows:
+            same = same & (f["kind"] == p["kind"])
+            more.append(F.when(same, f["word"]))
+        text = F.when(run(p) & (follows[0]["kind"] == p["kind"]), F.concat_ws(" ", p["word"], *more)).otherwise(p["word"])
+        inside = run(p) & F.coalesce(F.get(words, i - 1)["kind"] == p["kind"], F.lit(False))
+        return F.struct(F.when(~inside, p["kind"]).alias("kind"), text.alias("word"))
+
+    return F.filter(F.transform(words, one), lambda p: p["kind"].isNotNull())
+
+
+def templates(df: DataFrame, text: Column) -> DataFrame:
+    """df with `raw` (words), `kinds` (their kinds), and the template: `canon` with runs collapsed and `slots`, its words."""
+    named = df.withColumn("pairs", kinds_of(text)).withColumn("short", let(F.col("pairs"), collapsed))
+    columns = {"raw": F.col("pairs")["word"], "kinds": F.col("pairs")["kind"], "canon": F.col("short")["kind"], "slots": F.col("short")["word"]}
+    return named.withColumns(columns).drop("pairs", "short")
 
-    pairs = let(found, lambda tokens: F.filter(F.transform(tokens, lambda w, i: typed(tokens, w, i)), lambda p: p["canon"].isNotNull()))
-    return df.withColumn("pairs", pairs).withColumns({"canon": F.col("pairs")["canon"], "raw": F.col("pairs")["raw"]}).drop("pairs")
 
+def windows(words: Column, kind: str, length: int) -> Column:
+    """Hashes of all windows of a kind and length, in order; none for shorter texts."""
+    starts = lambda h: F.slice(h, 1, F.greatest(F.size(h) - length + 1, F.lit(0)))
+    hashed = lambda h, first, i: F.xxhash64(F.lit(f"{kind}{length}"), first, *(F.get(h, i + k) for k in range(1, length)))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(starts(h), lambda first, i: hashed(h, first, i)))
 
-def windows(canon: Column, length: int) -> Column:
-    """Hashes of all windows of a length, in order; none for shorter texts."""
-    starts = lambda words: F.slice(words, 1, F.greatest(F.size(words) - length + 1, F.lit(0)))
-    hashed = lambda words, h, i: F.xxhash64(F.lit(length), h, *(F.get(words, i + k) for k in range(1, length)))
-    return let(F.transform(canon, lambda w: F.xxhash64(w)), lambda words: F.transform(starts(words), lambda h, i: hashed(words, h, i)))
 
+def is_slot(kind: Column) -> Column:
+    return kind.startswith("\x02")
 
-def both_windows(canon: Column, raw: Column, length: int) -> Column:
-    """Hashes of the template's windows, then those of the words' windows; null where both are the same window."""
-    of = F.struct(windows(canon, length).alias("c"), windows(raw, length).alias("r"))
-    return let(of, lambda w: F.concat(w["c"], F.zip_with(w["c"], w["r"], lambda c, r: F.nullif(r, c))))
 
+def literals(kinds: Column, at: Column, length: int) -> Column:
+    """Words of a window that are no placeholders."""
+    return F.size(F.filter(F.slice(kinds, at + 1, length), lambda w: ~is_slot(w)))
 
-def literal_enough(canon: Column, at: Column, length: int) -> Column:
-    """At least half of a window's words are no placeholders."""
-    literal = F.filter(F.slice(canon, at + 1, length), lambda w: ~w.startswith("\x02"))
-    return F.size(literal) * 2 >= length
+
+#: Kinds of windows with the array that they are cut from; words of a window between placeholders; positions of a band.
+KINDS, BETWEEN, BAND = {"canon": "canon", "raw": "raw", "between": "raw"}, 4, 64
+
+
+def sought_windows(items: DataFrame, length: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Windows (item, version, kind, n, item_at, hash) of items, and the kinds and lengths that there are."""
+    least = lambda c: F.least(F.size(c), F.lit(length))
+    found = items.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), least(k).alias("n")) for k in ("canon", "raw")))).alias("f")).distinct()
+    kinds = sorted((r.f.kind, r.f.n) for r in found.collect())  # two times length values at most
+    parts = []
+    for kind, n in kinds:
+        one = items.where(least(kind) == n).select("item", "version", "canon", F.posexplode(windows(F.col(kind), kind, n)).alias("item_at", "hash"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
+        parts.append(one.where((F.lit(kind) == "raw") | (2 * literals(F.col("canon"), F.col("item_at"), n) >= length)).drop("canon"))
+    if kinds:
+        with_slots = items.where(F.exists("kinds", is_slot))
+        one = with_slots.select("item", "version", "kinds", F.posexplode(windows(F.col("raw"), "between", BETWEEN)).alias("item_at", "hash"), F.lit("between").alias("kind"), F.lit(BETWEEN).alias("n"))
+        parts.append(one.where(literals(F.col("kinds"), F.col("item_at"), BETWEEN) == BETWEEN).drop("kinds"))
+        kinds.append(("between", BETWEEN))
+    out = parts[0] if parts else items.select("item", "version", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("kind"), F.lit(0).alias("n")).limit(0)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct(), kinds
+
+
+def seen_windows(texts: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """(doc, text_hash, sizes, pos, hash) of all windows of texts, each text cut up once; see place()."""
+    cut = F.concat(*(windows(F.col(KINDS[kind]), kind, n) for kind, n in kinds)) if kinds else F.array().cast("array<bigint>")
+    return texts.select("doc", "text_hash", F.size("canon").alias("n_canon"), F.size("raw").alias("n_raw"), F.posexplode(cut).alias("pos", "hash"))
+
+
+def place(kinds: list[tuple[str, int]]) -> Column:
+    """Position of a hit in its document: that of its window among all, without the kinds and lengths before its own."""
+    before, out = F.lit(0), F.lit(None).cast("int")
+    for kind, n in kinds:
+        out = F.when((F.col("kind") == kind) & (F.col("n") == n), F.col("pos") - before).otherwise(out)
+        before = before + F.greatest(F.col(f"n_{KINDS[kind]}") - (n - 1), F.lit(0))
+    return out
 
 
 def contaminated(
@@ -90,55 +149,53 @@ def contaminated(
     """Documents that hold benchmark items, with the items.
 
     Returns (id_col, item_col, covered, n_words, n_slots, verbatim), one row per pair: words of the item covered by
-    matching windows, its words, its placeholders among them, and whether those hold the item's own words. An item
-    shorter than a window is sought as one window of its length. Windows with more than half placeholders are sought
-    with the item's own words only, not with other numbers or names. An item without words, a null or empty text, and
-    null ids never match. Repeated documents or items give one row per pair of ids (of equal ids with different
-    texts, the better match). Only ids and texts are read, so other columns cannot clash.
+    matching windows, its words (of its template, where that matches best), its placeholders among them, and whether those
+    hold the item's own words. An item shorter than a window is sought as one window of its length. Template windows
+    with fewer than length / 2 other words are sought with the item's own words only, not with other numbers or names.
+    Where the template matches more of an item than anything else and its slots contradict each other, the pair is none. An item
+    without words, a null or empty text, and null ids never match. Repeated documents or items give one row per pair of
+    ids (of equal ids with different texts, and of several copies in one text, the best match). Texts of any length are cut
+    up whole; what is kept of one text and item is bounded by the item's length and BAND. Only ids and texts are read, so
+    other columns cannot clash.
     """
     items = templates(
         benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")).distinct(), F.col("t")
     ).withColumn("version", F.xxhash64("t")).drop("t").where(F.size("canon") > 0)
     items = _scratch.save(items, "items")
-    lengths = [r.n for r in items.select(F.least(F.size("canon"), F.lit(length)).alias("n")).distinct().collect()]  # length values at most
-    if not lengths:
-        lengths = [length]
-    of_length = lambda n: items.where(F.least(F.size("canon"), F.lit(length)) == n)
-    kept = lambda n: [
-        of_length(n).select("item", "version", "canon", F.posexplode(windows(F.col(words), n)).alias("item_at", "hash"), F.lit(n).alias("n"))
-        .where(literal_enough(F.col("canon"), F.col("item_at"), n) | F.lit(words == "raw")).drop("canon")
-        for words in ("canon", "raw")
-    ]
-    sought = reduce(DataFrame.unionByName, [part for n in lengths for part in kept(n)]).distinct()
+    sought, kinds = sought_windows(items, length)
     sought = _scratch.save(sought, "windows")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
-    canon = templates(texts, F.col("t")).withColumn("text_hash", F.xxhash64("t"))
-    starts = lambda n: F.size("canon") - (n - 1)
-    seen = reduce(
-        DataFrame.unionByName,
-        [
-            canon.select("doc", "text_hash", starts(n).alias("starts"), F.posexplode(both_windows(F.col("canon"), F.col("raw"), n)).alias("at", "hash"))
-            .where("hash is not null").select("doc", "text_hash", (F.col("at") % F.col("starts")).alias("at"), "hash")
-            for n in lengths
-        ],
-    )
-    hits = seen.join(small(sought, broadcast_rows), "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    pairs = hits.groupBy("doc", "text_hash", "item", "version", "shift").agg(F.collect_set(F.struct("item_at", "n")).alias("where"))  # within one item's length
-    words = F.array_distinct(F.flatten(F.transform("where", lambda w: F.sequence(w["item_at"], w["item_at"] + w["n"] - 1))))
-    pairs = pairs.withColumn("words", words).drop("where")
-    likely = pairs.join(small(items.withColumnsRenamed({"canon": "item_canon", "raw": "item_raw"}), broadcast_rows // 20), ["item", "version"]).where(
-        F.size("words") >= coverage * F.size("item_canon")
-    )
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).withColumn("text_hash", F.xxhash64("t"))
+    seen = seen_windows(templates(texts, F.col("t")), kinds)
+    hits = seen.join(small(sought, broadcast_rows), "hash").withColumn("shift", place(kinds) - F.col("item_at"))
+    bands = F.array_distinct(F.array(*(F.struct(F.lit(side).alias("side"), F.floor((F.col("shift") + side * BAND // 2) / BAND).alias("band")) for side in (0, 1))))
+    banded = hits.select("doc", "text_hash", "item", "version", "kind", "n", "item_at", "shift", F.explode(bands).alias("b"))
+    pairs = banded.groupBy("doc", "text_hash", "item", "version", "kind", "b").agg(F.collect_set(F.struct("item_at", "n", "shift")).alias("hits"))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["item_at"], h["item_at"] + h["n"] - 1))))
+    described = items.withColumnsRenamed({"canon": "i_canon", "raw": "i_raw", "kinds": "i_kinds", "slots": "i_slots"})
+    whole = F.when(F.col("kind") == "between", F.size(F.filter("i_kinds", lambda k: ~is_slot(k)))).when(F.col("kind") == "raw", F.size("i_raw")).otherwise(F.size("i_canon"))
+    likely = pairs.withColumn("words", covered).join(small(described, broadcast_rows // 20), ["item", "version"]).withColumn("n_words", whole).where(F.size("words") >= coverage * F.col("n_words"))
     likely = _scratch.save(likely, "likely")
-    again = texts.withColumn("text_hash", F.xxhash64("t")).join(small(likely.select("doc").distinct(), broadcast_rows), "doc", "left_semi")
-    both = templates(again, F.col("t")).select("doc", "text_hash", "raw").distinct().join(likely, ["doc", "text_hash"])
-    slots = F.filter("words", lambda w: F.get(F.col("item_canon"), w).startswith("\x02"))
-    matched = F.array_distinct(F.transform(slots, lambda w: F.struct(F.get(F.col("item_raw"), w).alias("a"), F.get(F.col("raw"), w + F.col("shift")).alias("b"))))
-    both = both.select("doc", "item", "words", "item_canon", F.size(slots).alias("n_slots"), matched.alias("matched"))
+    again = texts.join(small(likely.select("doc").distinct(), broadcast_rows), "doc", "left_semi")
+    own = templates(again, F.col("t")).select("doc", "text_hash", "raw", "slots").distinct()
+    both = own.join(likely, ["doc", "text_hash"])
+    votes = lambda shift: F.size(F.filter("hits", lambda g: g["shift"] == shift))
+    over = lambda w: F.filter("hits", lambda h: (h["item_at"] <= w) & (w < h["item_at"] + h["n"]))
+    shift_of = lambda w: F.array_max(F.transform(over(w), lambda h: F.struct(votes(h["shift"]).alias("v"), h["shift"].alias("s"))))["s"]
+    told = lambda w, item, doc: F.struct(F.get(item, w).alias("a"), F.get(doc, w + shift_of(w)).alias("b"))
+    after = F.filter("words", lambda w: is_slot(F.get(F.col("i_kinds"), w + 1)))  # the word before a placeholder
+    matched = (
+        F.when(F.col("kind") == "canon", F.transform(F.filter("words", lambda w: is_slot(F.get(F.col("i_canon"), w))), lambda w: told(w, F.col("i_slots"), F.col("slots"))))
+        .when(F.col("kind") == "raw", F.transform(F.filter("words", lambda w: is_slot(F.get(F.col("i_kinds"), w))), lambda w: told(w, F.col("i_raw"), F.col("raw"))))
+        .otherwise(F.transform(after, lambda w: F.struct(F.get(F.col("i_raw"), w + 1).alias("a"), F.get(F.col("raw"), w + shift_of(w) + 1).alias("b"))))
+    )
+    both = both.select("doc", "item", "kind", "words", "n_words", F.size(matched).alias("n_slots"), F.array_distinct(matched).alias("matched"))
     one_to_one = (F.size(F.array_distinct(F.col("matched")["a"])) == F.size("matched")) & (F.size(F.array_distinct(F.col("matched")["b"])) == F.size("matched"))
-    verbatim = F.forall("matched", lambda m: m["a"] == m["b"])
-    best = F.max(F.struct(F.size("words").alias("covered"), verbatim.alias("verbatim"), F.size("item_canon").alias("n_words"), "n_slots")).alias("b")
-    return both.where(one_to_one).groupBy("doc", "item").agg(best).select(
+    verbatim = F.forall("matched", lambda m: F.coalesce(m["a"] == m["b"], F.lit(False))) & (F.col("kind") != "between")
+    best_of = F.struct((F.size("words") / F.col("n_words")).alias("share"), verbatim.alias("verbatim"), F.size("words").alias("covered"), F.col("n_words"), F.col("n_slots"))
+    both = both.withColumn("agrees", one_to_one)
+    against = F.coalesce(F.max(F.when(~F.col("agrees") & (F.col("kind") == "canon"), F.size("words") / F.col("n_words"))), F.lit(0.0)).alias("against")
+    found = both.groupBy("doc", "item").agg(F.max(F.when(F.col("agrees"), best_of)).alias("b"), against).where("b is not null and b.share >= against")
+    return found.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.covered", "b.n_words", "b.n_slots", "b.verbatim"
     )
 
