@@ -1,13 +1,13 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units after a number and capitalised names inside a sentence turn into typed
-placeholders, runs of names or of numbers into one, everything else is lower-cased. Three kinds of windows are hashed and
-joined with those of the benchmark: windows of the template; windows of the lower-cased words themselves, which find
-verbatim copies in any case, and of items that are mostly placeholders; and short windows of the words between an
-item's placeholders, which find it where names are not written with capitals. The hits of one kind in a document and an
-item are chained over nearby offsets, so that inserted or left out words do not cut an item in two, and give its
-coverage; then the words behind the placeholders must correspond one to one, so that a question with other numbers or
-names is caught and a chance likeness of templates is not. Built from DataFrame functions only.
+placeholders, runs of names or of numbers into one, everything else is lower-cased. Two kinds of windows are hashed and
+joined with those of the benchmark: windows of the template, and short windows of the lower-cased words themselves, which
+find verbatim copies in any case, items that are mostly placeholders, and, by the words between the placeholders, items
+whose names are not written with capitals. The hits of one kind in a document and an item are chained over nearby
+offsets, so that inserted or left out words do not cut an item in two, and give its coverage; then the words behind the
+placeholders must correspond one to one, so that a question with other numbers or names is caught and a chance likeness
+of templates is not. Built from DataFrame functions only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,8 @@ from visagelake.llm import _scratch
 from visagelake.llm._scratch import small
 
 NUMBER, NAME, UNIT = "\x02num", "\x02name", "\x02unit"
-TOKENS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[.!?:;|\n%$€£]"
+RAW_TOKENS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*"
+TOKENS = RAW_TOKENS + r"|[.!?:;|\n%$€£]"
 STOPS = tuple(".!?:;|\n")
 SIGNS = tuple("%$€£")
 UNITS = (
@@ -32,50 +33,58 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def kinds_of(text: Column) -> Column:
-    """Words of a text in order: (kind, word), the kind being a placeholder or the word, in lower case; marks that end a
-    sentence are left out."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
-    both = F.transform(found, lambda w: F.struct(w.alias("w"), F.lower(w).alias("l")))
-
-    def typed(tokens: Column, token: Column, at: Column) -> Column:
-        before, word, low = F.get(tokens, at - 1)["w"], token["w"], token["l"]
-        digit = (word >= "0") & (word < ":")
-        number_before = (before >= "0") & (before < ":")
-        name = (word != low) & (at > 0) & ~before.isin(*STOPS, *SIGNS) & (F.char_length(word) > 1) & (F.substring(word, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
-        kind = (
-            F.when(word.isin(*STOPS), F.lit(None))
-            .when(digit, F.lit(NUMBER))
-            .when(word.isin(*SIGNS), F.when(number_before, F.lit(UNIT)))
-            .when(number_before & low.isin(*UNITS), F.lit(UNIT))
-            .when(name, F.lit(NAME))
-            .otherwise(low)
-        )
-        return F.struct(kind.alias("kind"), low.alias("word"))
-
-    return let(both, lambda tokens: F.filter(F.transform(tokens, lambda t, i: typed(tokens, t, i)), lambda p: p["kind"].isNotNull()))
-
-
-def collapsed(words: Column) -> Column:
-    """(kind, word) with every run of names or of numbers as one, whose word is that of the run (its first four words)."""
-    run = lambda p: p["kind"].isin(NAME, NUMBER)
-
-    def one(p: Column, i: Column) -> Column:
-        follows = [F.get(words, i + k) for k in (1, 2, 3)]
-        more, same = [], F.lit(True)
-        for f in follows:
-            same = same & (f["kind"] == p["kind"])
-            more.append(F.when(same, f["word"]))
-        text = F.when(run(p) & (follows[0]["kind"] == p["kind"]), F.concat_ws(" ", p["word"], *more)).otherwise(p["word"])
-        inside = run(p) & F.coalesce(F.get(words, i - 1)["kind"] == p["kind"], F.lit(False))
-        return F.struct(F.when(~inside, p["kind"]).alias("kind"), text.alias("word"))
+def typed(tokens: Column, word: Column, at: Column) -> tuple[Column, Column]:
+    """(kind, goes on) of a word among the tokens of a text: a placeholder or the word in lower case, null for marks; and
+    whether it goes on with a run of names or numbers. Small letters, the common case, are told first."""
+    low = F.lower(word)
+    before, earlier = F.get(tokens, at - 1), F.get(tokens, at - 2)
+    digit = lambda w: (w >= "0") & (w < ":")
+    mark = lambda w: w.isin(*STOPS, *SIGNS)
+    capital = lambda w: (F.char_length(w) > 1) & (F.lower(w) != w) & (F.substring(w, 2, 1 << 20) == F.substring(F.lower(w), 2, 1 << 20))
+    name = capital(word) & before.isNotNull() & ~mark(before)
+    small_letters = F.when(digit(word), F.lit(NUMBER)).when(mark(word), F.lit(None)).when(F.coalesce(digit(before), F.lit(False)) & low.isin(*UNITS), F.lit(UNIT)).otherwise(low)
+    kind = F.when(word == low, small_letters).when(name, F.lit(NAME)).otherwise(low)
+    goes_on = F.when(word == low, digit(word) & digit(before)).otherwise(name & capital(before) & earlier.isNotNull() & ~mark(earlier))
+    return kind, F.coalesce(goes_on, F.lit(False))
+
+
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
+
+
+def raw_words(text: Column) -> Column:
+    """Words and numbers in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RAW_TOKENS), F.lit(0))
+
 
-    return F.filter(F.transform(words, one), lambda p: p["kind"].isNotNull())
+def template(text: Column) -> Column:
+    """The template: kinds of the words, a run as one."""
 
+    def one(tokens: Column, word: Column, at: Column) -> Column:
+        kind, goes_on = typed(tokens, word, at)
+        return F.when(~goes_on, kind)
 
-def templates(df: DataFrame, text: Column) -> DataFrame:
-    """df with `raw` (words), `kinds` (their kinds), and the template: `canon` with runs collapsed and `slots`, its words."""
-    named = df.withColumn("pairs", kinds_of(text)).withColumn("short", let(F.col("pairs"), collapsed))
+    return let(tokens_of(text), lambda tokens: F.filter(F.transform(tokens, lambda w, i: one(tokens, w, i)), lambda k: k.isNotNull()))
+
+
+def described(df: DataFrame, text: Column) -> DataFrame:
+    """df with `raw` (words), `kinds` (their kinds), `canon` (the template) and `slots` (the words behind it, of a run the
+    first four)."""
+
+    def one(tokens: Column, word: Column, at: Column) -> Column:
+        kind, goes_on = typed(tokens, word, at)
+        return F.struct(kind.alias("kind"), F.lower(word).alias("word"), goes_on.alias("on"))
+
+    def run(words: Column, p: Column, i: Column) -> Column:
+        more, same = [], F.lit(True)
+        for k in (1, 2, 3):
+            same = same & F.coalesce(F.get(words, i + k)["on"], F.lit(False))
+            more.append(F.when(same, F.get(words, i + k)["word"]))
+        return F.struct(p["kind"].alias("kind"), p["on"].alias("on"), F.concat_ws(" ", p["word"], *more).alias("word"))
+
+    all_words = let(tokens_of(text), lambda tokens: F.filter(F.transform(tokens, lambda w, i: one(tokens, w, i)), lambda p: p["kind"].isNotNull()))
+    named = df.withColumn("pairs", all_words)
+    named = named.withColumn("short", F.filter(let(F.col("pairs"), lambda words: F.transform(words, lambda p, i: run(words, p, i))), lambda p: ~p["on"]))
     columns = {"raw": F.col("pairs")["word"], "kinds": F.col("pairs")["kind"], "canon": F.col("short")["kind"], "slots": F.col("short")["word"]}
     return named.withColumns(columns).drop("pairs", "short")
 
@@ -96,33 +105,25 @@ def literals(kinds: Column, at: Column, length: int) -> Column:
     return F.size(F.filter(F.slice(kinds, at + 1, length), lambda w: ~is_slot(w)))
 
 
-#: Kinds of windows with the array that they are cut from; words of a window between placeholders; positions of a band.
-KINDS, BETWEEN, BAND = {"canon": "canon", "raw": "raw", "between": "raw"}, 4, 64
+#: Kinds of windows with the words of a window of the second; positions of a band.
+KINDS, SHORT, BAND = ("canon", "raw"), 4, 64
 
 
 def sought_windows(items: DataFrame, length: int) -> tuple[DataFrame, list[tuple[str, int]]]:
     """Windows (item, version, kind, n, item_at, hash) of items, and the kinds and lengths that there are."""
-    least = lambda c: F.least(F.size(c), F.lit(length))
-    found = items.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), least(k).alias("n")) for k in ("canon", "raw")))).alias("f")).distinct()
-    kinds = sorted((r.f.kind, r.f.n) for r in found.collect())  # two times length values at most
-    parts = []
+    least = {"canon": F.least(F.size("canon"), F.lit(length)), "raw": F.least(F.size("raw"), F.lit(min(SHORT, length)))}
+    found = items.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), least[k].alias("n")) for k in KINDS))).alias("f")).distinct()
+    kinds = sorted((r.f.kind, r.f.n) for r in found.collect())  # length + SHORT rows at most
+    out = items.select("item", "version", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("kind"), F.lit(0).alias("n")).limit(0)
     for kind, n in kinds:
-        one = items.where(least(kind) == n).select("item", "version", "canon", F.posexplode(windows(F.col(kind), kind, n)).alias("item_at", "hash"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
-        parts.append(one.where((F.lit(kind) == "raw") | (2 * literals(F.col("canon"), F.col("item_at"), n) >= length)).drop("canon"))
-    if kinds:
-        with_slots = items.where(F.exists("kinds", is_slot))
-        one = with_slots.select("item", "version", "kinds", F.posexplode(windows(F.col("raw"), "between", BETWEEN)).alias("item_at", "hash"), F.lit("between").alias("kind"), F.lit(BETWEEN).alias("n"))
-        parts.append(one.where(literals(F.col("kinds"), F.col("item_at"), BETWEEN) == BETWEEN).drop("kinds"))
-        kinds.append(("between", BETWEEN))
-    out = parts[0] if parts else items.select("item", "version", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("kind"), F.lit(0).alias("n")).limit(0)
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        one = items.where(least[kind] == n).select("item", "version", "canon", F.posexplode(windows(F.col(kind), kind, n)).alias("item_at", "hash"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
+        out = out.unionByName(one.where((F.lit(kind) == "raw") | (2 * literals(F.col("canon"), F.col("item_at"), n) >= length)).drop("canon"))
     return out.distinct(), kinds
 
 
 def seen_windows(texts: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """(doc, text_hash, sizes, pos, hash) of all windows of texts, each text cut up once; see place()."""
-    cut = F.concat(*(windows(F.col(KINDS[kind]), kind, n) for kind, n in kinds)) if kinds else F.array().cast("array<bigint>")
+    cut = F.concat(*(windows(F.col(kind), kind, n) for kind, n in kinds)) if kinds else F.array().cast("array<bigint>")
     return texts.select("doc", "text_hash", F.size("canon").alias("n_canon"), F.size("raw").alias("n_raw"), F.posexplode(cut).alias("pos", "hash"))
 
 
@@ -131,7 +132,7 @@ def place(kinds: list[tuple[str, int]]) -> Column:
     before, out = F.lit(0), F.lit(None).cast("int")
     for kind, n in kinds:
         out = F.when((F.col("kind") == kind) & (F.col("n") == n), F.col("pos") - before).otherwise(out)
-        before = before + F.greatest(F.col(f"n_{KINDS[kind]}") - (n - 1), F.lit(0))
+        before = before + F.greatest(F.col(f"n_{kind}") - (n - 1), F.lit(0))
     return out
 
 
@@ -158,39 +159,47 @@ def contaminated(
     up whole; what is kept of one text and item is bounded by the item's length and BAND. Only ids and texts are read, so
     other columns cannot clash.
     """
-    items = templates(
+    items = described(
         benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")).distinct(), F.col("t")
     ).withColumn("version", F.xxhash64("t")).drop("t").where(F.size("canon") > 0)
     items = _scratch.save(items, "items")
     sought, kinds = sought_windows(items, length)
     sought = _scratch.save(sought, "windows")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    seen = seen_windows(templates(texts, F.col("t")), kinds)
+    cut = texts.select("doc", "text_hash", raw_words(F.col("t")).alias("raw"), template(F.col("t")).alias("canon"))
+    seen = seen_windows(cut, kinds)
     hits = seen.join(small(sought, broadcast_rows), "hash").withColumn("shift", place(kinds) - F.col("item_at"))
     bands = F.array_distinct(F.array(*(F.struct(F.lit(side).alias("side"), F.floor((F.col("shift") + side * BAND // 2) / BAND).alias("band")) for side in (0, 1))))
     banded = hits.select("doc", "text_hash", "item", "version", "kind", "n", "item_at", "shift", F.explode(bands).alias("b"))
-    pairs = banded.groupBy("doc", "text_hash", "item", "version", "kind", "b").agg(F.collect_set(F.struct("item_at", "n", "shift")).alias("hits"))
+    pairs = banded.groupBy("doc", "text_hash", "item", "version", "kind", "b").agg(F.array_sort(F.collect_set(F.struct("item_at", "n", "shift"))).alias("hits"))
+    pairs = pairs.drop("b").distinct()  # most lie in one band of either side
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["item_at"], h["item_at"] + h["n"] - 1))))
-    described = items.withColumnsRenamed({"canon": "i_canon", "raw": "i_raw", "kinds": "i_kinds", "slots": "i_slots"})
-    whole = F.when(F.col("kind") == "between", F.size(F.filter("i_kinds", lambda k: ~is_slot(k)))).when(F.col("kind") == "raw", F.size("i_raw")).otherwise(F.size("i_canon"))
-    likely = pairs.withColumn("words", covered).join(small(described, broadcast_rows // 20), ["item", "version"]).withColumn("n_words", whole).where(F.size("words") >= coverage * F.col("n_words"))
+    names = {"canon": "i_canon", "raw": "i_raw", "kinds": "i_kinds", "slots": "i_slots"}
+    enough = lambda covered, all_: F.size(covered) >= coverage * F.size(all_)
+    literal = F.filter(F.sequence(F.lit(0), F.size("i_raw") - 1), lambda w: ~is_slot(F.get(F.col("i_kinds"), w)))
+    between = enough(F.array_intersect("words", literal), literal) & (2 * F.size(F.array_intersect("words", literal)) >= length)
+    likely = pairs.withColumn("words", covered).join(small(items.withColumnsRenamed(names), broadcast_rows // 20), ["item", "version"])
+    likely = likely.where(F.when(F.col("kind") == "canon", enough("words", F.col("i_canon"))).otherwise((enough("words", F.col("i_raw")) & (F.size("words") >= F.least(F.size("i_raw"), F.lit(length)))) | between))
+    likely = likely.withColumn("n_words", F.when(F.col("kind") == "canon", F.size("i_canon")).otherwise(F.size("i_raw")))
     likely = _scratch.save(likely, "likely")
     again = texts.join(small(likely.select("doc").distinct(), broadcast_rows), "doc", "left_semi")
-    own = templates(again, F.col("t")).select("doc", "text_hash", "raw", "slots").distinct()
+    own = described(again, F.col("t")).select("doc", "text_hash", "raw", "slots").distinct()
     both = own.join(likely, ["doc", "text_hash"])
     votes = lambda shift: F.size(F.filter("hits", lambda g: g["shift"] == shift))
-    over = lambda w: F.filter("hits", lambda h: (h["item_at"] <= w) & (w < h["item_at"] + h["n"]))
-    shift_of = lambda w: F.array_max(F.transform(over(w), lambda h: F.struct(votes(h["shift"]).alias("v"), h["shift"].alias("s"))))["s"]
-    told = lambda w, item, doc: F.struct(F.get(item, w).alias("a"), F.get(doc, w + shift_of(w)).alias("b"))
-    after = F.filter("words", lambda w: is_slot(F.get(F.col("i_kinds"), w + 1)))  # the word before a placeholder
-    matched = (
-        F.when(F.col("kind") == "canon", F.transform(F.filter("words", lambda w: is_slot(F.get(F.col("i_canon"), w))), lambda w: told(w, F.col("i_slots"), F.col("slots"))))
-        .when(F.col("kind") == "raw", F.transform(F.filter("words", lambda w: is_slot(F.get(F.col("i_kinds"), w))), lambda w: told(w, F.col("i_raw"), F.col("raw"))))
-        .otherwise(F.transform(after, lambda w: F.struct(F.get(F.col("i_raw"), w + 1).alias("a"), F.get(F.col("raw"), w + shift_of(w) + 1).alias("b"))))
+    ranked = F.reverse(F.array_sort(F.transform(F.array_distinct(F.col("hits")["shift"]), lambda s: F.struct(votes(s).alias("v"), s.alias("s")))))["s"]
+    both = both.withColumn("shifts", ranked)
+    covers = lambda s, w: F.exists("hits", lambda h: (h["shift"] == s) & (h["item_at"] <= w) & (w < h["item_at"] + h["n"]))
+    shift_of = lambda w: F.when(F.size("shifts") == 1, F.get("shifts", F.lit(0))).otherwise(F.get(F.filter("shifts", lambda s: covers(s, w)), F.lit(0)))
+    told = lambda w, item, doc, shift: F.struct(F.get(item, w).alias("a"), F.get(doc, w + shift).alias("b"))
+    in_template = F.filter("words", lambda w: is_slot(F.get(F.col("i_canon"), w)))
+    near = lambda w: F.array_contains("words", w) | F.array_contains("words", w - 1)  # noqa: E731  a placeholder in a window or right after one
+    in_words = F.filter(F.sequence(F.lit(0), F.size("i_raw") - 1), lambda w: is_slot(F.get(F.col("i_kinds"), w)) & near(w))
+    matched = F.when(F.col("kind") == "canon", F.transform(in_template, lambda w: told(w, F.col("i_slots"), F.col("slots"), shift_of(w)))).otherwise(
+        F.transform(in_words, lambda w: told(w, F.col("i_raw"), F.col("raw"), F.coalesce(shift_of(w), shift_of(w - 1))))
     )
     both = both.select("doc", "item", "kind", "words", "n_words", F.size(matched).alias("n_slots"), F.array_distinct(matched).alias("matched"))
     one_to_one = (F.size(F.array_distinct(F.col("matched")["a"])) == F.size("matched")) & (F.size(F.array_distinct(F.col("matched")["b"])) == F.size("matched"))
-    verbatim = F.forall("matched", lambda m: F.coalesce(m["a"] == m["b"], F.lit(False))) & (F.col("kind") != "between")
+    verbatim = F.forall("matched", lambda m: F.coalesce(m["a"] == m["b"], F.lit(False))) & (F.size("words") >= coverage * F.col("n_words"))
     best_of = F.struct((F.size("words") / F.col("n_words")).alias("share"), verbatim.alias("verbatim"), F.size("words").alias("covered"), F.col("n_words"), F.col("n_slots"))
     both = both.withColumn("agrees", one_to_one)
     against = F.coalesce(F.max(F.when(~F.col("agrees") & (F.col("kind") == "canon"), F.size("words") / F.col("n_words"))), F.lit(0.0)).alias("against")
