@@ -2,9 +2,9 @@ from visagelake.llm import chat
 
 A = "The lake is frozen today.\nWho wants to skate?"
 B = "> The lake is frozen today.\n> Who wants to skate?\n\nI do, at noon."
-C = "Paul wrote:\n>> The lake is frozen today.\n>> Who wants to skate?\n> I do, at noon.\nMe too!"
+C = "Paul wrote:\n>> The lake is frozen today.\n>> Who wants to skate?\n> I do, at noon.\nMe too, with my two sisters!"
 D = "> who   wants to SKATE\nNot me."
-ROWS = [(1, 0, "user", A), (1, 1, "user", B), (1, 2, "user", C), (1, 3, "user", D), (2, 0, "user", "> Me too!\nAnd I."), (2, 1, "user", None), (3, 0, None, ""), (None, 0, "user", "> Me too!"), (3, 1, "user", "> words of nobody\nText"), (3, 2, "x", "1 > 0 and no quote"), (4, 0, "u", "> only quote")]
+ROWS = [(1, 0, "user", A), (1, 1, "user", B), (1, 2, "user", C), (1, 3, "user", D), (2, 0, "user", "> Me too, with my two sisters!\nAnd I."), (2, 1, "user", None), (3, 0, None, ""), (None, 0, "user", "> Me too, with my two sisters!"), (3, 1, "user", "> words of nobody\nText"), (3, 2, "x", "1 > 0 and no quote"), (4, 0, "u", "> only quote")]
 
 
 def test_replies(spark):
@@ -14,11 +14,11 @@ def test_replies(spark):
     got = {(r.conv_id, r.turn): r for r in out}
     assert (got[1, 0].reply_turn, got[1, 1].reply_turn, got[1, 2].reply_turn, got[1, 3].reply_turn) == (None, 0, 1, 0)
     assert (got[2, 0].reply_conv, got[2, 0].reply_turn, got[2, 0].depth) == (1, 2, 3)
-    assert [got[k].text for k in ((1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (3, 2), (4, 0))] == [A, "I do, at noon.", "Me too!", "Not me.", "And I.", "", "1 > 0 and no quote", ""]
-    assert [tuple(x) for x in got[2, 0].reply_path] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert [got[k].text for k in ((1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (3, 2), (4, 0))] == [A, "I do, at noon.", "Me too, with my two sisters!", "Not me.", "And I.", "", "1 > 0 and no quote", ""]
+    assert {k: got[k].thread_id for k in got} == {(1, 0): 1, (1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 0): 1, (2, 1): 2, (3, 0): 3, (3, 1): 3, (3, 2): 3, (4, 0): 4, (None, 0): None}
     assert got[None, 0].reply_conv is None and got[3, 1].reply_conv is None and got[3, 1].n_quotes == 1
-    order = [tuple(r.reply_path[-1]) for r in sorted((r for r in out if r.conv_id), key=lambda r: [tuple(x) for x in r.reply_path])]
-    assert order[:6] == [(1, 0), (1, 1), (1, 2), (2, 0), (1, 3), (2, 1)]
+    order = [(r.conv_id, r.turn) for r in chat.conversations(chat.link(messages)).collect() if r.conv_id]
+    assert order[:6] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
 
 
 def test_deeper_levels_and_parts_of_paragraphs(spark):
@@ -48,10 +48,13 @@ def brute(rows):
         for level, h, words in set(chat.parse(text or "")[1]):
             writers = sorted((c, t) for c, t, hs in own if c is not None and h in hs)
             mine = [w for w in writers if w[0] == conv][:1]
-            to = mine[0] if mine and mine[0][1] < turn else writers[0] if writers and writers[0] < (conv, turn) else None
-            if level == 1 and to:
-                votes[to] = votes.get(to, 0) + words
-        out[conv, turn] = max(votes, key=lambda k: (votes[k], k)) if votes else (None, None)
+            far = writers and writers[0] < (conv, turn) and words >= chat.FAR_WORDS
+            to = mine[0] if mine and mine[0][1] < turn else writers[0] if far else None
+            weight = words if mine and to == mine[0] else words / max(len({c for c, _ in writers}), 1)
+            if to:
+                votes[level, to] = votes.get((level, to), 0) + weight
+        best = max(votes, key=lambda k: (-k[0], round(votes[k], 6), k[1])) if votes else (0, (None, None))
+        out[conv, turn] = best[1]
     return out
 
 
@@ -63,7 +66,16 @@ def test_long_chain_against_brute_force(spark):
     assert max(r.depth for r in got) == 69
 
 
+def test_short_and_common_passages_do_not_link_conversations(spark):
+    rows = [("c1", "a", "u", "ok"), ("c1", "b", "u", "> ok\nFine."), ("c2", "a", "u", "> ok\nOther."), ("c3", "a", "u", "Thanks for all the help and have a nice day. The blue whale sings at night off the coast.")]
+    rows += [(f"d{i}", "a", "u", "Hello. Thanks for all the help and have a nice day.") for i in range(30)]
+    rows += [("z1", "a", "u", "> Thanks for all the help and have a nice day.\n> The ship with red sails came in at noon today.\nWell."), ("e", "a", "u", "The ship with red sails came in at noon today."), ("z2", "a", "u", "> a b\n" + "> word " * 3000)]
+    got = {(r.conv_id, r.turn): r for r in chat.link(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")).collect()}
+    assert got["c1", "b"].reply_turn == "a" and got["c2", "a"].reply_conv is None and got["c2", "a"].thread_id == "c2"
+    assert got["z1", "a"].reply_conv == "e" and got["z1", "a"].thread_id == "e" and len(got) == len(rows)
+
+
 def test_tables(spark):
     messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert sorted((r.conv_id, r.turn, r.text) for r in chat.link(messages).collect()) == sorted((r.conv_id, r.turn, r.text) for r in messages.collect())
-    assert chat.link(messages.limit(0)).collect() == []
+    assert chat.conversations(chat.link(messages.limit(0))).collect() == []

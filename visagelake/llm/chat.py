@@ -3,8 +3,11 @@
 Lines that begin with quote marks are parsed into nested levels. Quoted passages (runs of one level, their lines,
 sentences and overlapping windows of words) are normalised, hashed and joined with the passages that messages wrote
 themselves; a message answers the one that it quotes most on the first level, or, where that finds none, on the next
-level that finds one. Paths from the first message of a thread, found by pointer doubling over the quoting
-messages only, put conversations into the order of their replies. Quotes are left out of the texts.
+level that finds one. In its own conversation every passage counts; another conversation is answered only by passages
+of FAR_WORDS words or more, each the less the more conversations wrote it. A message belongs to the thread of the one it
+answers, else to its own conversation; the first message of a thread and the depth are found by pointer doubling over the
+quoting messages only. Sorted by thread, conversation and turn, every message comes after the one it answers. Quotes
+are left out of the texts.
 """
 
 import re
@@ -16,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visagelake.llm import _scratch
+from visagelake.llm._arrow import slices
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 SAYS = re.compile(r"\s*(?:On\b.{0,200}|.{1,80}?)\s(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
 WINDOW = 5
+#: Least words of a passage that links to another conversation.
+FAR_WORDS = 5
+TOGETHER = 2_000_000  # bytes of text handled together
 #: Quoted hashes up to which own passages are narrowed by a broadcast; more are joined by shuffle.
 BROADCAST_HASHES = 200_000
 PASSAGE = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))
@@ -86,50 +93,52 @@ def parse(text: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, i
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """Messages without quotes, in the order of replies.
-
-    Returns (conv_id, turn, role, text, n_quotes, reply_conv, reply_turn, depth, reply_path), one row per input row; other
-    columns are not carried. reply_path lists the messages from the first of the thread to this one; sorting by it gives
-    the order. A message answers the earliest writer of the passages it quotes most words of, first in its own
-    conversation, else in any; deeper levels count only where no shallower one finds a writer. n_quotes counts quoted
-    runs and lines. Only earlier messages (by conversation and turn) count. A null text counts as an empty
-    one; messages with a null conversation or turn are neither linked nor answered; of rows with one conversation and turn, each
-    writes for all and all share their reply.
+    """Messages without quotes, with what they answer and the thread they belong to.
+
+    Returns (conv_id, turn, role, text, n_quotes, reply_conv, reply_turn, depth, thread_id), one row per input row; other
+    columns are not carried, conversations and turns keep their types (numbers or text). A message answers the earliest
+    writer of the passages it quotes most words of, first in its own conversation, else in any; deeper levels count only
+    where no shallower one finds a writer; of equal ones the latest message is answered. thread_id is the conversation of
+    the thread's first message, depth the number of answers from there. n_quotes counts quoted runs and lines. Only
+    earlier messages (by conversation and turn) count. A null or empty text has no passages and stays, as an empty one;
+    texts of any length are read whole, a few megabytes at a time; messages with a null conversation or turn are neither
+    linked nor answered; of rows with one conversation and turn, each writes for all and all share their reply.
     """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 3, TOGETHER)):
             parsed = [split_quotes(t or "") for t in batch.column(3).to_pylist()]
             told = pa.array([[dict(zip(("level", "hash", "words"), p, strict=True)) for p in x[1]] for x in parsed], PASSAGE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in parsed], pa.string()), told, pa.array([x[2] for x in parsed], pa.int64())], names=["conv", "turn", "role", "text", "quoted", "n_quotes"])
 
     def offered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 2, TOGETHER)):
             hashes = [[h for _, h, _ in passages(t)] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, pa.list_(pa.int64()))], names=["conv", "turn", "hashes"])
 
-    source = messages.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    source = messages.select(F.col("conv_id").alias("conv"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    ids = f"conv {source.schema['conv'].dataType.simpleString()}, turn {source.schema['turn'].dataType.simpleString()}"
     passage = "array<struct<level: int, hash: bigint, words: int>>"
-    parsed = _scratch.save(source.mapInArrow(batches, f"conv bigint, turn bigint, role string, text string, quoted {passage}, n_quotes bigint"), "messages")
+    parsed = _scratch.save(source.mapInArrow(batches, f"{ids}, role string, text string, quoted {passage}, n_quotes bigint"), "messages")
     keyed = parsed.where("conv is not null and turn is not null")
     quotes = keyed.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.words").distinct()
     sought = _scratch.small(_scratch.save(quotes.select("hash").distinct(), "sought"), BROADCAST_HASHES)
-    written = keyed.select("conv", "turn", "text").mapInArrow(offered, "conv bigint, turn bigint, hashes array<bigint>").select("conv", "turn", F.explode("hashes").alias("hash")).join(sought, "hash", "left_semi")
+    written = keyed.select("conv", "turn", "text").mapInArrow(offered, f"{ids}, hashes array<bigint>").select("conv", "turn", F.explode("hashes").alias("hash")).join(sought, "hash", "left_semi")
     inside = written.groupBy("hash", "conv").agg(F.min("turn").alias("inside"))
-    first = inside.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("inside").alias("turn"))).alias("first"))
+    first = inside.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("inside").alias("turn"))).alias("first"), F.count("*").alias("writers"))
     met = quotes.join(first, "hash").join(inside, ["hash", "conv"], "left")
     near = F.when(F.col("inside") < F.col("turn"), F.struct("conv", F.col("inside").alias("turn")))
-    far = F.when(F.col("first") < F.struct("conv", "turn"), F.col("first"))
-    votes = met.withColumn("to", F.coalesce(near, far)).where("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("words").alias("words"))
-    answers = votes.groupBy("conv", "turn").agg(F.max_by("to", F.struct(-F.col("level"), "words", "to")).alias("to"))
+    far = F.when((F.col("first") < F.struct("conv", "turn")) & (F.col("words") >= FAR_WORDS), F.col("first"))
+    weight = F.when(near.isNotNull(), F.col("words").cast("double")).otherwise(F.col("words") / F.col("writers"))
+    votes = met.withColumns({"to": F.coalesce(near, far), "weight": weight}).where("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("weight").alias("weight"))
+    answers = votes.groupBy("conv", "turn").agg(F.max_by("to", F.struct(-F.col("level"), F.round("weight", 6), "to")).alias("to"))
     answers = _scratch.save(answers.select(F.struct("conv", "turn").alias("node"), "to"), "answers")
-    paths = answers.select("node", "to", F.col("to").alias("ahead"), F.array("node").alias("path"))
-    while not paths.where("ahead is not null").isEmpty():
-        ahead = paths.select(F.col("node").alias("ahead"), F.col("ahead").alias("next"), F.col("path").alias("front"))
-        joined = paths.join(ahead, "ahead", "left")
-        paths = _scratch.save(joined.select("node", "to", F.col("next").alias("ahead"), F.concat(F.coalesce("front", F.when(F.col("ahead").isNotNull(), F.array("ahead")), F.array().cast("array<struct<conv: bigint, turn: bigint>>")), "path").alias("path")), "paths")
-    linked = parsed.withColumn("node", F.struct("conv", "turn")).join(paths, "node", "left")
-    path = F.coalesce("path", F.array("node"))
+    climbing = answers.select("node", "to", F.col("to").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open"))
+    while not climbing.where("open").isEmpty():
+        above = climbing.select(F.col("node").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        joined = climbing.join(above, "root", "left")
+        climbing = _scratch.save(joined.select("node", "to", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "threads")
+    linked = parsed.withColumn("node", F.struct("conv", "turn")).join(climbing, "node", "left")
     return linked.select(
         F.col("conv").alias("conv_id"),
         "turn",
@@ -138,6 +147,12 @@ def link(messages: DataFrame) -> DataFrame:
         "n_quotes",
         F.col("to.conv").alias("reply_conv"),
         F.col("to.turn").alias("reply_turn"),
-        (F.size(path) - 1).cast("long").alias("depth"),
-        F.transform(path, lambda n: F.struct(n["conv"].alias("conv_id"), n["turn"].alias("turn"))).alias("reply_path"),
+        F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
+        F.coalesce("root.conv", "conv").alias("thread_id"),
     )
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """Messages of link() in the order of threads, in each every message after the one it answers: a sort over ranges, so
+    that a long thread spans several tasks."""
+    return linked.orderBy("thread_id", "conv_id", "turn", "role", "text")

@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.conversations(chat.link(table(spark, sf_dir, "conversations")))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
