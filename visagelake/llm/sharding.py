@@ -6,7 +6,7 @@ so counts differ by one at most while only the overflow moves. Where the loads g
 ring (shards x vnodes rows, whatever the input); rows are numbered inside arcs, large arcs in several parts.
 """
 
-from bisect import bisect_left
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,38 +61,58 @@ def place(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int) ->
     return pieces
 
 
-def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, part_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A bounded table of numbers settled on the driver, read by the JVM."""
+    fields = [f.split() for f in schema.split(", ")]
+    text = json.dumps([dict(zip((n for n, _ in fields), r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>")))
+
+
+def arcs_of(spark: SparkSession, nodes: list[tuple[int, int]]) -> DataFrame:
+    """(cell, arc) for all CELLS cells: the arc that ends at the first virtual node at the cell or clockwise after it."""
+    ends = table(spark, [(c, 1) for c, _ in nodes], "cell int, ends int")
+    cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(ends), "cell", "left")
+    passed = F.sum(F.coalesce("ends", F.lit(0))).over(Window.orderBy("cell")) - F.coalesce("ends", F.lit(0))
+    return cells.select("cell", (passed % len(nodes)).cast("int").alias("arc"))
+
+
+def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, part_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards 0 to shards - 1 for all rows, counts at most one apart.
 
     Returns (id_col, size, text_crc32, law, shard, slot, grown_shard), one row per input row; size is the bytes of the
     text plus 16, slots are gapless from 0 in a shard, grown_shard is null (the law is `rows`, not `key`). A null text
-    counts as an empty one, a null id is placed like any other, repeated rows get slots of their own, and other
-    columns are not carried. part_rows: rows of an arc that are numbered together; larger arcs are dealt by id.
+    counts as an empty one, a null id is placed like any other, and other columns are not carried. Rows of one id and
+    text are dealt as one with a count, and get slots of their own. Ties on the ring go by id, then size. part_rows: rows
+    of an arc that are numbered together, about; larger arcs are dealt by id, and a row that repeats more often is
+    written out in runs of so many.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = _scratch.save(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text) + 16).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("crc"),
-            F.xxhash64(text).alias("key"),
-        ).withColumn("cell", F.shiftrightunsigned("key", 48).cast("int")),
-        "ring",
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        F.xxhash64(text).alias("key"),
     )
+    rows = _scratch.save(rows.groupBy("id", "size", "crc", "key").agg(F.count("*").alias("copies")).withColumn("cell", F.shiftrightunsigned("key", 48).cast("int")), "ring")
     nodes = ring(spark, shards, vnodes)
-    places = [c for c, _ in nodes]
-    arcs = spark.createDataFrame([(c, bisect_left(places, c) % len(nodes)) for c in range(CELLS)], "cell int, arc int")
-    placed = rows.join(F.broadcast(arcs), "cell")  # CELLS rows
-    counts = {r.arc: r.n for r in placed.groupBy("arc").agg(F.count("*").alias("n")).collect()}
-    pieces = spark.createDataFrame(place(counts, nodes, shards), "arc int, lo long, hi long, shard int, first long")
-    parts = spark.createDataFrame([(a, -(-n // part_rows)) for a, n in counts.items()], "arc int, parts int")
+    placed = rows.join(F.broadcast(_scratch.save(arcs_of(spark, nodes), "cells")), "cell")  # CELLS rows
+    counts = _scratch.save(placed.groupBy("arc").agg(F.sum("copies").alias("n")), "arcs")  # shards x vnodes rows
+    pieces = table(spark, place({r.arc: r.n for r in counts.collect()}, nodes, shards), "arc int, lo bigint, hi bigint, shard int, first bigint")
+    parts = counts.select("arc", F.ceil(F.col("n") / part_rows).alias("parts"))
     dealt = placed.join(F.broadcast(parts), "arc").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    before = dealt.groupBy("arc", "part").agg(F.count("*").alias("n")).withColumn(
+    before = dealt.groupBy("arc", "part").agg(F.sum("copies").alias("n")).withColumn(
         "before", F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")
     )
-    inside = F.row_number().over(Window.partitionBy("arc", "part").orderBy("key", "id", "size", "crc"))
-    ranked = dealt.withColumn("inside", inside).join(before.drop("n"), ["arc", "part"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
+    order = Window.partitionBy("arc", "part").orderBy("key", "id", "size", "crc")
+    inside = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies")
+    ranked = dealt.withColumn("inside", inside).join(before.drop("n"), ["arc", "part"]).withColumn("from", F.col("before") + F.col("inside"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / part_rows)))
+    many = ranked.where(F.col("copies") > 1).withColumn("run", run).repartition("key", "id", "run")
+    until = F.least(F.col("copies"), (F.col("run") + 1) * part_rows) - 1
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("run") * part_rows, until))).withColumn("rank", F.col("from") + F.col("copy"))
+    kept = ("id", "size", "crc", "arc", "rank")
+    ranked = ranked.where(F.col("copies") == 1).withColumn("rank", F.col("from")).select(*kept).unionByName(many.select(*kept))
     within = (F.col("d.arc") == F.col("p.arc")) & (F.col("d.rank") >= F.col("p.lo")) & (F.col("d.rank") < F.col("p.hi"))
     return ranked.alias("d").join(F.broadcast(pieces.alias("p")), within).select(  # fewer than shards x (vnodes + 1) rows
         F.col("d.id").alias(id_col),
