@@ -83,6 +83,16 @@ def test_equals_brute_force(spark, block_rows, level_edges):
     assert firsts == sorted(firsts) and sorted(k for k in got if k >= 0) == list(range(len(firsts)))
 
 
+def test_equal_vectors_as_one_node_change_nothing(spark, monkeypatch):
+    x = np.concatenate([np.repeat(blobs(9, 1, 1, 0), 20, axis=0), blobs(4, 3, 7, 5), np.repeat(blobs(11, 1, 1, 0), 2, axis=0)])
+    labels = lambda: {(r.media_id, r.face_index): r.label for r in clustering.cluster_faces(faces_of(spark, x), block_rows=12, level_edges=30).collect()}
+    got = labels()
+    assert len({got[i // 3, i % 3] for i in range(20)}) == 1 and got[0, 0] == 0
+    apart = lambda keyed: (keyed.select("node", F.col("node").alias("rep")).limit(0), keyed.withColumn("size", F.lit(1).cast("long")))
+    monkeypatch.setattr(clustering, "contracted", apart)
+    assert labels() == got
+
+
 def test_small_and_equal(spark):
     one = faces_of(spark, np.ones((1, 4)))
     assert [r.label for r in clustering.cluster_faces(one).collect()] == [-1]

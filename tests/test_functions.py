@@ -1,10 +1,12 @@
 import datetime
+import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from visagelake.functions import catalog, decode, paths, records
-from visagelake.operators import inference, sidecar
+from visagelake.operators import discover, inference, overlay, sidecar, tables
 from visagelake.sources import media
 
 
@@ -125,3 +127,81 @@ def test_sources(spark, tmp_path):
     media.write_documents(docs.where("scar_path = 's1'").withColumn("entries", F.create_map(F.lit("a"), F.lit("new"))), str(tmp_path / "docs"), 4)
     back = {r.scar_path: r.entries for r in spark.read.parquet(str(tmp_path / "docs")).collect()}
     assert back["s1"] == {"a": "new"}
+
+
+def test_no_tool_of_a_plan_is_lost(spark):
+    media = spark.createDataFrame([(1, "/p/a.jpg"), (2, "/p/b.jpg")], "media_id long, path string")
+    tools = spark.createDataFrame([(f"tool{i:02d}",) for i in range(40)] * 2, "tool string")
+    done = spark.createDataFrame([("/p/a.scar", "tool00"), ("/p/a.scar", "other"), ("/p/c.scar", "tool01")], "scar_path string, tool string")
+    plan = discover.work_plan(media, tools, done)
+    assert {(r.media_id, r.tool) for r in plan.collect()} == {(m, f"tool{i:02d}") for m in (1, 2) for i in range(40)} - {(1, "tool00")} and plan.count() == 79
+    assert discover.work_plan(media, tools, done, force=True).count() == 80 and discover.work_plan(media, tools.limit(0), done).count() == 0
+    issues = spark.createDataFrame([(f"tool{i:02d}", "broken") for i in range(40)] + [("tool00", "also")], "tool string, issue string")
+    checked = catalog.available(plan.withColumn("explicit", F.lit(False)), issues)
+    assert checked.where("status = 'skip'").count() == 79 == checked.count()
+
+
+def png(width, height, rgb):
+    raw = b"".join(b"\0" + bytes(rgb) * width for _ in range(height))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_image_files_through_the_hooks(spark, tmp_path):
+    for name, rgb in (("a.png", (10, 20, 30)), ("b.png", (200, 100, 0))):
+        (tmp_path / name).write_bytes(png(6, 4, rgb))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    found = media.discover(spark, str(tmp_path))
+    assert sorted(r.stem for r in found.collect()) == ["a", "b", "broken"] and media.discover(spark, str(tmp_path / "none")).count() == 0
+    images = media.load_images(spark, str(tmp_path)).withColumn("media_id", F.ascii(F.element_at(F.split("path", "/"), -1)).cast("long"))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.collect()}
+    assert (rows["a.png"].height, rows["a.png"].width, bytes(rows["a.png"].data[:3])) == (4, 6, bytes((30, 20, 10))) and rows["b.png"].data[0] == 0
+    boxed = images.where("data is not null").select("media_id", F.lit(0).alias("face_index"), F.struct(*(F.lit(v).alias(k) for k, v in (("x1", 0), ("y1", 0), ("x2", 3), ("y2", 2)))).alias("crop"), "height", "width", "data")
+    torn = boxed.limit(1).withColumns({"media_id": F.lit(7).cast("long"), "data": F.lit(b"x")})
+    crops = inference.crop_faces(boxed.unionByName(torn))
+    assert sorted((r.media_id, r.status) for r in crops.collect()) == [(7, "error"), (97, "ok"), (98, "ok")]
+
+    def model(x):
+        if (x[:, 0, 0, 0] > 0.7).any():
+            raise RuntimeError("too red")
+        return x.mean(axis=(2, 3))
+
+    scores = {r.media_id: r for r in inference.analyze_crops(crops, "emonet", lambda: model).collect()}
+    assert [scores[k].status for k in (7, 97, 98)] == ["error", "ok", "error"] and "too red" in scores[98].error
+    assert [round(v, 3) for v in scores[97].scores] == [0.039, 0.078, 0.118]
+    units = {r.media_id: r for r in inference.embed_crops(crops, lambda: lambda x: x.mean(axis=(1, 2))).collect()}
+    assert units[7].status == "error" and abs(sum(v * v for v in units[98].embedding) - 1) < 1e-6
+
+
+def test_preprocessing_against_loops():
+    image = np.random.default_rng(3).integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    for tool, (size, channels, scale, norm) in inference.PREPROCESS.items():
+        got = inference.preprocessed(image, tool)
+        assert got.shape == ((1 if channels == "gray" else 3), size, size) and got.dtype == np.float32
+        for i, j in ((0, 0), (size // 3, size // 2), (size - 1, size - 2)):
+            y, x = min(max((i + 0.5) * 5 / size - 0.5, 0), 4), min(max((j + 0.5) * 7 / size - 0.5, 0), 6)
+            y0, x0 = int(y), int(x)
+            pixel = [0.0, 0.0, 0.0]
+            for a, b, share in ((y0, x0, (1 - y + y0) * (1 - x + x0)), (y0, x0 + 1, (1 - y + y0) * (x - x0)), (y0 + 1, x0, (y - y0) * (1 - x + x0)), (y0 + 1, x0 + 1, (y - y0) * (x - x0))):
+                if share > 0:
+                    pixel = [p + share * float(v) for p, v in zip(pixel, image[a, b])]
+            blue, green, red = pixel
+            want = [(0.114 * blue + 0.587 * green + 0.299 * red) / scale] if channels == "gray" else [red / scale, green / scale, blue / scale]
+            if norm:
+                want = [(v - m) / d for v, m, d in zip(want, *norm)]
+            assert np.allclose(got[:, i, j], want, atol=1e-3)
+
+
+def test_panel_numbers_round_as_written(spark):
+    values = [0.125, 0.375, 2.675, -0.04, 0.0, 1234567.891, -0.05, 0.25, 1e-9, None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(overlay.two_places(F.col("v")), overlay.signed_place(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(None, None) if v is None else (f"{v:.2f}", f"{v:+.1f}") for v in values]
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "a long, b string")
+    assert "ResolvedHint" in plan(tables.small(df, 50)) or "broadcast" in plan(tables.small(df, 50))
+    assert tables.small(df, 49) is df
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 1000)
+    assert tables.small(df, 50) is df

@@ -33,7 +33,6 @@ CLUSTER_OF = {"arcface": "cluster", "dlib_embed": "cluster_dlib"}
 #: What must run before a tool; every analysis tool works on crops of scrfd faces.
 NEEDS = {"arcface": "scrfd", "dlib_embed": "dlib_detect"} | dict.fromkeys(ANALYSIS, "scrfd")
 BACKENDS = {"scrfd": "insightface", "arcface": "insightface", "dlib_detect": "face_recognition", "dlib_embed": "face_recognition", "detectron2": "detectron2"} | dict.fromkeys(ANALYSIS, "analysis")
-BACKEND_ORDER = ["insightface", "face_recognition", "detectron2", "analysis"]
 
 
 def words(values) -> Column:
@@ -109,6 +108,7 @@ def cluster_tool(embeddings: Column) -> Column:
 
 def available(plan: DataFrame, availability: DataFrame) -> DataFrame:
     """Plan rows (.., tool, explicit) with `status`: run, skip where an implicit tool has an issue, error where an
-    explicit one has; availability (tool, issue) has a row per tool at most."""
-    found = plan.join(F.broadcast(availability.select("tool", "issue").limit(len(VERSIONS))), "tool", "left")
+    explicit one has; availability has (tool, issue), of several issues of a tool the first in order counts."""
+    issues = availability.groupBy("tool").agg(F.min("issue").alias("issue"))
+    found = plan.join(issues, "tool", "left")
     return found.withColumn("status", F.when(F.col("issue").isNull(), "run").when(F.col("explicit"), "error").otherwise("skip"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # Order of landmark parts, colours by face (blue, green, red), and those of key points.
 LANDMARK_PARTS = ("chin", "left_eyebrow", "right_eyebrow", "nose_bridge", "nose_tip", "left_eye", "right_eye", "top_lip", "bottom_lip")
 COLOURS = ((0, 0, 255), (0, 255, 0), (255, 0, 0), (0, 255, 255), (255, 0, 255), (255, 255, 0))
-GREEN_POINTS, DEFAULT_BUFFER, DEFAULT_SCORE = (0, 3), 10.0, 0.5
+GREEN_POINTS, DEFAULT_BUFFER, DEFAULT_SCORE, DENSE_COLOUR = (0, 3), 10.0, 0.5, (180, 180, 180)
 
 
 def valid_box(bbox: Column) -> Column:

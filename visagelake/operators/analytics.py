@@ -55,6 +55,20 @@ def overview(coverage: DataFrame) -> DataFrame:
     )
 
 
+def tool_overview(media: DataFrame, done: DataFrame, faces: DataFrame) -> DataFrame:
+    """A row for every tool in done (media_id, tool): images, those with a sidecar and their share, images the tool has
+    processed, its faces (media_id, tool), and faces per processed image. Images outside of media do not count."""
+    own = media.select("media_id").distinct()
+    total = media.agg(F.count("*").alias("images"), F.count_if("has_sidecar").alias("sidecars"))
+    processed = done.select("media_id", "tool").distinct().join(own, "media_id", "left_semi").groupBy("tool").agg(F.count("*").alias("tool_images"))
+    found = faces.join(own, "media_id", "left_semi").groupBy("tool").agg(F.count("*").alias("faces"))
+    out = processed.join(found, "tool", "left").join(F.broadcast(total))  # one row
+    n = F.coalesce("faces", F.lit(0))
+    return out.select(
+        "tool", "images", "sidecars", F.round(F.col("sidecars") / F.greatest("images", F.lit(1)), 6).alias("coverage"), "tool_images", n.alias("faces"), F.round(n / F.col("tool_images"), 6).alias("avg_faces")
+    )
+
+
 def tool_coverage(media: DataFrame, done: DataFrame, tools: list[str]) -> DataFrame:
     """Images with and without each tool: counts of the done pairs against one count of images, no pairing of images
     with tools. Pairs of images that are not in media do not count."""
@@ -114,6 +128,17 @@ def label_counts(decoded: DataFrame) -> DataFrame:
     return decoded.groupBy("label").agg(F.count("*").alias("faces"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
+def score_means(decoded: DataFrame) -> DataFrame:
+    """Mean of every label's score over all faces that have one, from maps of scores by label."""
+    return decoded.select(F.explode("scores").alias("label", "score")).groupBy("label").agg(F.count("score").alias("faces"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+def live_share(decoded: DataFrame) -> DataFrame:
+    """Faces with a verdict, live ones, and their share, per tool; null verdicts do not count."""
+    live = F.count_if("is_live")
+    return decoded.where("is_live is not null").groupBy("tool").agg(F.count("*").alias("faces"), live.alias("live"), F.round(live / F.count("*"), 6).alias("live_share"))
+
+
 def job_summary(jobs: DataFrame) -> DataFrame:
     """Jobs by status, and processed ones with their faces."""
     return jobs.agg(

@@ -4,7 +4,8 @@ The minimum spanning tree of mutual reachability is exact: every pair of vector
 complete graph, which together hold the tree of all, and rounds of least outgoing edges pick it out. The condensed
 tree is built in levels of ascending distance. In a level the edges up to a distance form components; each is worked
 off on its own and contracted to one node that carries its size, its open stability and the best of its children, so a task never
-holds more than `level_edges` edges, however large a cluster grows. Selection then runs from the top level down.
+holds more than about `level_edges` edges, however large a cluster grows. Three or more equal vectors, whose edges all have
+the length 0, are one node from the start. Selection then runs from the top level down.
 """
 
 from collections.abc import Iterator
@@ -56,14 +57,27 @@ def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
         least = tables.save(least.join(left.select("a", "b", "x", "y"), ["a", "b"]), "picked")
         picked.append(least.select("a", "b", "w"))
         to = components(least.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        last = left
         moved = left.join(to.withColumnsRenamed({"node": "x", "component": "cx"}), "x").join(to.withColumnsRenamed({"node": "y", "component": "cy"}), "y")
         left = tables.save(moved.where("cx <> cy").select("a", "b", "w", F.col("cx").alias("x"), F.col("cy").alias("y")), "graph")
+        tables.drop(last)
     out = picked[0] if picked else edges
     for more in picked[1:]:
         out = out.unionByName(more)
     return out
 
 
+def contracted(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) of faces that have at least two others with an equal vector, and the faces with such groups as one, with
+    its size. Vectors are told apart by 128 bits of hashes."""
+    vector = F.struct(F.xxhash64(F.lit(1), "embedding"), F.xxhash64(F.lit(2), "embedding"))
+    found = keyed.withColumn("vector", vector)
+    groups = found.groupBy("vector").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size >= 3")
+    told = tables.save(found.select("node", "vector").join(groups, "vector").select("node", "rep", "size"), "equal")
+    left = keyed.join(told, "node", "left").where("rep is null or rep = node")
+    return told.select("node", "rep"), tables.save(left.drop("rep").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "points")
+
+
 def condense(part: pd.DataFrame) -> pd.DataFrame:
     """Work off the edges of one component in ascending order.
 
@@ -124,10 +138,13 @@ def cluster_faces(faces: DataFrame, core_k: int = 2, block_rows: int = 1500, lev
     unit = vectors.normalize(vectors.require_one_dimension(faces))
     keyed = tables.save(unit.withColumn("node", F.xxhash64(*vectors.KEY)), "faces")
     cores = tables.save(vectors.core_distance(keyed, core_k, block_rows).withColumn("core", F.coalesce("core", F.lit(2.0))), "cores")
-    tree = tables.save(minimum_spanning_tree(spanning_edges(keyed, cores, block_rows)), "tree")
+    equal, points = contracted(keyed)
+    tree = tables.save(minimum_spanning_tree(spanning_edges(points, cores, block_rows)), "tree")
     total = tree.count()
-    nodes = tables.save(keyed.select(F.col("node").alias("id"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("open"), F.lit(0.0).alias("inner"), F.concat(F.lit("p:"), F.col("node")).alias("cluster"), F.col("node").alias("root")), "nodes")
-    parents = []
+    many = F.col("size") > 1
+    name = F.when(many, F.concat(F.lit("e:"), F.col("node"))).otherwise(F.concat(F.lit("p:"), F.col("node")))
+    nodes = tables.save(points.select(F.col("node").alias("id"), "size", F.when(many, F.col("size") / LEAST_DISTANCE).otherwise(0.0).alias("open"), F.lit(0.0).alias("inner"), name.alias("cluster")), "nodes")
+    parents = [equal.select(F.concat(F.lit("p:"), F.col("node")).alias("name"), F.concat(F.lit("e:"), F.col("rep")).alias("parent"), F.lit(False).alias("wins"))]
     levels = max(1, -(-total // level_edges))
     cuts = [r for r in (tree.approxQuantile("w", [k / levels for k in range(1, levels)], 0.001) if levels > 1 else [])] + [float("inf")]
     edges = tree.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y"))

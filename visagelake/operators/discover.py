@@ -13,12 +13,18 @@ def images(files: DataFrame, exclude_outputs: bool = False) -> DataFrame:
 
 
 def work_plan(media: DataFrame, tools: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
-    """(media_id, path, tool) still to run: every image with every tool (24 at most), without what is done.
+    """(media_id, path, tool) still to run: every image with every tool, without what is done.
 
-    done has (scar_path, tool); images of one stem share a sidecar and so are done together.
+    done has (scar_path, tool); images of one stem share a sidecar and so are done together. Images meet the list of
+    what their sidecar has, so the shuffle does not grow with the number of tools.
     """
-    wanted = media.withColumn("scar_path", paths.sidecar_path(F.col("path"))).join(F.broadcast(tools.select("tool").distinct().limit(len(catalog.VERSIONS))))
-    return (wanted if force else wanted.join(done.select("scar_path", "tool"), ["scar_path", "tool"], "left_anti")).select("media_id", "path", "tool")
+    wanted = tools.agg(F.array_sort(F.collect_set("tool")).alias("wanted"))  # one row, a name for each tool of the catalogue or the request
+    images_ = media.select("media_id", "path", paths.sidecar_path(F.col("path")).alias("scar_path"))
+    if not force:
+        has = done.groupBy("scar_path").agg(F.collect_set("tool").alias("has"))
+        images_ = images_.join(has, "scar_path", "left")
+    open_ = F.col("wanted") if force else F.array_except("wanted", F.coalesce("has", F.array().cast("array<string>")))
+    return images_.crossJoin(F.broadcast(wanted)).select("media_id", "path", F.explode(open_).alias("tool"))
 
 
 def backend_jobs(plan: DataFrame) -> DataFrame:

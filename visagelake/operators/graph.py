@@ -25,6 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             moved = total.join(step.select(F.col("node").alias("component"), "to"), "component", "left")
             total = tables.save(moved.select("node", F.coalesce("to", "component").alias("component")), "total")
+        tables.drop(near)
+        last = left
         ends = left.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b")
         left = tables.save(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        tables.drop(last)
     return total

@@ -24,7 +24,9 @@ PREPROCESS = {
     "emonet": (256, "rgb", 255.0, None),
 }
 DETECTED = "media_id bigint, face_index int, bbox array<double>, det_score double, landmarks array<array<double>>, status string, error string"
-CROPS = "media_id bigint, face_index int, crop_h int, crop_w int, crop binary"
+CROPS = "media_id bigint, face_index int, crop_h int, crop_w int, crop binary, status string, error string"
+#: Crops that a model gets together.
+MODEL_ROWS = 32
 
 
 def pixels(height: int, width: int, data: bytes) -> np.ndarray:
@@ -53,17 +55,19 @@ def detect_faces(images: DataFrame, build: Callable[[], Callable[[np.ndarray], l
 
 def crop_faces(faces: DataFrame) -> DataFrame:
     """Pixels of crop boxes: faces have (media_id, face_index, crop struct<x1,y1,x2,y2>, height, width, data). Boxes are clamped to the image and
-    empty crops dropped."""
+    empty crops dropped; an image that cannot be read gives an error row for each of its faces."""
 
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in found:
             rows = []
             for r in batch.itertuples():
-                image = pixels(r.height, r.width, r.data)
-                crop = image[max(0, r.y1) : max(0, r.y2), max(0, r.x1) : max(0, r.x2)]
-                if crop.size:
-                    rows.append((r.media_id, r.face_index, crop.shape[0], crop.shape[1], crop.tobytes()))
-            yield pd.DataFrame(rows, columns=["media_id", "face_index", "crop_h", "crop_w", "crop"])
+                try:
+                    crop = pixels(r.height, r.width, r.data)[max(0, r.y1) : max(0, r.y2), max(0, r.x1) : max(0, r.x2)]
+                    if crop.size:
+                        rows.append((r.media_id, r.face_index, crop.shape[0], crop.shape[1], crop.tobytes(), "ok", None))
+                except Exception as error:  # noqa: BLE001  a broken image is its faces' fault alone
+                    rows.append((r.media_id, r.face_index, None, None, None, "error", f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["media_id", "face_index", "crop_h", "crop_w", "crop", "status", "error"]).astype({"crop_h": "Int32", "crop_w": "Int32"})
 
     return faces.select("media_id", "face_index", "crop.x1", "crop.y1", "crop.x2", "crop.y2", "height", "width", "data").mapInPandas(batches, CROPS)
 
@@ -94,31 +98,48 @@ def preprocessed(image: np.ndarray, tool: str) -> np.ndarray:
     return np.ascontiguousarray(v.transpose(2, 0, 1), dtype=np.float32)
 
 
-def analyze_crops(crops: DataFrame, tool: str, build: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """(media_id, face_index, scores, status, error): raw outputs of the model that build() makes, on crops preprocessed for a tool."""
-
-    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = build()
-        for batch in found:
-            rows = []
-            for r in batch.itertuples():
+def run_together(crops: pd.DataFrame, prepare: Callable[[np.ndarray], np.ndarray], model: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    """(row, output, error) of crops in groups of MODEL_ROWS; where a group fails, its crops run one by one, so that only the
+    faulty ones give errors."""
+    inputs: list[tuple[int, np.ndarray]] = []
+    for i, r in enumerate(crops.itertuples()):
+        try:
+            inputs.append((i, prepare(pixels(r.crop_h, r.crop_w, r.crop))))
+        except Exception as error:  # noqa: BLE001  any fault of a crop is the row's
+            yield i, None, f"{type(error).__name__}: {error}"
+    for at in range(0, len(inputs), MODEL_ROWS):
+        group = inputs[at : at + MODEL_ROWS]
+        try:
+            out = np.asarray(model(np.stack([x for _, x in group])), dtype=np.float64).reshape(len(group), -1)
+            yield from ((i, v, None) for (i, _), v in zip(group, out, strict=True))
+        except Exception:  # noqa: BLE001  found again, and told, one by one
+            for i, x in group:
                 try:
-                    scores = model(preprocessed(pixels(r.crop_h, r.crop_w, r.crop), tool))
-                    rows.append((r.media_id, r.face_index, [float(s) for s in np.ravel(scores)], "ok", None))
+                    yield i, np.asarray(model(x[None]), dtype=np.float64).reshape(-1), None
                 except Exception as error:  # noqa: BLE001  any fault of a user's model is the row's
-                    rows.append((r.media_id, r.face_index, None, "error", f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["media_id", "face_index", "scores", "status", "error"])
-
-    return crops.select("media_id", "face_index", "crop_h", "crop_w", "crop").mapInPandas(batches, "media_id bigint, face_index int, scores array<double>, status string, error string")
+                    yield i, None, f"{type(error).__name__}: {error}"
 
 
-def embed_crops(crops: DataFrame, build: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """(media_id, face_index, embedding): unit vectors of the model that build() makes, in the order of faces."""
+def model_rows(crops: DataFrame, output: str, prepare: Callable[[np.ndarray], np.ndarray], build: Callable[[], Callable[[np.ndarray], np.ndarray]], finish=lambda v: v) -> DataFrame:
+    """(media_id, face_index, output, status, error) of the model that build() makes once a task."""
 
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
         for batch in found:
-            rows = [unit_rows(np.asarray(model(pixels(r.crop_h, r.crop_w, r.crop)), dtype=np.float64)[None])[0] for r in batch.itertuples()]
-            yield pd.DataFrame({"media_id": batch["media_id"], "face_index": batch["face_index"], "embedding": rows})
+            media, face = batch["media_id"].to_numpy(), batch["face_index"].to_numpy()
+            rows = [(media[i], face[i], None if v is None else finish(v).tolist(), "ok" if e is None else "error", e) for i, v, e in run_together(batch, prepare, model)]
+            yield pd.DataFrame(rows, columns=["media_id", "face_index", output, "status", "error"])
+
+    return crops.select("media_id", "face_index", "crop_h", "crop_w", "crop").mapInPandas(batches, f"media_id bigint, face_index int, {output} array<double>, status string, error string")
+
+
+def analyze_crops(crops: DataFrame, tool: str, build: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """(media_id, face_index, scores, status, error): raw outputs of the model that build() makes, on crops preprocessed for
+    a tool. The model gets a stack of crops and gives as many rows of scores."""
+    return model_rows(crops, "scores", lambda image: preprocessed(image, tool), build)
+
 
-    return crops.select("media_id", "face_index", "crop_h", "crop_w", "crop").mapInPandas(batches, "media_id bigint, face_index int, embedding array<double>")
+def embed_crops(crops: DataFrame, build: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 112) -> DataFrame:
+    """(media_id, face_index, embedding, status, error): unit vectors of the model that build() makes, in the order of faces. The
+    model gets a stack of crops resized to a square (BGR, float32) and gives as many rows."""
+    return model_rows(crops, "embedding", lambda image: resized(image, size).astype(np.float32), build, lambda v: unit_rows(v[None])[0])

@@ -1,9 +1,7 @@
 """Overlay tables: geometry and panel texts of annotated images."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from visagelake.functions import records
 
@@ -14,16 +12,19 @@ def geometry(faces: DataFrame) -> DataFrame:
     return faces.select("media_id", "face_index", *(v.alias("p" + c) for c, v in corners.items()), records.colour(F.col("face_index")).alias("colour"))
 
 
-@F.pandas_udf(StringType())
-def two_places(v: pd.Series) -> pd.Series:
-    """Number with two decimals, rounded from its binary value as the panel shows it."""
-    return v.map(lambda x: None if pd.isna(x) else f"{x:.2f}")
+def two_places(v: Column) -> Column:
+    """Number with two decimals, rounded from its binary value as the panel shows it; null for none and NaN."""
+    return F.when(~F.isnan(v), F.call_function("format_number", v, F.lit("0.00")))
 
 
-@F.pandas_udf(StringType())
-def signed_place(v: pd.Series) -> pd.Series:
+def signed_place(v: Column) -> Column:
     """Number with its sign and one decimal."""
-    return v.map(lambda x: None if pd.isna(x) else f"{x:+.1f}")
+    return F.when(~F.isnan(v), F.call_function("format_number", v, F.lit("+0.0;-0.0")))
+
+
+def dense_points(points: Column) -> Column:
+    """Whole pixels of the 106 dense landmarks, all grey."""
+    return F.transform(points, lambda p: F.struct(records.pixel(p[0]).alias("x"), records.pixel(p[1]).alias("y"), F.array(*map(F.lit, records.DENSE_COLOUR)).alias("colour")))
 
 
 def panel(sex: Column, age: Column, det_score: Column, pose: Column, label: Column) -> Column:

@@ -33,6 +33,61 @@ def strict_records(faces: DataFrame) -> DataFrame:
     return faces.withColumns({"status": F.when(ok, "ok").otherwise("error"), "error": F.when(~ok, "face bbox is missing or invalid"), "bbox": records.box(F.col("bbox"))})
 
 
+POINTS = "array<array<double>>"
+
+
+def optional(faces: DataFrame, name: str, kind: str) -> Column:
+    """A column in a type, null where the table has none of that name."""
+    return (F.col(name) if name in faces.columns else F.lit(None)).cast(kind)
+
+
+def dense_columns(faces: DataFrame) -> list[str]:
+    return sorted(c for c in faces.columns if c.startswith("landmark_"))
+
+
+def detection_records(faces: DataFrame) -> DataFrame:
+    """Keys with `bbox` (the first four numbers), `det_score` and `landmarks` (null for none) of detections, as sidecars keep them."""
+    keys = [c for c in ("media_id", "tool", "face_index") if c in faces.columns]
+    return faces.select(*keys, F.slice(F.col("bbox").cast("array<double>"), 1, 4).alias("bbox"), F.col("det_score").cast("double").alias("det_score"), optional(faces, "landmarks", POINTS).alias("landmarks"))
+
+
+def sidecar_records(faces: DataFrame) -> DataFrame:
+    """Annotation records of stored faces, with status and error: landmarks become key points unless they are missing or
+    empty, a missing score is 0, and pose, gender, age, sex and landmark_* are carried as they are stored."""
+    found = strict_records(faces)
+    keys = [c for c in ("media_id", "tool", "face_index") if c in faces.columns]
+    carried = [c for c in ("pose", "gender", "age", "sex") if c in faces.columns] + dense_columns(faces)
+    kps = records.key_points(optional(faces, "landmarks", POINTS), optional(faces, "kps", POINTS))
+    return found.select(*keys, "status", "error", "bbox", records.score(F.col("det_score")).alias("det_score"), kps.alias("kps"), *carried)
+
+
+def detector_records(faces: DataFrame) -> DataFrame:
+    """Annotation records of a detector's output, with status and error: the first three angles of a pose that has them,
+    whole numbers for gender and age, and of landmark_* columns those that hold points."""
+    found = strict_records(faces)
+    keys = [c for c in ("media_id", "tool", "face_index") if c in faces.columns]
+    points = [c for c in dense_columns(faces) if faces.schema[c].dataType.simpleString().startswith("array<array<")]
+    dense = [F.when(F.size(c) > 0, F.col(c).cast(POINTS)).alias(c) for c in points]
+    return found.select(
+        *keys,
+        "status",
+        "error",
+        "bbox",
+        F.col("det_score").cast("double").alias("det_score"),
+        optional(faces, "kps", POINTS).alias("kps"),
+        records.pose(optional(faces, "pose", "array<double>")).alias("pose"),
+        optional(faces, "gender", "int").alias("gender"),
+        optional(faces, "age", "int").alias("age"),
+        optional(faces, "sex", "string").alias("sex"),
+        *dense,
+    )
+
+
+def faces_with_embeddings(faces: DataFrame, media: DataFrame) -> DataFrame:
+    """Faces (media_id, face_index, ..) with the embedding at the same position of their image's list, null past its end."""
+    return faces.join(explode_embeddings(media), ["media_id", "face_index"], "left")
+
+
 def resolved(media: DataFrame, stored: DataFrame, detected: DataFrame, force: bool = False) -> DataFrame:
     """(media_id, faces, source): stored faces unless forced or missing, else detected ones; an error without either.
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a local one of our own on a local master (tests), and a
+    failure on a cluster, whose executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="visagelake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -31,6 +34,13 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of text up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcasting if a count shows at most so many rows; a larger table is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """df marked for broadcasting if it has at most so many rows and BROADCAST_BYTES of values, both counted; a larger
+    table is shuffled."""
+    text = F.coalesce(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))))), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), F.sum(text).alias("bytes")).first()
+    return F.broadcast(df) if size.rows <= rows and (size.bytes or 0) <= BROADCAST_BYTES else df

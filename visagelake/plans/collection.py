@@ -1,11 +1,14 @@
 """Queries on media, sidecars, plans and statistics."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visagelake.functions import catalog, paths
-from visagelake.operators import analytics, discover, sidecar
+from visagelake.operators import analytics, discover, sidecar, tables
 from visagelake.plans.views import duck, view
+from visagelake.sources import media as files
 
 QUERIES, ORACLE = {}, {}
 IS_IMAGE = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in paths.IMAGE_EXTENSIONS) + ")"
@@ -293,3 +296,67 @@ def recent_failures(spark, sf_dir):
     jobs = view(spark, sf_dir, "jobs").withColumn("at", F.col("ended_at").cast("timestamp"))
     now = jobs.agg(F.max("at")).first()[0]
     return analytics.recent_failures(jobs, F.lit(now)).select("job_id", "status", "face_count")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{tables.folder(spark)}/visagelake/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    ", d AS (SELECT DISTINCT media_id, tool FROM faces UNION SELECT media_id, 'arcface' FROM media WHERE media_id % 5 = 0), t AS (SELECT count(*) AS images, count(*) FILTER (media_id % 3 = 0) AS sidecars FROM media),"
+    " p AS (SELECT tool, count(*) AS tool_images FROM d SEMI JOIN media USING (media_id) GROUP BY 1), f AS (SELECT tool, count(*) AS n FROM faces SEMI JOIN media USING (media_id) GROUP BY 1)"
+    " SELECT p.tool, images, sidecars, round(sidecars / images, 6) AS coverage, tool_images, coalesce(n, 0) AS faces, round(coalesce(n, 0) / tool_images, 6) AS avg_faces FROM p LEFT JOIN f ON f.tool = p.tool, t",
+    "media", "faces",
+)
+def tool_overview(spark, sf_dir):
+    media, faces = view(spark, sf_dir, "media").withColumn("has_sidecar", F.col("media_id") % 3 == 0), view(spark, sf_dir, "faces")
+    done = faces.select("media_id", "tool").unionByName(media.where("media_id % 5 = 0").select("media_id", F.lit("arcface").alias("tool")))
+    return analytics.tool_overview(media, done, faces)
+
+
+@query(
+    ", n AS (SELECT user_id, event_id, lower(trim(CASE event_type WHEN 'click' THEN ' SCRFD ' WHEN 'view' THEN 'expression' WHEN 'signup' THEN 'HDBSCAN' WHEN 'purchase' THEN 'face_recognition' ELSE 'nothing_known' END)) AS t FROM events),"
+    " f AS (SELECT user_id, CASE t WHEN 'hdbscan' THEN 'cluster' ELSE t END AS t, min(event_id) AS since FROM n GROUP BY 1, 2) SELECT user_id, string_agg(t, ',' ORDER BY since) AS tools FROM f GROUP BY 1",
+    "media",
+)
+def ordered_requests(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    asked = F.when(F.col("event_type") == "click", " SCRFD ").when(F.col("event_type") == "view", "expression").when(F.col("event_type") == "signup", "HDBSCAN").when(F.col("event_type") == "purchase", "face_recognition").otherwise("nothing_known")
+    listed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", asked.alias("t")))).alias("l"))
+    return listed.select("user_id", F.array_join(catalog.normalized(F.col("l")["t"]), ",").alias("tools"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_type = 'click' THEN 'dlib_embed' WHEN user_id % 4 = 0 THEN 'arcface' WHEN user_id % 4 = 1 THEN 'dlib_embed' WHEN user_id % 4 = 2 THEN 'arcface' END AS source,"
+    " CASE WHEN event_type = 'click' OR user_id % 4 = 1 THEN 'cluster_dlib' WHEN user_id % 4 IN (0, 2) THEN 'cluster' END AS cluster FROM events"
+)
+def embedding_choice(spark, sf_dir):
+    given = F.when(F.col("user_id") % 4 == 0, "").when(F.col("user_id") % 4 == 1, " DLIB_embed").when(F.col("user_id") % 4 == 2, "ArcFace").otherwise("other")
+    source = catalog.embedding_source(F.array(F.when(F.col("event_type") == "click", "HDBSCAN_dlib").otherwise("cluster")), given)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("source", source).select("event_id", "source", catalog.cluster_tool(F.col("source")).alias("cluster"))
+
+
+@query(LATEST + "SELECT scar_path, entry_key, entry_value FROM latest", "entries")
+def stored_documents(spark, sf_dir):
+    at = scratch(spark, "documents")
+    documents(spark, sf_dir).write.json(at)
+    return files.read_entries(spark, at)
+
+
+@query(LATEST + "SELECT scar_path, CASE WHEN scar_path LIKE '%1.scar' THEN 1 ELSE count(*) END AS n FROM latest GROUP BY scar_path", "entries")
+def rewritten_buckets(spark, sf_dir):
+    at, docs = scratch(spark, "buckets"), documents(spark, sf_dir)
+    files.write_documents(docs, at, 8)
+    stored = spark.read.parquet(at)
+    again = docs.join(stored.where("scar_path like '%1.scar'").select(F.col("bucket").alias("touched")).distinct(), F.pmod(F.xxhash64("scar_path"), F.lit(8)) == F.col("touched")).drop("touched")
+    cut = F.when(F.col("scar_path").like("%1.scar"), F.map_from_entries(F.slice(F.map_entries("entries"), 1, 1))).otherwise(F.col("entries"))
+    files.write_documents(tables.save(again.withColumn("entries", cut), "again"), at, 8)
+    return spark.read.parquet(at).select("scar_path", F.size("entries").cast("long").alias("n"))
+
+
+@query("SELECT job_id, status, face_count FROM jobs WHERE status <> 'skipped'", "jobs")
+def job_results(spark, sf_dir):
+    at, jobs = scratch(spark, "results"), view(spark, sf_dir, "jobs")
+    for status in ("ok", "failed"):
+        analytics.write_results(jobs.where(F.col("status") == status), at)
+    return spark.read.parquet(at).select("job_id", "status", "face_count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visagelake.functions import decode, paths, records
 from visagelake.operators import analytics, clustering, inference, overlay, payloads, sidecar, tables, vectors
 from visagelake.plans.views import duck, view
+from visagelake.sources import media
 from visagelake.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
@@ -324,32 +325,189 @@ def bright_detector():
     return detect
 
 
-@query()
+IMAGES = """
+WITH img AS (SELECT vec_id AS media_id, list_transform(range(1, 49), lambda i: CAST(trunc(abs(embedding[i]) * 255) AS INT) % 256) AS b FROM embeddings WHERE vec_id % 11 <> 0),
+px AS (SELECT media_id, b, list_transform(range(16), lambda p: b[3 * p + 1] + b[3 * p + 2] + b[3 * p + 3]) AS s FROM img),
+means AS (SELECT *, list_sum(s) / 16.0 AS m FROM px),
+bright AS (SELECT media_id, b, list_filter(range(16), lambda p: s[p + 1] > m) AS q FROM means),
+det AS (SELECT media_id, b, list_min(list_transform(q, lambda p: p % 4))::DOUBLE AS x1, list_min(list_transform(q, lambda p: p // 4))::DOUBLE AS y1,
+        list_max(list_transform(q, lambda p: p % 4))::DOUBLE + 1 AS x2, list_max(list_transform(q, lambda p: p // 4))::DOUBLE + 1 AS y2, len(q) / 16.0::DOUBLE AS det_score FROM bright WHERE len(q) > 0),
+crop AS (SELECT *, """ + ", ".join(f"{clamped(x, 4)} AS c{n}" for n, x in (("x1", "x1 - (x2 - x1) * 10 / 100"), ("y1", "y1 - (y2 - y1) * 10 / 100"), ("x2", "x2 + (x2 - x1) * 10 / 100"), ("y2", "y2 + (y2 - y1) * 10 / 100"))) + """ FROM det),
+cut AS (SELECT *, 12 * cy1 + 3 * cx1 AS first, 12 * (cy2 - 1) + 3 * (cx2 - 1) AS last FROM crop)
+"""
+
+
+@query(
+    IMAGES + "SELECT media_id, 0 AS face_index, x1, y1, x2, y2, det_score, 'ok' AS status, NULL AS error FROM det UNION ALL"
+    " SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'error', 'ValueError: cannot reshape array of size 1 into shape (4,4,3)' FROM embeddings WHERE vec_id % 11 = 0"
+)
 def detect_hook(spark, sf_dir):
-    return inference.detect_faces(little_images(spark, sf_dir), bright_detector)
+    found = inference.detect_faces(little_images(spark, sf_dir), bright_detector)
+    return found.select("media_id", "face_index", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), "det_score", "status", "error")
 
 
 def little_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = little_images(spark, sf_dir)
     found = inference.detect_faces(images, bright_detector).where("status = 'ok'")
     b = F.col("bbox")
-    boxed = found.join(images, "media_id").withColumn("crop", records.buffered(b[0], b[1], b[2], b[3], F.col("width"), F.col("height"), F.lit(records.DEFAULT_BUFFER)))
+    boxed = found.select("media_id", "face_index", "bbox").join(images, "media_id").withColumn("crop", records.buffered(b[0], b[1], b[2], b[3], F.col("width"), F.col("height"), F.lit(records.DEFAULT_BUFFER)))
     return inference.crop_faces(boxed)
 
 
-@query()
+@query(
+    IMAGES + "SELECT media_id, 0 AS face_index, cy2 - cy1 AS crop_h, cx2 - cx1 AS crop_w, array_to_string(list_transform(range((cy2 - cy1) * (cx2 - cx1) * 3),"
+    " lambda k: printf('%02X', b[12 * (cy1 + k // (3 * (cx2 - cx1))) + 3 * cx1 + k % (3 * (cx2 - cx1)) + 1])), '') AS crop, 'ok' AS status FROM cut"
+)
 def crop_hook(spark, sf_dir):
-    return little_crops(spark, sf_dir).withColumn("crop", F.hex("crop"))
+    return little_crops(spark, sf_dir).withColumn("crop", F.hex("crop")).drop("error")
 
 
-@query()
+def crops_sink(spark, sf_dir):
+    at = f"{tables.folder(spark)}/visagelake/crops-{uuid.uuid4().hex}"
+    media.write_crops(little_crops(spark, sf_dir), at, 8)
+    return spark.read.parquet(at)
+
+
+@query(IMAGES + "SELECT media_id, 0 AS face_index, (cy2 - cy1) * (cx2 - cx1) * 3 AS n_bytes FROM cut")
+def crop_table(spark, sf_dir):
+    return crops_sink(spark, sf_dir).select("media_id", "face_index", F.octet_length("crop").alias("n_bytes"))
+
+
+def form_sql(tool: str) -> str:
+    """First value of the first channel and last one of the last, of a tool's input: those of the crop's corner pixels."""
+    _, channels, scale, norm = inference.PREPROCESS[tool]
+    if channels == "gray":
+        first, last = (f"(0.114 * b[{k} + 1] + 0.587 * b[{k} + 2] + 0.299 * b[{k} + 3]) / {scale}" for k in ("first", "last"))
+    else:
+        (m, d) = norm or ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+        first, last = f"(b[first + 3] / {scale} - {m[0]}) / {d[0]}", f"(b[last + 1] / {scale} - {m[2]}) / {d[2]}"
+    return f"SELECT media_id, 0 AS face_index, '{tool}' AS tool, round({first}, 3)::DOUBLE AS first, round({last}, 3)::DOUBLE AS last, 'ok' AS status FROM cut"
+
+
+@query(IMAGES + " UNION ALL ".join(map(form_sql, inference.PREPROCESS)))
 def preprocess_batch(spark, sf_dir):
-    return inference.analyze_crops(little_crops(spark, sf_dir), "fer_plus", lambda: lambda x: x.reshape(-1)[:8])
+    crops = tables.save(little_crops(spark, sf_dir), "crops")
+    corners = lambda: lambda x: np.stack([x[:, 0, 0, 0], x[:, -1, -1, -1]], axis=1)
+    out = None
+    for tool in inference.PREPROCESS:
+        one = inference.analyze_crops(crops, tool, corners).withColumn("tool", F.lit(tool))
+        out = one if out is None else out.unionByName(one)
+    return out.select("media_id", "face_index", "tool", F.round(F.col("scores")[0], 3).alias("first"), F.round(F.col("scores")[1], 3).alias("last"), "status")
 
 
-@query()
+@query(
+    IMAGES + ", v AS (SELECT media_id, b[first + 1] + 1.0::DOUBLE AS p, b[first + 2] + 1.0::DOUBLE AS q, b[first + 3] + 1.0::DOUBLE AS r FROM cut)"
+    " SELECT media_id, 0 AS face_index, round(p / sqrt(p * p + q * q + r * r), 4) AS e0, round(q / sqrt(p * p + q * q + r * r), 4) AS e1, round(r / sqrt(p * p + q * q + r * r), 4) AS e2, 'ok' AS status FROM v"
+)
 def embed_hook(spark, sf_dir):
-    return inference.embed_crops(little_crops(spark, sf_dir), lambda: lambda x: x.reshape(-1, 3).mean(axis=0) + 1)
+    found = inference.embed_crops(little_crops(spark, sf_dir), lambda: lambda x: x[:, 0, 0, :] + 1)
+    return found.select("media_id", "face_index", *(F.round(F.col("embedding")[i], 4).alias(f"e{i}") for i in range(3)), "status")
+
+
+def points_of(*columns: str) -> F.Column:
+    return F.array(*(F.array(F.col(c), F.col(c) + 1) for c in columns))
+
+
+@query("SELECT media_id, tool, face_index, x1, y1, x2, y2, det_score, CASE WHEN age % 2 = 0 THEN 2 END AS n_points FROM faces", "faces")
+def detection_records(spark, sf_dir):
+    faces = view(spark, sf_dir, "faces").withColumns({"bbox": F.array("x1", "y1", "x2", "y2", F.lit(99.0)), "landmarks": F.when(F.col("age") % 2 == 0, points_of("x1", "y1"))})
+    b = F.col("bbox")
+    out = payloads.detection_records(faces)
+    return out.select("media_id", "tool", "face_index", *(b[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), "det_score", F.when(F.col("landmarks").isNotNull(), F.size("landmarks")).alias("n_points"))
+
+
+@query(
+    "SELECT media_id, tool, face_index, CASE WHEN y1 % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN y1 % 10 = 0 THEN NULL ELSE y2 END AS y2, CASE WHEN age % 4 = 0 THEN 0.0 ELSE det_score END AS det_score,"
+    " CASE WHEN age >= 45 THEN x2 ELSE y1 END AS k0, x1 AS turn, gender, age, 'F' AS sex, y2 AS dense FROM faces",
+    "faces",
+)
+def sidecar_records(spark, sf_dir):
+    made = {
+        "det_score": F.when(F.col("age") % 4 != 0, F.col("det_score")), "kps": points_of("y1", "x1"), "pose": F.array("x1", "y1", "x2"), "sex": F.lit("F"), "landmark_2d_106": points_of("y2", "x2"),
+        "landmarks": F.when(F.col("age") >= 45, points_of("x2")).when(F.col("age") % 2 == 0, F.array().cast("array<array<double>>")),
+    }
+    out = payloads.sidecar_records(boxes(spark, sf_dir).withColumns(made))
+    return out.select("media_id", "tool", "face_index", "status", F.get("bbox", F.lit(3)).alias("y2"), "det_score", F.col("kps")[0][0].alias("k0"), F.col("pose")[0].alias("turn"), "gender", "age", "sex", F.col("landmark_2d_106")[0][0].alias("dense"))
+
+
+@query(
+    "SELECT media_id, tool, face_index, CASE WHEN y1 % 10 = 0 THEN 'error' ELSE 'ok' END AS status, det_score, CASE WHEN age % 2 = 0 THEN x2 END AS turn, gender, age, NULL::VARCHAR AS sex, CASE WHEN age % 3 = 0 THEN 2 END AS n_dense FROM faces",
+    "faces",
+)
+def detector_records(spark, sf_dir):
+    made = {
+        "pose": F.when(F.col("age") % 2 == 0, F.array("x1", "y1", "x2", "y2")).otherwise(F.array("x1", "y1")), "gender": F.col("gender").cast("double"), "age": F.col("age") + 0.6,
+        "landmark_3d_68": F.when(F.col("age") % 3 == 0, points_of("y2", "x2")).otherwise(F.array().cast("array<array<double>>")), "landmark_scores": F.array("x1"),
+    }
+    out = payloads.detector_records(boxes(spark, sf_dir).withColumns(made))
+    assert "landmark_scores" not in out.columns
+    return out.select("media_id", "tool", "face_index", "status", "det_score", F.col("pose")[2].alias("turn"), "gender", "age", "sex", F.when(F.size("landmark_3d_68") > 0, F.size("landmark_3d_68")).alias("n_dense"))
+
+
+@query(
+    ", f AS (SELECT media_id, face_index FROM embedded UNION ALL SELECT DISTINCT media_id, 7 FROM embedded)"
+    " SELECT f.media_id, f.face_index, round(embedding[1]::DOUBLE, 5) AS first FROM f LEFT JOIN embedded e ON e.media_id = f.media_id AND e.face_index = f.face_index",
+    "embedded",
+)
+def faces_with_embeddings(spark, sf_dir):
+    found = view(spark, sf_dir, "embedded")
+    lists = found.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("face_index", "embedding"))), lambda x: x["embedding"]).alias("embeddings"))
+    faces = found.select("media_id", "face_index").unionByName(found.select("media_id", F.lit(7).alias("face_index")).distinct())
+    return payloads.faces_with_embeddings(faces, lists).select("media_id", "face_index", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("SELECT media_id, face_index, CASE WHEN face_index = 1 THEN -1 ELSE cluster_label END AS label FROM embedded", "embedded")
+def labels_to_faces(spark, sf_dir):
+    found = view(spark, sf_dir, "embedded")
+    labels = found.where("face_index <> 1").select("media_id", "face_index", F.col("cluster_label").alias("label"))
+    return clustering.labels_to_faces(found.select("media_id", "face_index"), labels)
+
+
+@query(f"SELECT media_id, tool, face_index, i, {half_even('[x1, y2][i + 1]')} AS x, '[180, 180, 180]' AS colour FROM faces, (VALUES (0), (1)) v(i)", "faces")
+def overlay_dense(spark, sf_dir):
+    dense = overlay.dense_points(points_of("x1", "y2"))
+    return view(spark, sf_dir, "faces").select("media_id", "tool", "face_index", F.posexplode(dense).alias("i", "p")).select("media_id", "tool", "face_index", "i", "p.x", F.col("p.colour").cast("string").alias("colour"))
+
+
+@query(", d AS (SELECT unnest(['neutral','happiness','surprise','sadness','anger','disgust','fear','contempt']) AS label, unnest(embedding[1:8])::DOUBLE AS score FROM embedded) SELECT label, count(*) AS faces, round(avg(score), 4) AS mean_score FROM d GROUP BY 1", "embedded")
+def label_means(spark, sf_dir):
+    return analytics.score_means(view(spark, sf_dir, "embedded").select(decode.score_map(scores(8), decode.EMOTIONS).alias("scores")))
+
+
+@query(
+    ", l AS (SELECT 'tool' || face_index AS tool, CASE WHEN media_id % 5 <> 0 THEN embedding[2]::DOUBLE * 3 >= 0.5 END AS live FROM embedded)"
+    " SELECT tool, count(*) AS faces, count(*) FILTER (live) AS live, round(count(*) FILTER (live) / count(*), 6) AS live_share FROM l WHERE live IS NOT NULL GROUP BY 1",
+    "embedded",
+)
+def live_share(spark, sf_dir):
+    live = decode.is_live(decode.live_score(F.transform(scores(2), lambda v: v.cast("double") * 3)))
+    return analytics.live_share(view(spark, sf_dir, "embedded").select(F.concat(F.lit("tool"), "face_index").alias("tool"), F.when(F.col("media_id") % 5 != 0, live).alias("is_live")))
+
+
+@query(
+    "SELECT media_id, face_index, CASE WHEN face_index > 0 THEN round(embedding[1]::DOUBLE, 5) END AS valence, round(embedding[3]::DOUBLE, 5) AS arousal, CASE WHEN face_index = 0 THEN 'a' ELSE 'b' END AS gaze,"
+    " CASE WHEN embedding[1] >= embedding[2] THEN 'anger' ELSE 'fear' END AS emotion, 2 AS n_emotions, CASE WHEN face_index = 2 THEN 1 ELSE 2 END AS n_shapes FROM embedded",
+    "embedded",
+)
+def multi_outputs(spark, sf_dir):
+    e = F.col("embedding")
+    both = decode.valence_arousal(F.when(F.col("face_index") > 0, scores(2)).otherwise(F.array().cast("array<float>")), F.slice("embedding", 3, 1))
+    fields = F.when(F.col("face_index") == 0, F.create_map(F.lit("gaze"), F.lit("a"), F.lit("gaze_direction"), F.lit("b"))).otherwise(F.create_map(F.lit("gaze_direction"), F.lit("b")))
+    emotions = decode.emotion_columns(F.create_map(F.lit("anger"), e[0], F.lit("fear"), e[1], F.lit("AU01"), e[2]))
+    shapes = decode.blendshapes(F.array(F.lit("jawOpen"), F.lit("smile")), F.when(F.col("face_index") == 2, scores(1)).otherwise(scores(5)))
+    found = view(spark, sf_dir, "embedded").withColumns({"both": both, "emotions": emotions, "shapes": shapes, "gaze": decode.gaze_of(fields)})
+    return found.select(
+        "media_id", "face_index", F.round("both.valence", 5).alias("valence"), F.round("both.arousal", 5).alias("arousal"), "gaze", decode.emotion_argmax(F.col("emotions")).alias("emotion"),
+        F.size("emotions").alias("n_emotions"), F.size("shapes").alias("n_shapes"),
+    )
+
+
+@query("SELECT media_id, face_index, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first, 'arcface' AS embedding_tool FROM embedded", "embedded")
+def index_export(spark, sf_dir):
+    at = f"{tables.folder(spark)}/visagelake/index-{uuid.uuid4().hex}"
+    vectors.export_index(view(spark, sf_dir, "embedded"), "arcface", at)
+    faces = spark.read.json(f"{at}/faces").select(F.col("path").alias("media_id"), F.col("face_index").cast("int").alias("face_index"))
+    return spark.read.parquet(f"{at}/vectors").join(faces, ["media_id", "face_index"]).select("media_id", "face_index", F.round(F.col("embedding")[0], 5).alias("first"), "embedding_tool")
 
 
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -390,5 +548,4 @@ def stream_merge(spark, sf_dir):
     view(spark, sf_dir, "entries").repartitionByRange(4, "written_at").write.parquet(f"{at}/in")
     run = jobs.merge_patches(jobs.table_stream(spark, f"{at}/in", files_per_trigger=1), f"{at}/out", f"{at}/checkpoint")
     run.awaitTermination()
-    last = spark.read.parquet(f"{at}/out").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{at}/out/version={last}").select("scar_path", "entry_key", "entry_value", "seq")
+    return jobs.merged(spark, f"{at}/out").select("scar_path", "entry_key", "entry_value", "seq")

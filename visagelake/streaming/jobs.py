@@ -37,18 +37,38 @@ def live_failures(results: DataFrame, within: str = FAILURES_KEPT) -> DataFrame:
     return results.where("status = 'failed'").withWatermark("at", within).groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("failures"))
 
 
-def merge_patches(patches: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of patch entries into the table of versions below target.
-
-    Each batch writes the merged entries of all so far as a version of its own, named by the batch; a batch that is
-    run again writes the same version anew, from the same one before it.
+def merged(spark: SparkSession, target: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """Entries of the table of merge_patches(): of every bucket the latest version (before a batch); None without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    found = spark.read.parquet(target)
+    if before is not None:
+        found = found.where(F.col("version") < before)
+    if buckets is not None:
+        found = found.where(F.col("bucket").isin(buckets))
+    newest = found.groupBy("bucket").agg(F.max("version").alias("version"))  # partition columns only, a row a bucket
+    return found.join(F.broadcast(newest), ["bucket", "version"]).drop("version")
+
+
+def merge_patches(patches: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merge a stream of patch entries into the table of versions and buckets below target; merged() reads it.
+
+    Each batch reads and writes the buckets of its own documents only, as a version named by the batch; a batch that is
+    run again writes the same version anew, from those before it.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{target}/version={batch_id - 1}") if batch_id else None
-        fresh = sidecar.latest(batch) if base is None else sidecar.merge(base, batch)
-        fresh.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        bucket = F.pmod(F.xxhash64("scar_path"), F.lit(buckets)).cast("int")
+        fresh = entries = sidecar.latest(batch).withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # so many buckets at most
+        base = merged(spark, target, batch_id, touched) if touched else None
+        if base is not None:
+            fresh = sidecar.merge(base.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket)
+        if touched:
+            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
+        entries.unpersist()
 
     return patches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
