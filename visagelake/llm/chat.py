@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visagelake.llm import _scratch
+from visagelake.operators import tables
 from visagelake.llm._arrow import slices
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
@@ -119,10 +119,10 @@ def link(messages: DataFrame) -> DataFrame:
     source = messages.select(F.col("conv_id").alias("conv"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ids = f"conv {source.schema['conv'].dataType.simpleString()}, turn {source.schema['turn'].dataType.simpleString()}"
     passage = "array<struct<level: int, hash: bigint, words: int>>"
-    parsed = _scratch.save(source.mapInArrow(batches, f"{ids}, role string, text string, quoted {passage}, n_quotes bigint"), "messages")
+    parsed = tables.save(source.mapInArrow(batches, f"{ids}, role string, text string, quoted {passage}, n_quotes bigint"), "messages")
     keyed = parsed.where("conv is not null and turn is not null")
     quotes = keyed.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.words").distinct()
-    sought = _scratch.small(_scratch.save(quotes.select("hash").distinct(), "sought"), BROADCAST_HASHES)
+    sought = tables.small(tables.save(quotes.select("hash").distinct(), "sought"), BROADCAST_HASHES)
     written = keyed.select("conv", "turn", "text").mapInArrow(offered, f"{ids}, hashes array<bigint>").select("conv", "turn", F.explode("hashes").alias("hash")).join(sought, "hash", "left_semi")
     inside = written.groupBy("hash", "conv").agg(F.min("turn").alias("inside"))
     first = inside.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("inside").alias("turn"))).alias("first"), F.count("*").alias("writers"))
@@ -132,12 +132,12 @@ def link(messages: DataFrame) -> DataFrame:
     weight = F.when(near.isNotNull(), F.col("words").cast("double")).otherwise(F.col("words") / F.col("writers"))
     votes = met.withColumns({"to": F.coalesce(near, far), "weight": weight}).where("to is not null").groupBy("conv", "turn", "level", "to").agg(F.sum("weight").alias("weight"))
     answers = votes.groupBy("conv", "turn").agg(F.max_by("to", F.struct(-F.col("level"), F.round("weight", 6), "to")).alias("to"))
-    answers = _scratch.save(answers.select(F.struct("conv", "turn").alias("node"), "to"), "answers")
+    answers = tables.save(answers.select(F.struct("conv", "turn").alias("node"), "to"), "answers")
     climbing = answers.select("node", "to", F.col("to").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open"))
     while not climbing.where("open").isEmpty():
         above = climbing.select(F.col("node").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("open").alias("on"))
         joined = climbing.join(above, "root", "left")
-        climbing = _scratch.save(joined.select("node", "to", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "threads")
+        climbing = tables.save(joined.select("node", "to", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("open")), "threads")
     linked = parsed.withColumn("node", F.struct("conv", "turn")).join(climbing, "node", "left")
     return linked.select(
         F.col("conv").alias("conv_id"),

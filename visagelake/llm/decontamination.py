@@ -13,8 +13,7 @@ of templates is not. Built from DataFrame functions only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visagelake.llm import _scratch
-from visagelake.llm._scratch import small
+from visagelake.operators import tables
 
 NUMBER, NAME, UNIT = "\x02num", "\x02name", "\x02unit"
 RAW_TOKENS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*"
@@ -162,13 +161,13 @@ def contaminated(
     items = described(
         benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")).distinct(), F.col("t")
     ).withColumn("version", F.xxhash64("t")).drop("t").where(F.size("canon") > 0)
-    items = _scratch.save(items, "items")
+    items = tables.save(items, "items")
     sought, kinds = sought_windows(items, length)
-    sought = _scratch.save(sought, "windows")
+    sought = tables.save(sought, "windows")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).withColumn("text_hash", F.xxhash64("t"))
     cut = texts.select("doc", "text_hash", raw_words(F.col("t")).alias("raw"), template(F.col("t")).alias("canon"))
     seen = seen_windows(cut, kinds)
-    hits = seen.join(small(sought, broadcast_rows), "hash").withColumn("shift", place(kinds) - F.col("item_at"))
+    hits = seen.join(tables.small(sought, broadcast_rows), "hash").withColumn("shift", place(kinds) - F.col("item_at"))
     bands = F.array_distinct(F.array(*(F.struct(F.lit(side).alias("side"), F.floor((F.col("shift") + side * BAND // 2) / BAND).alias("band")) for side in (0, 1))))
     banded = hits.select("doc", "text_hash", "item", "version", "kind", "n", "item_at", "shift", F.explode(bands).alias("b"))
     pairs = banded.groupBy("doc", "text_hash", "item", "version", "kind", "b").agg(F.array_sort(F.collect_set(F.struct("item_at", "n", "shift"))).alias("hits"))
@@ -178,11 +177,11 @@ def contaminated(
     enough = lambda covered, all_: F.size(covered) >= coverage * F.size(all_)
     literal = F.filter(F.sequence(F.lit(0), F.size("i_raw") - 1), lambda w: ~is_slot(F.get(F.col("i_kinds"), w)))
     between = enough(F.array_intersect("words", literal), literal) & (2 * F.size(F.array_intersect("words", literal)) >= length)
-    likely = pairs.withColumn("words", covered).join(small(items.withColumnsRenamed(names), broadcast_rows // 20), ["item", "version"])
+    likely = pairs.withColumn("words", covered).join(tables.small(items.withColumnsRenamed(names), broadcast_rows // 20), ["item", "version"])
     likely = likely.where(F.when(F.col("kind") == "canon", enough("words", F.col("i_canon"))).otherwise((enough("words", F.col("i_raw")) & (F.size("words") >= F.least(F.size("i_raw"), F.lit(length)))) | between))
     likely = likely.withColumn("n_words", F.when(F.col("kind") == "canon", F.size("i_canon")).otherwise(F.size("i_raw")))
-    likely = _scratch.save(likely, "likely")
-    again = texts.join(small(likely.select("doc").distinct(), broadcast_rows), "doc", "left_semi")
+    likely = tables.save(likely, "likely")
+    again = texts.join(tables.small(likely.select("doc").distinct(), broadcast_rows), "doc", "left_semi")
     own = described(again, F.col("t")).select("doc", "text_hash", "raw", "slots").distinct()
     both = own.join(likely, ["doc", "text_hash"])
     votes = lambda shift: F.size(F.filter("hits", lambda g: g["shift"] == shift))
@@ -211,5 +210,5 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 200_000, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose id contaminated() returns; all columns stay, rows with a null id stay."""
-    found = _scratch.save(contaminated(docs, benchmark, id_col=id_col, broadcast_rows=broadcast_rows, **options).select(id_col).distinct(), "leaks")
-    return docs.join(small(found, broadcast_rows), id_col, "left_anti").select(docs.columns)
+    found = tables.save(contaminated(docs, benchmark, id_col=id_col, broadcast_rows=broadcast_rows, **options).select(id_col).distinct(), "leaks")
+    return docs.join(tables.small(found, broadcast_rows), id_col, "left_anti").select(docs.columns)

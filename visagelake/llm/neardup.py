@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visagelake.llm import _scratch
+from visagelake.operators import tables
 from visagelake.llm._arrow import slices
 from visagelake.operators.graph import components
 
@@ -278,9 +278,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     is linked with nothing, its component is null and it is kept. Repeated rows are in one component; rows with one id
     and different texts link what each of them links. Other columns are not carried, so none can clash.
     """
-    rows = _scratch.save(signed(docs, id_col, text_col, words, coordinates), "signatures")
+    rows = tables.save(signed(docs, id_col, text_col, words, coordinates), "signatures")
     classes = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = _scratch.save(classes, "classes")
+    classes = tables.save(classes, "classes")
     matches = match_threshold(coordinates, percent)
     posted = postings(classes, coordinates - matches + 1)
     lists = posted.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     shared = posted.join(lists, "key").join(classes.select("rep", "n", low_bytes.alias("sig")), "rep")
     loose = components(loose_edges(blocks(shared, F.ceil(F.col("rows") / LIST_ROWS), "rep"), matches, percent))
     members = classes.select("rep", "digest", "n").join(loose.withColumnsRenamed({"node": "rep", "component": "cluster"}), "rep")
-    members = _scratch.save(members, "members")
+    members = tables.save(members, "members")
     weights = members.groupBy("cluster").agg(F.sum("n").alias("all"))
     dealt = blocks(members.join(weights, "cluster"), F.ceil(F.col("all") / SET_SHINGLES), "digest")
     bucket = lambda: F.pmod(F.xxhash64("rep"), F.lit(MEMBER_BUCKETS))
@@ -307,8 +307,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 200_000, **options) -> DataFrame:
     """docs, with all columns, without the rows that near_duplicates() does not keep; of repeated rows all stay or all go."""
-    gone = _scratch.save(near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(id_col).distinct(), "copies")
-    return docs.join(_scratch.small(gone, broadcast_rows), id_col, "left_anti").select(docs.columns)
+    gone = tables.save(near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(id_col).distinct(), "copies")
+    return docs.join(tables.small(gone, broadcast_rows), id_col, "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

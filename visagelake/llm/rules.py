@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visagelake.llm import _scratch
+from visagelake.operators import tables
 from visagelake.llm._arrow import slices
 
 SYMBOLS = "#*$%&|<>"
@@ -225,7 +225,7 @@ def first_estimates(rows: DataFrame, share: float, least: np.ndarray) -> DataFra
         mean, cov = concentrate(x[order], share, least)
         return pd.DataFrame([estimate_row(part["group"].iloc[0], part["rows"].iloc[0], mean, cov, share)])
 
-    sizes = _scratch.small(_scratch.save(rows.groupBy("group").agg(F.count("*").alias("rows")), "sizes"), BROADCAST_GROUPS)
+    sizes = tables.small(tables.save(rows.groupBy("group").agg(F.count("*").alias("rows")), "sizes"), BROADCAST_GROUPS)
     place = F.pmod(F.xxhash64(*VECTOR), F.lit(1 << 30)) / (1 << 30)  # vectors are distinct
     drawn = rows.join(sizes, "group").where(place * F.col("rows") < START_ROWS)
     return drawn.select("group", "rows", *VECTOR).groupBy("group").applyInPandas(start, ESTIMATE)
@@ -246,14 +246,14 @@ def stepped(rows: DataFrame, now: DataFrame, share: float, least: np.ndarray) ->
             yield pd.DataFrame(out, columns=["group", "n", "centre", "inverse", "size", "cutoff"])
 
     step = F.ceil(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) / STEP)
-    near = rows.join(_scratch.small(now.select("group", "centre", "inverse"), BROADCAST_GROUPS), "group").withColumn("step", step)
+    near = rows.join(tables.small(now.select("group", "centre", "inverse"), BROADCAST_GROUPS), "group").withColumn("step", step)
     counts = near.groupBy("group", "step").agg(F.count("*").alias("n"))
     w = Window.partitionBy("group")
     ranked = counts.withColumns({"k": F.sum("n").over(w.orderBy("step")), "m": F.sum("n").over(w)})
     limits = ranked.where(F.col("k") >= share * F.col("m")).groupBy("group").agg(F.min(F.struct("step", "n", "k", "m")).alias("last"))
     part = 1 - (F.col("last.k") - share * F.col("last.m")) / F.col("last.n")  # of the rows of the last step
     limits = limits.select("group", F.col("last.step").alias("most"), part.alias("part"), F.col("last.m").alias("m"))
-    limits = _scratch.small(_scratch.save(limits, "limits"), BROADCAST_GROUPS)
+    limits = tables.small(tables.save(limits, "limits"), BROADCAST_GROUPS)
     weighed = near.join(limits, "group").where(F.col("step") <= F.col("most")).withColumn("w", F.when(F.col("step") < F.col("most"), 1.0).otherwise(F.col("part")))
     names = list(VECTOR)
     sums = weighed.groupBy("group").agg(
@@ -268,10 +268,10 @@ def stepped(rows: DataFrame, now: DataFrame, share: float, least: np.ndarray) ->
 def estimate(rows: DataFrame, share: float, steps: int, least: np.ndarray) -> DataFrame:
     """(group, centre, inverse, cutoff) for every group of rows: steps until no determinant gets smaller, so many at most."""
     done = []
-    now = _scratch.save(first_estimates(rows, share, least), "starts")
+    now = tables.save(first_estimates(rows, share, least), "starts")
     for _ in range(steps):
-        after = stepped(rows, now, share, least).join(_scratch.small(now.select("group", F.col("size").alias("before")), BROADCAST_GROUPS), "group")
-        after = _scratch.save(after.withColumn("open", F.col("size") < F.col("before") - SAME), "scatter")
+        after = stepped(rows, now, share, least).join(tables.small(now.select("group", F.col("size").alias("before")), BROADCAST_GROUPS), "group")
+        after = tables.save(after.withColumn("open", F.col("size") < F.col("before") - SAME), "scatter")
         done.append(after.where(~F.col("open")).select(*now.columns))
         now = after.where("open").select(*now.columns)
         if now.isEmpty():
@@ -289,17 +289,17 @@ def pools(rows: DataFrame, least_rows: int) -> DataFrame:
     has so many good rows, else by all rows, however few. Keys of pools begin with their kind, those of groups with "{".
     """
     n = F.count_if(~F.col("base_failed")).alias("n")
-    sizes = _scratch.save(rows.groupBy("group", "lang", "source").agg(n), "sizes")
+    sizes = tables.save(rows.groupBy("group", "lang", "source").agg(n), "sizes")
     sizes = sizes.withColumns({c: F.concat(F.lit(f"{c} "), F.to_json(F.struct(c))) for c in ("lang", "source")})
     for c in ("lang", "source"):
         sizes = sizes.join(sizes.groupBy(c).agg(F.sum("n").alias(f"{c}_n")), c)
     enough = lambda c: F.col(c) >= least_rows
     judge = F.when(enough("n"), F.col("group")).when(enough("lang_n"), F.col("lang")).when(enough("source_n"), F.col("source")).otherwise(F.lit("all"))
-    chosen = _scratch.save(sizes.select("group", "lang", "source", judge.alias("judge")), "judges")
+    chosen = tables.save(sizes.select("group", "lang", "source", judge.alias("judge")), "judges")
     needed = chosen.select("judge").distinct()
     fed = chosen.select("group", F.explode(F.array("group", "lang", "source", F.lit("all"))).alias("judge")).join(needed, "judge", "left_semi")
     members = fed.groupBy("group").agg(F.collect_list("judge").alias("members"))  # four keys at most
-    return _scratch.save(chosen.select("group", "judge").join(members, "group", "left"), "pools")
+    return tables.save(chosen.select("group", "judge").join(members, "group", "left"), "pools")
 
 
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, least_rows: int = 40) -> DataFrame:
@@ -312,13 +312,13 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, least_rows: int
     groups with fewer than least_rows such rows, and pooled_distance, by the estimate of pools(), decides there. Both are
     null only if no row passes the base rules. Repeated rows are judged alike.
     """
-    rows, spread = with_vector(_scratch.save(counted(docs), "statistics"))
-    groups = _scratch.small(pools(rows, least_rows), BROADCAST_GROUPS)
+    rows, spread = with_vector(tables.save(counted(docs), "statistics"))
+    groups = tables.small(pools(rows, least_rows), BROADCAST_GROUPS)
     passed = rows.where(~F.col("base_failed")).join(groups.select("group", "members"), "group").select(F.explode("members").alias("group"), *VECTOR)
-    passed = _scratch.save(passed.distinct(), "vectors")
+    passed = tables.save(passed.distinct(), "vectors")
     scales = passed.agg(*(F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in VECTOR)).first()  # one row
     least = spread + 1e-6 * np.array(list(scales)) + 1e-12
-    models = _scratch.small(estimate(passed, share, steps, least).withColumnRenamed("group", "judge"), BROADCAST_GROUPS)
+    models = tables.small(estimate(passed, share, steps, least).withColumnRenamed("group", "judge"), BROADCAST_GROUPS)
     judged = rows.join(groups.select("group", "judge"), "group").join(models, "judge", "left").withColumn("found", distance(F.col("centre"), F.col("inverse")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("found") <= F.col("cutoff"), F.lit(True))
     own = F.col("judge") == F.col("group")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visagelake.llm import _scratch
+from visagelake.operators import tables
 
 #: The ring has this many cells; a cell's keys share an arc.
 CELLS = 1 << 16
@@ -94,10 +94,10 @@ def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, part_rows: int =
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("key"),
     )
-    rows = _scratch.save(rows.groupBy("id", "size", "crc", "key").agg(F.count("*").alias("copies")).withColumn("cell", F.shiftrightunsigned("key", 48).cast("int")), "ring")
+    rows = tables.save(rows.groupBy("id", "size", "crc", "key").agg(F.count("*").alias("copies")).withColumn("cell", F.shiftrightunsigned("key", 48).cast("int")), "ring")
     nodes = ring(spark, shards, vnodes)
-    placed = rows.join(F.broadcast(_scratch.save(arcs_of(spark, nodes), "cells")), "cell")  # CELLS rows
-    counts = _scratch.save(placed.groupBy("arc").agg(F.sum("copies").alias("n")), "arcs")  # shards x vnodes rows
+    placed = rows.join(F.broadcast(tables.save(arcs_of(spark, nodes), "cells")), "cell")  # CELLS rows
+    counts = tables.save(placed.groupBy("arc").agg(F.sum("copies").alias("n")), "arcs")  # shards x vnodes rows
     pieces = table(spark, place({r.arc: r.n for r in counts.collect()}, nodes, shards), "arc int, lo bigint, hi bigint, shard int, first bigint")
     parts = counts.select("arc", F.ceil(F.col("n") / part_rows).alias("parts"))
     dealt = placed.join(F.broadcast(parts), "arc").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))

@@ -8,7 +8,7 @@ distrust outweighs its trust by more than `threshold` of its pages, and that dec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visagelake.llm import _scratch
+from visagelake.operators import tables
 
 #: (host, path, verdict) of the production rules (fixed values).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -41,19 +41,19 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tole
     of changes is below tolerance times that sum, or after so many rounds.
     """
     ends = edges.select("src").distinct()
-    now = _scratch.save(seeds.select("host", F.col("seed").alias("mass")), "rank")
+    now = tables.save(seeds.select("host", F.col("seed").alias("mass")), "rank")
     total = now.agg(F.sum("mass")).first()[0] or 0.0
     if edges.isEmpty() or not total:
         return now
     sinks = seeds.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().join(ends.withColumnRenamed("src", "host"), "host", "left_anti")
-    sinks = _scratch.save(sinks, "sinks")
+    sinks = tables.save(sinks, "sinks")
     for _ in range(rounds):
         walked = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("part")).alias("mass"))
         stayed = now.join(sinks, "host", "left_semi").select("host", (damping * F.col("mass")).alias("mass"))
         restart = seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
-        after = _scratch.save(walked.unionByName(stayed).unionByName(restart).groupBy("host").agg(F.sum("mass").alias("mass")), "rank")
+        after = tables.save(walked.unionByName(stayed).unionByName(restart).groupBy("host").agg(F.sum("mass").alias("mass")), "rank")
         gap = now.withColumnRenamed("mass", "old").join(after, "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        _scratch.drop(now)
+        tables.drop(now)
         now = after
         if gap <= tolerance * total:
             break
@@ -70,24 +70,24 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 30
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     told = parts.withColumns({"rule": rule, "told": verdict})
-    hosts = _scratch.save(
+    hosts = tables.save(
         told.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("told") == "allow").alias("allowed"), F.count_if(F.col("told") == "block").alias("blocked")), "hosts"
     )
     linked = parts.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
     linked = linked.select(F.col("host").alias("src"), F.translate("to", UPPER, LOWER).alias("dst")).where("src <> dst and src <> ''")
-    links = _scratch.save(linked.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
+    links = tables.save(linked.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
 
     def walk(src: str, dst: str, seeds: str) -> DataFrame:
         turned = links.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n")
         out = turned.groupBy("src").agg(F.sum("n").alias("all"))
-        edges = _scratch.save(turned.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "edges")
+        edges = tables.save(turned.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "edges")
         return spread(edges, hosts.where(F.col(seeds) > 0).select("host", F.col(seeds).cast("double").alias("seed")), damping, rounds, tolerance)
 
     trust = walk("src", "dst", "allowed").withColumnRenamed("mass", "trust")
     distrust = walk("dst", "src", "blocked").withColumnRenamed("mass", "distrust")
     score = (F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0))) / F.col("pages")
-    bad = _scratch.save(hosts.join(trust, "host", "left").join(distrust, "host", "left").where(score < -threshold).select("host", F.lit("block").alias("spread")), "bad-hosts")
-    return told.drop("html").join(_scratch.small(bad, broadcast_rows), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("told", "spread", F.lit("allow")).alias("verdict"))
+    bad = tables.save(hosts.join(trust, "host", "left").join(distrust, "host", "left").where(score < -threshold).select("host", F.lit("block").alias("spread")), "bad-hosts")
+    return told.drop("html").join(tables.small(bad, broadcast_rows), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("told", "spread", F.lit("allow")).alias("verdict"))
 
 
 def oracle(rounds: int = 8) -> str:
