@@ -123,7 +123,9 @@ def sought_windows(items: DataFrame, length: int) -> tuple[DataFrame, list[tuple
 def seen_windows(texts: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """(doc, text_hash, sizes, pos, hash) of all windows of texts, each text cut up once; see place()."""
     cut = F.concat(*(windows(F.col(kind), kind, n) for kind, n in kinds)) if kinds else F.array().cast("array<bigint>")
-    return texts.select("doc", "text_hash", F.size("canon").alias("n_canon"), F.size("raw").alias("n_raw"), F.posexplode(cut).alias("pos", "hash"))
+    sized = texts.select("doc", "text_hash", F.size("canon").alias("n_canon"), F.size("raw").alias("n_raw"), cut.alias("cut"))  # exploded rows carry no arrays
+    # outer, as the other form puts a filter on the array's size below, which cuts up every text once more
+    return sized.select("doc", "text_hash", "n_canon", "n_raw", F.posexplode_outer("cut").alias("pos", "hash"))
 
 
 def place(kinds: list[tuple[str, int]]) -> Column:

@@ -73,7 +73,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 30
     hosts = tables.save(
         told.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("told") == "allow").alias("allowed"), F.count_if(F.col("told") == "block").alias("blocked")), "hosts"
     )
-    linked = parts.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
+    linked = parts.select("host", F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
     linked = linked.select(F.col("host").alias("src"), F.translate("to", UPPER, LOWER).alias("dst")).where("src <> dst and src <> ''")
     links = tables.save(linked.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
 
