@@ -8,7 +8,8 @@ import pyarrow.compute as pc
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose column holds at most so many bytes or elements, of one row at least."""
+    """Slices of a batch whose column holds at most so many bytes or elements, of one row at least. Memory that earlier
+    slices left unused goes back to the system, as workers outlive their stage."""
     values = batch.column(column)
     sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
     total = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -16,4 +17,5 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
     while at < len(total):
         upto = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(at, upto - at)
+        pa.default_memory_pool().release_unused()
         at, before = upto, int(total[upto - 1])

@@ -29,7 +29,7 @@ from visagelake.operators.graph import components
 RISK = 1e-9
 #: Buckets of the sketch of coordinate frequencies; rows of a posting block; shingles of a confirmation block.
 SKETCH, LIST_ROWS, SET_SHINGLES = 1 << 16, 1000, 200_000
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 #: Hash buckets of ids that keep most texts without a loose partner out of the shuffle for the confirmation.
 MEMBER_BUCKETS = 1 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -19,7 +19,7 @@ from visagelake.llm._arrow import slices
 
 BIGRAMS, CLASSES, STATISTICS = 2048, 1024, 8
 BLOCK = 256
-TOGETHER = 4_000_000  # bytes of text handled together
+TOGETHER = 1_000_000  # bytes of text handled together
 SYMBOLS = b"#*$%&|<>@^~=+_{}[]\\/"
 
 
