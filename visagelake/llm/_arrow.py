@@ -1,11 +1,22 @@
 """Arrow batches in slices of bounded size."""
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return memory that is not in use to the system, where the C library can: workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column holds at most so many bytes or elements, of one row at least. Memory that earlier
@@ -17,5 +28,5 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
     while at < len(total):
         upto = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(at, upto - at)
-        pa.default_memory_pool().release_unused()
         at, before = upto, int(total[upto - 1])
+    give_back()

@@ -22,7 +22,7 @@ from visagelake.llm._arrow import slices
 #: Pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept per Python worker before the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: No symbol: merged away, or past the end of a word.
 NONE = -1
 #: Bytes of text, or ids, handled together; bounds the memory of the occurrence index.
