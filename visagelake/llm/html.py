@@ -339,7 +339,9 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = 500, page_bloc
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["row", "label"])
 
     source = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null")
-    drawn = source.orderBy(F.xxhash64("html"), "html").limit(sample)
+    source = source.withColumn("h", F.xxhash64("html"))
+    most = source.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    drawn = source.where(F.col("h") <= F.lit(most).cast("long")).groupBy("h").agg(F.first("html").alias("html")).select("html")
     found = sorted((tuple(r.row), r.label) for r in drawn.mapInArrow(batches, "row array<double>, label int").collect())  # sample x page_blocks rows at most
     return learnt(np.array([r for r, _ in found]).reshape(len(found), len(PRIOR)), np.array([label for _, label in found], dtype=float))
 
