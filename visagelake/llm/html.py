@@ -51,8 +51,8 @@ BOILERPLATE_WORDS = frozenset(
     "register permalink breadcrumb sitemap menu ago posted upvote".split()
 )
 #: Weights of features() before anything is learnt, and how many blocks they count for.
-PRIOR, PRIOR_BLOCKS, TEXT_MOST = np.array([-1.3, 2.6, -3.0, 0.7, -2.4, -1.5]), 50.0, 3.0
-#: Capacities: next block (shared out by the distance in the tree), block of the same container; longest distance that counts.
+PRIOR, PRIOR_BLOCKS, TEXT_MOST = np.array([-1.1, 2.6, -3.0, 0.7, -2.4, -1.5]), 50.0, 3.0
+#: Capacities: next block (an eighth for every step of distance in the tree), block of the same container; longest distance that counts.
 SMOOTH_NEXT, SMOOTH_SAME, DISTANCE_MOST = 1.2, 0.6, 6
 
 
@@ -242,7 +242,7 @@ def edges_of(blocks: list[Block], parents: list[int]) -> list[tuple[int, int, fl
         return steps
 
     at = [b.container for b in blocks]
-    edges = [(i, i + 1, SMOOTH_NEXT / (1 + distance(at[i], at[i + 1]))) for i in range(len(at) - 1)]
+    edges = [(i, i + 1, SMOOTH_NEXT / 8 ** distance(at[i], at[i + 1])) for i in range(len(at) - 1)]
     last: dict[int, int] = {}
     for i, container in enumerate(at):
         if last.get(container, i - 1) != i - 1:
