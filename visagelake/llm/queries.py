@@ -1,9 +1,12 @@
 """Registered queries of the numbered operators, over the driver's tables."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visagelake.llm import bpe, chat, decontamination, html, neardup, quality, rules, secrets, sharding, urls
+from visagelake.llm import bpe, chat, codes, decontamination, html, merkle, neardup, quality, rules, secrets, sharding, token_files, urls
+from visagelake.operators import tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +54,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
-ORACLE: dict[str, str] = {"op1_neardup": neardup.ORACLE, "op3_urls": urls.oracle()}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = f"{tables.folder(spark)}/visagelake/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), target)
+    return token_files.digests(spark, target)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_neardup": op1_neardup, "op2_decontamination": op2_decontamination, "op3_urls": op3_urls, "op4_quality": op4_quality, "op5_chat": op5_chat, "op6_html": op6_html, "op7_sharding": op7_sharding, "op8_secrets": op8_secrets, "op9_rules": op9_rules, "op10_bpe": op10_bpe, "op11_token_files": op11_token_files, "op12_merkle": op12_merkle, "op13_codes": op13_codes}
+ORACLE: dict[str, str] = {"op1_neardup": neardup.ORACLE, "op3_urls": urls.oracle(), "op12_merkle": merkle.ORACLE, "op13_codes": codes.oracle()}
