@@ -12,6 +12,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,15 @@ from visagelake.llm import _arrow, bpe
 from visagelake.operators import tables
 
 #: Words, and pieces of them, kept per Python worker: so many recent ones, and as many older ones.
-KEPT = 150_000
+KEPT = 400_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: Bytes of text, or ids, handled together.
 TOGETHER = 1_000_000
 #: Characters below this are letters, digits or marks in every version of Unicode alike.
 SETTLED = "ɐ"
+MARKS = set("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")
+TOKEN_ID = attrgetter("id")
 #: Parts of a file up to which their totals are broadcast.
 PARTS = 1_000_000
 
@@ -87,20 +90,26 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece."""
-        if piece.isascii() and piece[1:].isprintable() and " " not in piece[1:] and piece[0] >= " ":
-            spelled = "Ġ" + piece[1:] if piece[0] == " " else piece
+        rest = piece[1:]
+        if rest.isascii() and rest.isalnum() and " " <= piece[0] <= "~":
+            spelled = "Ġ" + rest if piece[0] == " " else piece
         else:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array("i", map(TOKEN_ID, self.model.tokenize(spelled))).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Ids of a word with the space before it."""
+        """Ids of a word with the space before it. Letters alone are one piece, and a mark at the end is another."""
+        if word.isalpha() and (word.isascii() or max(word) < SETTLED):
+            return self.piece(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.pieces[word[-1]]
         if not word or word[0].isspace():
             raise Whole
         return self.cut(" " + word)
 
     def cut(self, text: str) -> bytes:
-        if text and (max(text) >= SETTLED or not text.replace("\n", "").isprintable()):
+        """Ids of a text, or word, by its pieces."""
+        if not text.replace("\n", "").isprintable() or not text.isascii() and max(text) >= SETTLED:
             return self.whole(text)
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
