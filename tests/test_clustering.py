@@ -104,6 +104,60 @@ def test_small_and_equal(spark):
         clustering.cluster_faces(spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0])], "media_id long, face_index int, embedding array<double>"))
 
 
+def graph_tree(x, core):
+    """Weight of the minimum spanning tree of mutual reachability over all pairs."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    best, left, total = reach[0].copy(), set(range(1, len(x))), 0.0
+    while left:
+        j = min(left, key=lambda i: best[i])
+        total += best[j]
+        left.remove(j)
+        best = np.minimum(best, reach[j])
+    return total
+
+
+def test_rounds_and_one_task_pick_the_same_tree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 60, 400), rng.integers(60, 120, 400), rng.integers(0, 9, 400), strict=True)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "a long, b long, w double")
+    once = sorted(map(tuple, clustering.minimum_spanning_tree(edges).collect()))
+    monkeypatch.setattr(clustering, "FEW", 10)
+    assert sorted(map(tuple, clustering.minimum_spanning_tree(edges).collect())) == once
+    named = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    many = sorted(map(tuple, clustering.joined(named).collect()))
+    monkeypatch.setattr(clustering, "FEW", 1000)
+    assert sorted(map(tuple, clustering.joined(named).collect())) == many
+
+
+@pytest.mark.parametrize(("x", "block_rows"), [(blobs(2, 8, 12, 0), 12), (blobs(7, 3, 30, 20), 15), (np.concatenate([blobs(5, 1, 150, 0), np.repeat(np.eye(16)[:3], 2, axis=0)]), 20)])
+def test_edges_hold_the_tree_of_all(spark, x, block_rows):
+    unit = vectors.normalize(faces_of(spark, x)).withColumn("node", F.col("media_id") * 3 + F.col("face_index"))
+    cores = vectors.core_distance(unit, 2, block_rows)
+    tree = clustering.minimum_spanning_tree(clustering.spanning_edges(unit, cores, block_rows))
+    found = {r.media_id * 3 + r.face_index: r.core for r in cores.collect()}
+    want = graph_tree(vectors.unit_rows(x), np.array([found[i] for i in range(len(x))]))
+    edges = tree.collect()
+    assert len(edges) == len(x) - 1 and sum(r.w for r in edges) == pytest.approx(want)
+
+
+def test_identities_need_few_trees_of_two_pieces(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.standard_normal((40, 8)) * 0.01 for c in rng.standard_normal((12, 8))])
+    unit = vectors.normalize(faces_of(spark, x)).withColumn("node", F.col("media_id") * 3 + F.col("face_index"))
+    met, whole = clustering.met_share(unit, vectors.core_distance(unit, 2, 40), 40)
+    assert met < 0.7 and whole < 0.2
+
+
+def test_equal_distances_fill_levels_exactly(spark):
+    tree = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.5).alias("w"))
+    sizes = {r.level: r["count"] for r in clustering.leveled(tree, 300).groupBy("level").count().collect()}
+    assert sizes == {k: 300 if k < 33 else 100 for k in range(34)}
+    x = np.concatenate([np.eye(24), np.repeat(np.eye(24)[:4], 2, axis=0) + 0.01 * np.eye(24)[:8]])
+    labels = lambda most: {(r.media_id, r.face_index): r.label for r in clustering.cluster_faces(faces_of(spark, x), level_edges=most).collect()}
+    assert labels(7) == labels(1000)
+
+
 def test_block_size_does_not_change_neighbours(spark):
     unit = vectors.normalize(faces_of(spark, blobs(1, 3, 10, 5)))
     want = sorted(tuple(r)[:4] + (r["rank"],) for r in vectors.top_k(unit, 4).collect())
@@ -123,5 +177,38 @@ def test_collection_entries_and_summary(spark):
 
 def test_export(spark, tmp_path):
     vectors.export_index(faces_of(spark, np.eye(3)), "arcface", str(tmp_path))
-    assert spark.read.json(str(tmp_path / "faces")).select("path", "face_index", "embedding_tool").count() == 3
-    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 3
+    vectors.export_index(faces_of(spark, np.eye(2)), "dlib_embed", str(tmp_path))
+    assert spark.read.json(str(tmp_path / "faces")).groupBy("embedding_tool").count().orderBy("embedding_tool").collect() == [("arcface", 3), ("dlib_embed", 2)]
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 5
+
+
+def test_stored_index_answers_as_all_pairs(spark, tmp_path):
+    x = np.concatenate([blobs(3, 10, 20, 0), np.random.default_rng(1).standard_normal((10, 16))])
+    faces = faces_of(spark, x)
+    part = F.pmod("media_id", F.lit(4))
+    vectors.export_index(faces.where(part < 2), "arcface", str(tmp_path), 15)
+    vectors.append_index(faces.where(part == 2), "arcface", str(tmp_path), 15)
+    asking = faces.where(part == 3)
+    got = {(r.media_id * 3 + r.face_index, r.neighbour_media * 3 + r.neighbour_face, r["rank"]) for r in vectors.search_index(asking, "arcface", str(tmp_path), 4, 15).collect()}
+    u = vectors.unit_rows(x)
+    kept = np.array([i for i in range(len(x)) if i // 3 % 4 < 3])
+    want = set()
+    for i in range(len(x)):
+        if i // 3 % 4 == 3:
+            want |= {(i, int(j), r + 1) for r, j in enumerate(kept[np.argsort(-(u[kept] @ u[i]), kind="stable")[:4]])}
+    assert got == want
+    assert vectors.search_index(asking.limit(0), "arcface", str(tmp_path), 4, 15).collect() == []
+    itself = vectors.search_index(faces.where("media_id = 0"), "arcface", str(tmp_path), 1, 15).collect()
+    assert all((r.media_id, r.face_index) == (r.neighbour_media, r.neighbour_face) for r in itself) and len(itself) == 3
+    vectors.export_index(faces.limit(0), "empty", str(tmp_path), 15)
+    assert vectors.search_index(asking, "empty", str(tmp_path), 4, 15).collect() == []
+
+
+def test_search_reads_only_some_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.standard_normal((40, 8)) * 0.01 for c in rng.standard_normal((10, 8))])
+    vectors.export_index(faces_of(spark, x), "arcface", str(tmp_path), 40)
+    found = vectors.search_index(faces_of(spark, x[:3]), "arcface", str(tmp_path), 3, 40)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cells = {r.cell for r in spark.read.parquet(str(tmp_path / "vectors" / "embedding_tool=arcface")).select("cell").distinct().collect()}
+    assert len(cells) > 4 and "cell" in plan and found.count() == 9

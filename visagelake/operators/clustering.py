@@ -1,10 +1,11 @@
 """Density clustering of faces (HDBSCAN, minimum size 2, excess of mass) in Spark.
 
-The minimum spanning tree of mutual reachability is exact: every pair of vector blocks gives the tree of its own
-complete graph, which together hold the tree of all, and rounds of least outgoing edges pick it out. The condensed
-tree is built in levels of ascending distance. In a level the edges up to a distance form components; each is worked
-off on its own and contracted to one node that carries its size, its open stability and the best of its children, so a task never
-holds more than about `level_edges` edges, however large a cluster grows. Three or more equal vectors, whose edges all have
+The minimum spanning tree of mutual reachability is exact: pieces of vectors give the trees of their own complete graphs, pairs of
+pieces those of both or their shortest edge, unless bounds show that no edge of the tree runs between them; together they hold
+the tree of all, and rounds of least outgoing edges pick it out. The condensed tree is built in levels of `level_edges` edges, in
+the order of distance and ends. The edges of a level form components; each is worked off on its own and contracted to one
+node that carries its size, its open stability and the best of its children, so a task never holds more than
+`level_edges` edges, however large a cluster grows and however many distances are equal. Three or more equal vectors, whose edges all have
 the length 0, are one node from the start. Selection then runs from the top level down.
 """
 
@@ -12,45 +13,183 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visagelake.operators import analytics, tables, vectors
+from visagelake.operators import analytics, cells, ranks, tables, vectors
 from visagelake.operators.graph import components
 
 LEAST_DISTANCE = 1e-9  # equal vectors: their density is capped
 
 
+def prim(node: np.ndarray, core: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float]]:
+    """(a, b, w) of a minimum spanning tree of mutual reachability among rows in the order of their node."""
+    n = len(node)
+    inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
+    out, at = [], 0
+    for _ in range(n - 1):
+        inside[at] = True
+        apart = np.sqrt(np.maximum(((x - x[at]) ** 2).sum(axis=1), 0))
+        reach = np.maximum(np.maximum(apart, core), core[at])
+        nearer = ~inside & (reach < best)
+        best[nearer], link[nearer] = reach[nearer], at
+        at = int(np.argmin(np.where(inside, np.inf, best)))
+        out.append((node[link[at]], node[at], best[at]))
+    return out
+
+
+def shortest(node: np.ndarray, core: np.ndarray, x: np.ndarray, role: np.ndarray) -> list[tuple[int, int, float]]:
+    """The shortest edge between the rows of role 0 and those of role 1, equal ones by node."""
+    i, j = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    reach = np.maximum(np.maximum(cells.distances(x[i], x[j]), core[i][:, None]), core[j])
+    near = np.argwhere(reach <= reach.min() + cells.SLACK)
+    least = None
+    for some in (near[k : k + 4096] for k in range(0, len(near), 4096)):
+        a, b = i[some[:, 0]], j[some[:, 1]]
+        w = np.maximum(np.maximum(np.sqrt(((x[b] - x[a]) ** 2).sum(axis=1)), core[a]), core[b])
+        at = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), w))[0]
+        edge = (w[at], min(node[a[at]], node[b[at]]), max(node[a[at]], node[b[at]]))
+        least = edge if least is None else min(least, edge)
+    return [(least[1], least[2], least[0])]
+
+
+def order_of_units(x: np.ndarray, core: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's order of units by one vector of each, and the weight at which every unit joins. An edge weighs as much as its mutual
+    reachability and the heights of both units at least, so it holds between any of their rows; the heaviest step between two
+    places of the order is the lightest bottleneck of all paths between the two units."""
+    n = len(x)
+    best, left = np.full(n, np.inf), np.ones(n, dtype=bool)
+    order, joins, at = [], [], 0
+    for k in range(n):
+        left[at] = False
+        order.append(at)
+        joins.append(best[at] if k else 0.0)
+        apart = np.maximum(np.maximum(cells.distances(x, x[at : at + 1])[:, 0], core), core[at])
+        best = np.minimum(best, np.maximum(np.maximum(apart, heights), heights[at]))
+        at = int(np.argmin(np.where(left, best, np.inf)))
+    return np.array(order), np.array(joins)
+
+
+def meetings(spark: SparkSession, units: cells.Units, x: np.ndarray, core: np.ndarray, least_core: np.ndarray, heights: np.ndarray) -> DataFrame:
+    """(lo, hi, short) of the pairs of units between which an edge of the tree may run.
+
+    None does where all rows of both are connected by edges shorter than any between them. Where the rows of each are, only the shortest edge
+    between the two counts (short).
+    """
+    order, joins = order_of_units(x, core, heights)
+    place = np.argsort(order)
+    between = cells.distances(units.centres, units.centres)
+
+    def pairs(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in found:
+            for a in batch["unit"]:
+                p = place[a]
+                bottleneck = np.zeros(len(order))
+                bottleneck[order[p + 1 :]] = np.maximum.accumulate(joins[p + 1 :])
+                bottleneck[order[:p]] = np.maximum.accumulate(joins[1 : p + 1][::-1])[::-1]
+                apart = np.where(units.cell == units.cell[a], np.maximum(units.lo - units.hi[a], units.lo[a] - units.hi), between[units.cell[a], units.cell] - units.hi - units.hi[a])
+                bound = np.maximum(np.maximum(apart, least_core), least_core[a])
+                b = np.flatnonzero((bound <= bottleneck + cells.SLACK) & (np.arange(len(order)) > a))
+                yield pd.DataFrame({"lo": np.full(len(b), a, dtype=np.int32), "hi": b.astype(np.int32), "short": bound[b] > np.maximum(heights[b], heights[a]) + cells.SLACK})
+
+    return spark.range(len(order)).select(F.col("id").cast("int").alias("unit")).repartition(min(len(order), 64)).mapInPandas(pairs, "lo int, hi int, short boolean")
+
+
+EDGES = "a bigint, b bigint, w double"
+
+
 def spanning_edges(faces: DataFrame, cores: DataFrame, block_rows: int = 1500) -> DataFrame:
-    """(a, b, w): spanning trees of mutual reachability of all pairs of blocks; faces have (node, media_id, face_index, embedding)."""
-
-    def tree(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node").sort_values("node")
-        n = len(part)
-        node, core = part["node"].to_numpy(), part["core"].to_numpy()
-        x = np.stack(part["embedding"].to_numpy())
-        inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
-        out, at = [], 0
-        for _ in range(n - 1):
-            inside[at] = True
-            apart = np.sqrt(np.maximum(((x - x[at]) ** 2).sum(axis=1), 0))
-            reach = np.maximum(np.maximum(apart, core), core[at])
-            nearer = ~inside & (reach < best)
-            best[nearer], link[nearer] = reach[nearer], at
-            at = int(np.argmin(np.where(inside, np.inf, best)))
-            out.append((node[link[at]], node[at], best[at]))
-        return pd.DataFrame(out, columns=["a", "b", "w"])
-
-    dealt = vectors.meetings(faces.join(cores, vectors.KEY), block_rows)
-    made = dealt.groupBy("lo", "hi").applyInPandas(tree, "a bigint, b bigint, w double")
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w"))
+    """(a, b, w): edges that hold a minimum spanning tree of mutual reachability; faces have (node, media_id, face_index,
+    embedding). Every piece gives its own tree, and pieces meet in pairs where an edge between them may be needed."""
+    rows, pairs = met_pieces(faces, cores, block_rows)
+    return pieces_met(rows, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w"))
+
+
+def met_pieces(faces: DataFrame, cores: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, packed, core, unit, piece), and the pairs (lo, p, hi, q, short) of pieces that meet, each with itself too."""
+    spark = faces.sparkSession
+    found, units = cells.prepared(faces, block_rows)
+    known = faces.select(*vectors.KEY, "node").join(cores, vectors.KEY)
+    rows = tables.save(found.join(known, vectors.KEY).select("node", "packed", "core", "r", "unit", "piece"), "nodes")
+    pieces = units.table(spark).select("unit", "pieces")
+    same = F.expr("sequence(0, pieces - 1)")
+    each = F.broadcast(pieces).withColumn("p", F.explode(same)).withColumn("q", F.explode(same)).where("p <= q")
+    own = each.select(F.col("unit").alias("lo"), "p", F.col("unit").alias("hi"), "q", F.lit(False).alias("short"))
+    if len(units.rows) < 2:
+        return rows, own
+    trees = pieces_met(rows, own.where("p = q")).join(rows.select(F.col("node").alias("a"), "unit"), "a")
+    longest = {r.unit: r.w for r in trees.groupBy("unit").agg(F.max("w").alias("w")).collect()}  # units of cells
+    held = rows.groupBy("unit").agg(F.min("core").alias("least"), F.max("core").alias("most"), F.min_by(F.struct("packed", "core"), "r").alias("one")).collect()
+    held.sort(key=lambda r: r.unit)
+    wide = np.maximum(2 * units.hi, [r.most for r in held])
+    heights = np.where(units.pieces > 1, wide, [longest.get(u, 0.0) for u in range(len(held))])
+    x = np.array([np.frombuffer(r.one.packed) for r in held])
+    found = meetings(spark, units, x, np.array([r.one.core for r in held]), np.array([r.least for r in held]), heights)
+    lo, hi = (F.broadcast(pieces.withColumnsRenamed({"unit": u, "pieces": f"{u}_pieces"})) for u in ("lo", "hi"))
+    between = found.join(lo, "lo").join(hi, "hi").withColumn("p", F.explode(F.expr("sequence(0, lo_pieces - 1)"))).withColumn("q", F.explode(F.expr("sequence(0, hi_pieces - 1)")))
+    return rows, own.unionByName(tables.save(between.select("lo", "p", "hi", "q", "short"), "meetings"))
+
+
+def pieces_met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, w) of all meetings: the tree of a pair's rows, or their shortest edge."""
+
+    def work(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks().sort_by("node")
+        node, core, role = (part.column(c).to_numpy() for c in ("node", "core", "role"))
+        x = np.frombuffer(b"".join(part.column("packed").to_pylist()), dtype=np.float64).reshape(part.num_rows, -1)
+        edges = shortest(node, core, x, role) if part.column("short")[0].as_py() else prim(node, core, x)
+        a, b, w = zip(*edges, strict=True) if edges else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.float64())})
+
+    keys = ["lo", "p", "hi", "q", "short"]
+    first = rows.join(pairs.withColumnsRenamed({"lo": "unit", "p": "piece"}), ["unit", "piece"]).select("node", "packed", "core", F.col("unit").alias("lo"), F.col("piece").alias("p"), "hi", "q", "short", F.lit(0).alias("role"))
+    other = pairs.where("lo <> hi or p <> q").withColumnsRenamed({"hi": "unit", "q": "piece"})
+    second = rows.join(other, ["unit", "piece"]).select("node", "packed", "core", "lo", "p", F.col("unit").alias("hi"), F.col("piece").alias("q"), "short", F.lit(1).alias("role"))
+    return first.unionByName(second).groupBy(*keys).applyInArrow(work, EDGES)
+
+
+def met_share(faces: DataFrame, cores: DataFrame, block_rows: int) -> tuple[float, float]:
+    """Shares of all pairs of faces whose distance spanning_edges() computes, and of those in a tree of two whole pieces."""
+    rows, pairs = met_pieces(faces, cores, block_rows)
+    sizes = rows.groupBy("unit", "piece").agg(F.count("*").alias("n"))
+    left, right = (sizes.withColumnsRenamed({"unit": u, "piece": p, "n": n}) for u, p, n in (("lo", "p", "n"), ("hi", "q", "m")))
+    cost = F.when((F.col("lo") == F.col("hi")) & (F.col("p") == F.col("q")), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
+    met = pairs.join(left, ["lo", "p"]).join(right, ["hi", "q"]).agg(F.sum(cost).alias("all"), F.sum(F.when(~F.col("short"), cost)).alias("whole")).first()
+    total = rows.count()
+    return tuple((v or 0) / max(1, total * (total - 1) / 2) for v in met)
+
+
+#: Edges of a contracted graph that one task works off.
+FEW = 100_000
+
+
+def kruskal(part: pa.Table) -> pa.Table:
+    """The edges (a, b, w) that join ends x and y not joined before, in the order of (w, a, b)."""
+    part = part.combine_chunks().sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    at: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := at.setdefault(i, i)) != i:
+            at[i] = at[up]
+            i = at[i]
+        return i
+
+    taken = []
+    for k, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)):
+        i, j = root(x), root(y)
+        if i != j:
+            at[j] = i
+            taken.append(k)
+    return part.select(["a", "b", "w"]).take(pa.array(taken, pa.int64()))
 
 
 def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
-    """(a, b, w) of the minimum spanning forest, ties by node: Boruvka's rounds of least outgoing edges."""
+    """(a, b, w) of the minimum spanning forest, ties by node: Boruvka's rounds of least outgoing edges, until the
+    contracted graph has FEW edges, which one task works off."""
     left = tables.save(edges.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")), "graph")
     picked = []
-    while not left.isEmpty():
+    while left.count() > FEW:
         edge = F.struct("w", "a", "b")
         ends = left.select(F.col("x").alias("c"), edge.alias("e")).unionByName(left.select(F.col("y").alias("c"), edge.alias("e")))
         least = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.w", "e.a", "e.b").distinct()
@@ -61,12 +200,35 @@ def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
         moved = left.join(to.withColumnsRenamed({"node": "x", "component": "cx"}), "x").join(to.withColumnsRenamed({"node": "y", "component": "cy"}), "y")
         left = tables.save(moved.where("cx <> cy").select("a", "b", "w", F.col("cx").alias("x"), F.col("cy").alias("y")), "graph")
         tables.drop(last)
-    out = picked[0] if picked else edges
-    for more in picked[1:]:
+    out = left.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(kruskal, EDGES)
+    for more in picked:
         out = out.unionByName(more)
     return out
 
 
+def joined(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (x, y), FEW of them in one task."""
+    named = edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if edges.count() > FEW:
+        return components(named)
+
+    def work(part: pa.Table) -> pa.Table:
+        at: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := at.setdefault(i, i)) != i:
+                at[i] = at[up]
+                i = at[i]
+            return i
+
+        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+            i, j = sorted((root(a), root(b)))
+            at[j] = i
+        return pa.table({"node": pa.array(list(at), pa.int64()), "component": pa.array([root(i) for i in at], pa.int64())})
+
+    return tables.save(named.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(work, "node bigint, component bigint"), "joined")
+
+
 def contracted(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, rep) of faces that have at least two others with an equal vector, and the faces with such groups as one, with
     its size. Vectors are told apart by 128 bits of hashes."""
@@ -126,6 +288,11 @@ def condense(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "id", "size", "open", "inner", "cluster", "name", "parent", "wins"])
 
 
+def leveled(tree: DataFrame, level_edges: int) -> DataFrame:
+    """Edges with their level from 0: exactly level_edges in each but the last, in the order of (w, a, b)."""
+    return ranks.numbered(tree, ["w", "a", "b"]).withColumn("level", F.floor(F.col("rank") / level_edges).cast("int")).drop("rank")
+
+
 CONDENSED = "kind string, id bigint, size bigint, open double, inner double, cluster string, name string, parent string, wins boolean"
 
 
@@ -140,26 +307,23 @@ def cluster_faces(faces: DataFrame, core_k: int = 2, block_rows: int = 1500, lev
     cores = tables.save(vectors.core_distance(keyed, core_k, block_rows).withColumn("core", F.coalesce("core", F.lit(2.0))), "cores")
     equal, points = contracted(keyed)
     tree = tables.save(minimum_spanning_tree(spanning_edges(points, cores, block_rows)), "tree")
-    total = tree.count()
     many = F.col("size") > 1
     name = F.when(many, F.concat(F.lit("e:"), F.col("node"))).otherwise(F.concat(F.lit("p:"), F.col("node")))
     nodes = tables.save(points.select(F.col("node").alias("id"), "size", F.when(many, F.col("size") / LEAST_DISTANCE).otherwise(0.0).alias("open"), F.lit(0.0).alias("inner"), name.alias("cluster")), "nodes")
     parents = [equal.select(F.concat(F.lit("p:"), F.col("node")).alias("name"), F.concat(F.lit("e:"), F.col("rep")).alias("parent"), F.lit(False).alias("wins"))]
-    levels = max(1, -(-total // level_edges))
-    cuts = [r for r in (tree.approxQuantile("w", [k / levels for k in range(1, levels)], 0.001) if levels > 1 else [])] + [float("inf")]
-    edges = tree.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y"))
-    for level, cut in enumerate(cuts):
-        now = edges.where(F.col("w") <= cut)
-        to = components(now.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "id", "component": "top"})
+    edges = tables.save(leveled(tree, level_edges).withColumns({"x": F.col("a"), "y": F.col("b")}), "edges")
+    for level in range(1 + (edges.agg(F.max("level")).first()[0] or 0)):
+        now = edges.where(F.col("level") == level)
+        to = joined(now).withColumnsRenamed({"node": "id", "component": "top"})
         grouped_nodes = nodes.join(to, "id").select(F.lit("n").alias("kind"), "top", "id", "size", "open", "inner", "cluster", *(F.lit(0).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("w", "double"), ("x", "long"), ("y", "long"))))
         grouped_edges = now.join(to.withColumnRenamed("id", "x"), "x").select(F.lit("e").alias("kind"), "top", *(F.lit(0).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("open", "double"), ("inner", "double"), ("cluster", "string"))), "a", "b", "w", "x", "y")
         done = tables.save(grouped_nodes.unionByName(grouped_edges).withColumn("level", F.lit(level)).groupBy("top").applyInPandas(condense, CONDENSED), "condensed")
         parents.append(done.where("kind = 'c'").select("name", "parent", "wins"))
         fresh = done.where("kind = 'n'").select("id", "size", "open", "inner", "cluster")
         nodes = tables.save(nodes.join(to, "id", "left_anti").select("id", "size", "open", "inner", "cluster").unionByName(fresh), "nodes")
-        rest = edges.where(F.col("w") > cut)
+        rest = edges.where(F.col("level") > level)
         moved = rest.join(to.select(F.col("id").alias("x"), F.col("top").alias("tx")), "x", "left").join(to.select(F.col("id").alias("y"), F.col("top").alias("ty")), "y", "left")
-        edges = tables.save(moved.select("a", "b", "w", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y")), "edges")
+        edges = tables.save(moved.select("a", "b", "w", "level", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y")), "edges")
     links = parents[0]
     for more in parents[1:]:
         links = links.unionByName(more)

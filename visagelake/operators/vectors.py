@@ -1,16 +1,15 @@
-"""Face embeddings: unit length, exact top-k similarity and core distances over blocks of vectors."""
+"""Face embeddings: unit length, exact top-k similarity, core distances and stored indexes."""
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from visagelake.operators import tables
+from visagelake.operators import cells, tables
 
-KEY = ["media_id", "face_index"]
+KEY = cells.KEY
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -39,44 +38,13 @@ def require_one_dimension(faces: DataFrame) -> DataFrame:
     return faces
 
 
-def meetings(faces: DataFrame, block_rows: int) -> DataFrame:
-    """Faces dealt into blocks by hash, every block sent to its meetings (lo, hi) with each block once."""
-    parts = max(1, -(-faces.count() // block_rows))
-    own = faces.withColumn("own", F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda x: F.struct(F.least(x, F.col("own")).alias("lo"), F.greatest(x, F.col("own")).alias("hi")))
-    return own.withColumn("m", F.explode(pairs)).select("*", "m.lo", "m.hi").drop("m")
-
-
 def top_k(faces: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
     """(media_id, face_index, neighbour_media, neighbour_face, score, rank): the k most similar other faces of every face.
 
-    faces must have unit vectors; all pairs of blocks meet, each face leaves a block with k candidates at most. Equal scores are ranked by key.
+    faces must have unit vectors; pieces of about block_rows faces meet where their cells allow a neighbour among the k best,
+    each face leaves a meeting with k candidates at most. Equal scores are ranked by key.
     """
-    block = "media_id bigint, face_index int, neighbour_media bigint, neighbour_face int, score double"
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(KEY)
-        lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-        left, right = part[part["own"] == lo], part[part["own"] == hi]
-        out = []
-        for a, b in [(left, right)] if lo == hi else [(left, right), (right, left)]:
-            if not len(a) or not len(b):
-                continue
-            scores = np.stack(a["embedding"].to_numpy()) @ np.stack(b["embedding"].to_numpy()).T
-            if lo == hi:
-                np.fill_diagonal(scores, -np.inf)
-            keep = min(k, len(b) - (lo == hi))
-            if keep < 1:
-                continue
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            rows = np.repeat(np.arange(len(a)), keep)
-            picks = order.ravel()
-            out.append(pd.DataFrame({"media_id": a["media_id"].to_numpy()[rows], "face_index": a["face_index"].to_numpy()[rows], "neighbour_media": b["media_id"].to_numpy()[picks], "neighbour_face": b["face_index"].to_numpy()[picks], "score": scores[rows, picks]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["media_id", "face_index", "neighbour_media", "neighbour_face", "score"])
-
-    found = meetings(faces, block_rows).groupBy("lo", "hi").applyInPandas(best, block)
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "neighbour_media", "neighbour_face"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return cells.top_k(faces, k, block_rows)
 
 
 def core_distance(faces: DataFrame, k: int = 2, block_rows: int = 2000) -> DataFrame:
@@ -85,8 +53,52 @@ def core_distance(faces: DataFrame, k: int = 2, block_rows: int = 2000) -> DataF
     return faces.select(*KEY).join(kth, KEY, "left")
 
 
-def export_index(faces: DataFrame, embedding_tool: str, path: str) -> None:
-    """Write unit vectors as Parquet, and the faces they belong to as JSON, per embedding tool."""
-    kept = tables.save(normalize(faces), "vectors").withColumn("embedding_tool", F.lit(embedding_tool))
-    kept.write.mode("overwrite").partitionBy("embedding_tool").parquet(f"{path}/vectors")
-    kept.select("embedding_tool", F.col("media_id").alias("path"), "face_index").write.mode("overwrite").partitionBy("embedding_tool").json(f"{path}/faces")
+def stored(faces: DataFrame, centres: np.ndarray, embedding_tool: str, path: str, mode: str, block_rows: int) -> None:
+    """Write unit vectors by cell, and what bounds each cell; the bounds come first, since wider ones do no harm."""
+    rows = tables.save(cells.placed(faces, centres), "placed")
+    bounds = tables.save(rows.groupBy("cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")), "bounds")
+    bounds.coalesce(1).write.mode(mode).parquet(f"{path}/cells/embedding_tool={embedding_tool}")
+    parts = F.broadcast(bounds.select("cell", F.ceil(F.col("n") / (50 * block_rows)).alias("parts")))  # CELLS rows
+    dealt = rows.join(parts, "cell").join(faces, KEY).withColumn("part", F.pmod(F.xxhash64(*KEY), F.col("parts")))
+    dealt.repartition("cell", "part").select(*KEY, "embedding", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors/embedding_tool={embedding_tool}")
+    faces.select(F.col("media_id").alias("path"), "face_index").write.mode(mode).json(f"{path}/faces/embedding_tool={embedding_tool}")
+
+
+def export_index(faces: DataFrame, embedding_tool: str, path: str, block_rows: int = 2000) -> None:
+    """Write the index of an embedding tool below path: centres of its cells, unit vectors as Parquet by cell, bounds of
+    the cells, and the faces they belong to as JSON. An index of the same tool is replaced, those of others stay."""
+    kept = tables.save(normalize(require_one_dimension(faces)), "vectors")
+    centres = cells.centres_of(kept, block_rows)
+    table = faces.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres/embedding_tool={embedding_tool}")
+    stored(kept, centres, embedding_tool, path, "overwrite", block_rows)
+
+
+def centres_in(spark: SparkSession, embedding_tool: str, path: str) -> np.ndarray:
+    found = spark.read.parquet(f"{path}/centres/embedding_tool={embedding_tool}").collect()  # cells.CELLS rows
+    return np.array([r.centre for r in sorted(found)])
+
+
+def append_index(faces: DataFrame, embedding_tool: str, path: str, block_rows: int = 2000) -> None:
+    """Add faces to a stored index; its centres stay, so cells may grow wider. Faces that are there already are there twice then."""
+    kept = tables.save(normalize(require_one_dimension(faces)), "vectors")
+    stored(kept, centres_in(faces.sparkSession, embedding_tool, path), embedding_tool, path, "append", block_rows)
+
+
+def search_index(faces: DataFrame, embedding_tool: str, path: str, k: int, block_rows: int = 2000) -> DataFrame:
+    """(media_id, face_index, neighbour_media, neighbour_face, score, rank): the k most similar faces of a stored index for every
+    face, exact, equal scores by key; one that is in the index finds itself. Cells that can hold no answer are not read; an
+    empty index answers nothing."""
+    spark = faces.sparkSession
+    bounds = spark.read.parquet(f"{path}/cells/embedding_tool={embedding_tool}").groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    found = sorted(bounds.collect())  # cells.CELLS rows
+    if not found:
+        return spark.createDataFrame([], f"{cells.FOUND}, rank int")
+    cell, lo, hi, n = (np.array(c) for c in zip(*found, strict=True))
+    units = cells.Units(centres_in(spark, embedding_tool, path), cell, np.zeros(len(cell), dtype=np.int64), lo, hi, n, -(-n // block_rows))
+
+    def rows_in(wanted: list[int]) -> DataFrame:
+        kept = spark.read.parquet(f"{path}/vectors/embedding_tool={embedding_tool}").where(F.col("cell").isin(wanted))
+        return kept.select(*KEY, cells.as_bytes("embedding").alias("packed"), F.col("cell").cast("int").alias("cell"))
+
+    return cells.answered(normalize(faces), units, rows_in, k, block_rows)

@@ -510,6 +510,21 @@ def index_export(spark, sf_dir):
     return spark.read.parquet(f"{at}/vectors").join(faces, ["media_id", "face_index"]).select("media_id", "face_index", F.round(F.col("embedding")[0], 5).alias("first"), "embedding_tool")
 
 
+@query(
+    ", unit AS (SELECT media_id, face_index, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embedded),"
+    " top AS (SELECT a.media_id, a.face_index, b.media_id AS neighbour_media, b.face_index AS neighbour_face, list_inner_product(a.e, b.e) AS score, row_number() OVER (PARTITION BY a.media_id, a.face_index ORDER BY list_inner_product(a.e, b.e) DESC, b.media_id, b.face_index) AS rank"
+    " FROM unit a JOIN unit b ON a.media_id % 4 = 3 AND b.media_id % 4 <> 3) SELECT media_id, face_index, neighbour_media, neighbour_face, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM top WHERE rank <= 5",
+    "embedded",
+)
+def index_search(spark, sf_dir):
+    """Half of the faces stored as an index, a quarter appended, and the rest searched for in it."""
+    at = f"{tables.folder(spark)}/visagelake/index-{uuid.uuid4().hex}"
+    faces = view(spark, sf_dir, "embedded")
+    vectors.export_index(faces.where("media_id % 4 < 2"), "arcface", at)
+    vectors.append_index(faces.where("media_id % 4 = 2"), "arcface", at)
+    return vectors.search_index(faces.where("media_id % 4 = 3"), "arcface", at, 5).withColumn("score", F.round("score", 4))
+
+
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Rows of an append stream that ran over all that is there."""
     at = f"{tables.folder(spark)}/visagelake/stream-{uuid.uuid4().hex}"
