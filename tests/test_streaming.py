@@ -1,6 +1,6 @@
 import datetime
 
-from pyspark.sql import functions as F
+import pytest
 
 from visagelake.operators import sidecar
 from visagelake.streaming import jobs
@@ -37,6 +37,37 @@ def test_merge_again_is_the_same(spark, tmp_path):
     for again in range(2):
         run = jobs.merge_patches(jobs.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1), str(tmp_path / "out"), str(tmp_path / f"check{again}"))
         run.awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out")).where(F.col("version") == 1).drop("version")
+    last = jobs.merged(spark, str(tmp_path / "out"))
     want = sidecar.latest(spark.createDataFrame([r for part in rows for r in part], kind))
     assert sorted(map(tuple, last.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+KIND = "scar_path string, entry_key string, entry_value string, written_at timestamp, seq long"
+
+
+def test_versions_and_manifests_stay_few(spark, tmp_path):
+    target, seen = str(tmp_path / "out"), []
+    for batch in range(12):
+        rows = [(f"s{(batch * 7 + k) % 5}", f"k{k}", str(batch), AT + datetime.timedelta(hours=batch), batch * 10 + k) for k in range(1 + batch % 3)]
+        seen += rows
+        jobs.merge_batch(spark.createDataFrame(rows, KIND), target, batch, buckets=3)
+        if batch % 5 == 4:  # the batch is run again
+            jobs.merge_batch(spark.createDataFrame(rows, KIND), target, batch, buckets=3)
+        assert len(list((tmp_path / "out" / "data").glob("version=*/bucket=*"))) <= 2 * 3
+        assert len([f for f in (tmp_path / "out" / "manifest").iterdir() if f.name.isdigit()]) <= 2
+        want = sidecar.latest(spark.createDataFrame(seen, KIND))
+        assert sorted(map(tuple, jobs.merged(spark, target).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    jobs.merge_batch(spark.createDataFrame([], KIND), target, 12, buckets=3)
+    assert jobs.manifests(spark, target)[-1] == 11 and jobs.merged(spark, str(tmp_path / "none")) is None
+
+
+def test_a_batch_that_failed_before_its_manifest_is_not_seen(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    one, two = ([("s", "k", str(v), AT + datetime.timedelta(hours=v), v)] for v in (1, 2))
+    jobs.merge_batch(spark.createDataFrame(one, KIND), target, 0)
+    with monkeypatch.context() as broken, pytest.raises(OSError, match="lost"):
+        broken.setattr(jobs, "write_manifest", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        jobs.merge_batch(spark.createDataFrame(two, KIND), target, 1)
+    assert [r.entry_value for r in jobs.merged(spark, target).collect()] == ["1"]
+    jobs.merge_batch(spark.createDataFrame(two, KIND), target, 1)
+    assert [r.entry_value for r in jobs.merged(spark, target).collect()] == ["2"]

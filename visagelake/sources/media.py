@@ -46,8 +46,8 @@ def decode_images(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> Da
 
 
 def write_crops(crops: DataFrame, path: str, buckets: int = 64) -> None:
-    """Crops as Parquet, partitioned by a hash bucket of the image."""
-    crops.withColumn("bucket", F.pmod(F.xxhash64("media_id"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Crops as Parquet, partitioned by a hash bucket of the image; big buckets are written by several tasks, by their bytes."""
+    crops.withColumn("bucket", F.pmod(F.xxhash64("media_id"), F.lit(buckets))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +57,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Documents as Parquet, by hash bucket of their path; only the buckets that docs has are overwritten."""
+    """Documents as Parquet, by hash bucket of their path; only the buckets that docs has are overwritten.
+    Big buckets are written by several tasks, by their bytes."""
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("scar_path"), F.lit(buckets)))
-    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    bucketed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

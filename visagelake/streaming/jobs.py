@@ -1,5 +1,7 @@
 """Structured Streaming jobs: discovery, deduplication, merging and running counts."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,39 +39,90 @@ def live_failures(results: DataFrame, within: str = FAILURES_KEPT) -> DataFrame:
     return results.where("status = 'failed'").withWatermark("at", within).groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("failures"))
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def manifests(spark: SparkSession, target: str) -> list[int]:
+    """Batches whose manifest is there, ascending; two or three, as older ones are removed."""
+    fs, at = filesystem(spark, f"{target}/manifest")
+    found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in found if n.isdigit())
+
+
+def manifest(spark: SparkSession, target: str, batch: int) -> dict[int, int]:
+    """The current version of every bucket after a batch."""
+    fs, at = filesystem(spark, f"{target}/manifest/{batch}")
+    stream = fs.open(at)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {int(b): v for b, v in json.loads(text).items()}
+
+
+def write_manifest(spark: SparkSession, target: str, batch: int, versions: dict[int, int]) -> None:
+    """Write a manifest aside and move it into place, so that readers see all of it or nothing."""
+    fs, aside = filesystem(spark, f"{target}/manifest/.{batch}")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(json.dumps(versions), "utf-8"))
+    stream.close()
+    final = filesystem(spark, f"{target}/manifest/{batch}")[1]
+    fs.delete(final, False)
+    fs.rename(aside, final)
+
+
 def merged(spark: SparkSession, target: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """Entries of the table of merge_patches(): of every bucket the latest version (before a batch); None without any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    found = spark.read.parquet(target)
-    if before is not None:
-        found = found.where(F.col("version") < before)
-    if buckets is not None:
-        found = found.where(F.col("bucket").isin(buckets))
-    newest = found.groupBy("bucket").agg(F.max("version").alias("version"))  # partition columns only, a row a bucket
-    return found.join(F.broadcast(newest), ["bucket", "version"]).drop("version")
+    """Entries of the table of merge_patches(), as of the last batch (before a batch), of all or some buckets; None without any.
+    Only the folders that the manifest names are listed."""
+    known = [b for b in manifests(spark, target) if before is None or b < before]
+    versions = manifest(spark, target, known[-1]) if known else {}
+    paths = [f"{target}/data/version={v}/bucket={b}" for b, v in versions.items() if buckets is None or b in buckets]
+    return spark.read.option("basePath", f"{target}/data").parquet(*paths).drop("version") if paths else None
 
 
-def merge_patches(patches: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Merge a stream of patch entries into the table of versions and buckets below target; merged() reads it.
+def merge_batch(batch: DataFrame, target: str, batch_id: int, buckets: int = 64) -> None:
+    """Merge a batch of patch entries into the buckets of its documents: these are written anew as a version named by the
+    batch, and a manifest names the current version of every bucket.
 
-    Each batch reads and writes the buckets of its own documents only, as a version named by the batch; a batch that is
-    run again writes the same version anew, from those before it.
+    A batch that is run again starts from the manifest before it and gives the same. Versions that neither this manifest nor the
+    one before names are removed, so each bucket has two at most. Buckets of any size are written by as many tasks as
+    their bytes need, under adaptive execution.
     """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("scar_path"), F.lit(buckets)).cast("int")
+    entries = sidecar.latest(batch).withColumn("bucket", bucket).persist()
+    touched = [r.bucket for r in entries.select("bucket").distinct().collect()]  # so many buckets at most
+    if touched:
+        base = merged(spark, target, batch_id, touched)
+        fresh = entries if base is None else sidecar.merge(base.drop("bucket"), entries.drop("bucket")).withColumn("bucket", bucket)
+        fresh.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/version={batch_id}")
+        *older, last = [-1, *(b for b in manifests(spark, target) if b < batch_id)]
+        known = manifest(spark, target, last) if last >= 0 else {}
+        versions = known | dict.fromkeys(touched, batch_id)
+        write_manifest(spark, target, batch_id, versions)
+        remove(spark, target, [b for b in older if b >= 0], known)
+    entries.unpersist()
+
+
+def remove(spark: SparkSession, target: str, batches: list[int], known: dict[int, int]) -> None:
+    """Remove the manifests of these batches, and the versions of theirs that are not known any more."""
+    for batch in batches:
+        for b, v in manifest(spark, target, batch).items():
+            if known.get(b) != v:
+                fs, at = filesystem(spark, f"{target}/data/version={v}/bucket={b}")
+                fs.delete(at, True)
+                if fs.exists(at.getParent()) and not any(f.isDirectory() for f in fs.listStatus(at.getParent())):
+                    fs.delete(at.getParent(), True)
+        fs, at = filesystem(spark, f"{target}/manifest/{batch}")
+        fs.delete(at, False)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("scar_path"), F.lit(buckets)).cast("int")
-        fresh = entries = sidecar.latest(batch).withColumn("bucket", bucket).persist()
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # so many buckets at most
-        base = merged(spark, target, batch_id, touched) if touched else None
-        if base is not None:
-            fresh = sidecar.merge(base.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket)
-        if touched:
-            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
-        entries.unpersist()
 
+def merge_patches(patches: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merge a stream of patch entries into the table below target, batch by batch; merged() reads it."""
+    merge = lambda batch, batch_id: merge_batch(batch, target, batch_id, buckets)
     return patches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
