@@ -360,3 +360,20 @@ def job_results(spark, sf_dir):
     for status in ("ok", "failed"):
         analytics.write_results(jobs.where(F.col("status") == status), at)
     return spark.read.parquet(at).select("job_id", "status", "face_count")
+
+
+@query(
+    ", latest AS (SELECT scar_path, entry_key, entry_value FROM entries QUALIFY row_number() OVER (PARTITION BY scar_path, entry_key ORDER BY written_at DESC, seq DESC) = 1),"
+    " n AS (SELECT scar_path, count(*) AS n_entries, max(entry_value) FILTER (entry_key = 'face.scrfd.version') AS version FROM latest GROUP BY 1)"
+    " SELECT u.user_id, coalesce(n_entries, 1) AS n_entries, version FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN n ON n.scar_path = '/photos/u' || u.user_id || '.scar'",
+    "entries",
+)
+def bucketed_documents(spark, sf_dir):
+    """Half of the entries stored by bucket, the others merged in, and the documents joined to their images."""
+    name = f"entries_{uuid.uuid4().hex}"
+    entries = view(spark, sf_dir, "entries")
+    files.save_entries(sidecar.latest(entries.where("seq % 2 = 0")), name, f"{tables.folder(spark)}/visagelake/{name}", 8)
+    docs = sidecar.documents(files.merge_stored(spark, name, entries.where("seq % 2 = 1"), 8))
+    media = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.concat(F.lit("/photos/u"), "user_id", F.lit(".jpg")).alias("path")).distinct()
+    found = sidecar.with_documents(media, docs)
+    return found.select("user_id", F.size("entries").cast("long").alias("n_entries"), sidecar.read_field(F.col("entries"), "scrfd", "version").alias("version"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visagelake.functions import paths
+from visagelake.operators import sidecar
 
 
 def discover(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -61,3 +62,15 @@ def write_documents(docs: DataFrame, path: str, buckets: int = 64) -> None:
     Big buckets are written by several tasks, by their bytes."""
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("scar_path"), F.lit(buckets)))
     bucketed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def save_entries(entries: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Merged entries as a table whose files are bucketed and sorted by document: joins with it and merges into it shuffle the
+    other side only. Choose about one bucket for each 128 MB."""
+    dealt = entries.repartition(buckets, "scar_path")
+    dealt.write.bucketBy(buckets, "scar_path").sortBy("scar_path", "entry_key").option("path", path).mode("overwrite").saveAsTable(table)
+
+
+def merge_stored(spark: SparkSession, table: str, patches: DataFrame, buckets: int) -> DataFrame:
+    """Entries of a table of save_entries() with patches merged in; only the patches are shuffled, into the table's buckets."""
+    return sidecar.merge(spark.table(table), patches.repartition(buckets, "scar_path"))
