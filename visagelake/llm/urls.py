@@ -1,10 +1,12 @@
 """URL filters: fixed rules, and trust that spreads over the links between hosts.
 
 Pages that a rule allows or blocks are the seeds. Trust walks along host links from allowed seeds (personalised
-PageRank), distrust walks against them from blocked seeds; both are in units of pages. A host is blocked when its
-distrust outweighs its trust by more than `threshold` of its pages, and that decides its pages that no rule fits.
+PageRank), distrust walks against them from blocked seeds; both are in units of pages. A host that is only linked to is a
+seed of one page if a rule for all of its paths fits it. A host is blocked when its distrust outweighs its trust by more than `threshold` of its pages, and that decides its pages that no rule fits.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from visagelake.operators import tables
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
+#: Host of a link. A tag ends at the next `<` or `>`, and runs of spaces are taken whole, so that any page is read in linear time.
+LINK = r"""(?i)<a\s[^<>]*?href\s*+=\s*+(?:["']\s*+)?(?:https?:)?//([^/"'?#\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -34,11 +37,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def rounds_to(tolerance: float, damping: float) -> int:
+    """Rounds after which a walk changes by the tolerance at most, whatever its links: every round damps the change."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, mass) after a walk with restarts from seeds (host, seed) over edges (src, dst, part).
 
     A host without links keeps what would leave it, so the sum of masses stays that of the seeds. Ends when the sum
-    of changes is below tolerance times that sum, or after so many rounds.
+    of changes is below tolerance times that sum.
     """
     ends = edges.select("src").distinct()
     now = tables.save(seeds.select("host", F.col("seed").alias("mass")), "rank")
@@ -47,7 +55,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tole
         return now
     sinks = seeds.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().join(ends.withColumnRenamed("src", "host"), "host", "left_anti")
     sinks = tables.save(sinks, "sinks")
-    for _ in range(rounds):
+    for _ in range(rounds_to(tolerance, damping)):
         walked = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("part")).alias("mass"))
         stayed = now.join(sinks, "host", "left_semi").select("host", (damping * F.col("mass")).alias("mass"))
         restart = seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
@@ -60,12 +68,13 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tole
     return now
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4, threshold: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
     """Verdicts for all pages.
 
     Returns (page_id, host, path, rule, verdict), one row per input row; other columns are not carried. A null url, or
-    one without ://, has an empty host and path. A null page has no links; links to the own host do not count. Repeated
-    rows count repeatedly; without any seed every host is allowed.
+    one without ://, has an empty host and path. A null page has no links; links to the own host do not count; tags that are
+    not closed end at the next one. Repeated rows count repeatedly; without any seed every host is allowed. Pages of any
+    length are read in linear time.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -77,11 +86,16 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 30
     linked = linked.select(F.col("host").alias("src"), F.translate("to", UPPER, LOWER).alias("dst")).where("src <> dst and src <> ''")
     links = tables.save(linked.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
 
+    beyond = links.select(F.col("dst").alias("host")).distinct().join(hosts.select("host"), "host", "left_anti")
+    says = rule_of(F.col("host"), F.lit("/"), rules)[1]
+    one = lambda verdict: F.when(says == verdict, 1).otherwise(0).cast("long")
+    seeded = tables.save(hosts.select("host", "allowed", "blocked").unionByName(beyond.select("host", one("allow").alias("allowed"), one("block").alias("blocked"))), "seeds")
+
     def walk(src: str, dst: str, seeds: str) -> DataFrame:
         turned = links.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n")
         out = turned.groupBy("src").agg(F.sum("n").alias("all"))
         edges = tables.save(turned.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "edges")
-        return spread(edges, hosts.where(F.col(seeds) > 0).select("host", F.col(seeds).cast("double").alias("seed")), damping, rounds, tolerance)
+        return spread(edges, seeded.where(F.col(seeds) > 0).select("host", F.col(seeds).cast("double").alias("seed")), damping, tolerance)
 
     trust = walk("src", "dst", "allowed").withColumnRenamed("mass", "trust")
     distrust = walk("dst", "src", "blocked").withColumnRenamed("mass", "distrust")
@@ -90,19 +104,20 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 30
     return told.drop("html").join(tables.small(bad, broadcast_rows), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("told", "spread", F.lit("allow")).alias("verdict"))
 
 
-def oracle(rounds: int = 8) -> str:
-    """DuckDB SQL with the rounds written out."""
-    when = lambda then: " ".join(
-        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if then else v}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+def oracle(rounds: int | None = None) -> str:
+    """DuckDB SQL with as many rounds written out as judge() may take."""
+    rounds = rounds or rounds_to(1e-4, 0.85)
+    when = lambda then, path="path": " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with({path}, '{p}') THEN '{h + p if then else v}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     )
     steps = []
     for name, src, dst, seed in (("t", "src", "dst", "allowed"), ("d", "dst", "src", "blocked")):
-        steps.append(f"{name}e AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS part FROM links)")
-        steps.append(f"{name}s AS (SELECT host, CAST({seed} AS DOUBLE) AS seed FROM hosts WHERE {seed} > 0)")
+        steps.append(f"{name}e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS part FROM links)")
+        steps.append(f"{name}s AS (SELECT host, CAST({seed} AS DOUBLE) AS seed FROM seeded WHERE {seed} > 0)")
         steps.append(f"{name}0 AS (SELECT host, seed AS mass FROM {name}s)")
         for k in range(rounds):
             steps.append(
-                f"{name}{k + 1} AS (SELECT host, sum(mass) AS mass FROM (SELECT dst AS host, 0.85 * mass * part AS mass FROM {name}e JOIN {name}{k} ON host = src"
+                f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(mass) AS mass FROM (SELECT dst AS host, 0.85 * mass * part AS mass FROM {name}e JOIN {name}{k} ON host = src"
                 f" UNION ALL SELECT host, 0.85 * mass FROM {name}{k} WHERE host NOT IN (SELECT src FROM {name}e)"
                 f" UNION ALL SELECT host, 0.15 * seed FROM {name}s) GROUP BY host)"
             )
@@ -112,8 +127,10 @@ WITH parts AS (
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, html FROM pages),
 told AS (SELECT page_id, host, path, html, CASE {when(True)} END AS rule, CASE {when(False)} END AS told FROM parts),
 hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (told = 'allow') AS allowed, count(*) FILTER (told = 'block') AS blocked FROM told GROUP BY host),
-linked AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*?href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/"''?#\\s>]+)', 1, 'i')), '{UPPER}', '{LOWER}') AS dst FROM parts),
+linked AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '<a\\s[^<>]*?href\\s*=\\s*(?:["'']\\s*)?(?:https?:)?//([^/"''?#\\s>]+)', 1, 'i')), '{UPPER}', '{LOWER}') AS dst FROM parts),
 links AS (SELECT src, dst, count(*) AS n FROM linked WHERE src <> dst AND src <> '' GROUP BY src, dst),
+seeded AS (SELECT host, allowed, blocked FROM hosts UNION ALL SELECT host, CAST(says = 'allow' AS BIGINT), CAST(says = 'block' AS BIGINT)
+  FROM (SELECT host, coalesce(CASE {when(False, "'/'")} END, '') AS says FROM (SELECT DISTINCT dst AS host FROM links) WHERE host NOT IN (SELECT host FROM hosts))),
 {", ".join(steps)},
 bad AS (SELECT hosts.host FROM hosts LEFT JOIN t{rounds} t ON t.host = hosts.host LEFT JOIN d{rounds} d ON d.host = hosts.host
         WHERE (coalesce(t.mass, 0) - coalesce(d.mass, 0)) / pages < -0.3)
