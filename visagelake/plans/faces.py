@@ -232,6 +232,18 @@ def cluster_labels(spark, sf_dir):
     return clustering.cluster_faces(view(spark, sf_dir, "embedded"))
 
 
+@query(
+    ", g AS (SELECT cluster_label, count(*) AS n, min((media_id, face_index)) AS first FROM embedded GROUP BY 1), l AS (SELECT cluster_label, row_number() OVER (ORDER BY first) - 1 AS label FROM g WHERE n > 1)"
+    " SELECT media_id, face_index, CAST(coalesce(label, -1) AS INT) AS label FROM embedded e LEFT JOIN l ON l.cluster_label = e.cluster_label",
+    "embedded",
+)
+def cluster_planted(spark, sf_dir):
+    """Clusters of faces whose vectors are those of their identities: every identity of two faces or more is one."""
+    faces = view(spark, sf_dir, "embedded")
+    axis = F.transform(F.sequence(F.lit(-1), F.lit(14)), lambda i: F.when(i == F.col("cluster_label"), 1.0).otherwise(0.0))
+    return clustering.cluster_faces(faces.select("media_id", "face_index", axis.alias("embedding")), block_rows=200, level_edges=4)
+
+
 @query()
 def cluster_summary_live(spark, sf_dir):
     faces = view(spark, sf_dir, "embedded")
