@@ -3,7 +3,7 @@ import datetime
 import pytest
 
 from visagelake.operators import sidecar
-from visagelake.streaming import jobs
+from visagelake.streaming import jobs, ledger
 
 AT = datetime.datetime(2024, 1, 1)
 
@@ -71,3 +71,19 @@ def test_a_batch_that_failed_before_its_manifest_is_not_seen(spark, tmp_path, mo
     assert [r.entry_value for r in jobs.merged(spark, target).collect()] == ["1"]
     jobs.merge_batch(spark.createDataFrame(two, KIND), target, 1)
     assert [r.entry_value for r in jobs.merged(spark, target).collect()] == ["2"]
+
+
+def test_live_jobs_go_up_and_down(spark, tmp_path):
+    hour = lambda h: AT + datetime.timedelta(hours=h)
+    kind = "job_id string, status string, at timestamp, seq long"
+    parts = [
+        [("a", "failed", hour(0), 1), ("b", "failed", hour(0), 2), ("c", "ok", hour(0), 3), ("c", "failed", hour(0), 2), (None, "ok", hour(0), 4), ("e", None, hour(0), 4)],
+        [("a", "ok", hour(2), 5), ("d", "failed", hour(2), None)],
+        [("f", "ok", hour(25), 6)],
+    ]
+    want = [{"failed": 2, "ok": 1}, {"failed": 2, "ok": 2}, {"failed": 1, "ok": 3}]
+    target = str(tmp_path / "out")
+    for n, part in enumerate(parts):
+        files(spark, [part], kind, tmp_path / "in")
+        ledger.run(ledger.changes(jobs.table_stream(spark, str(tmp_path / "in"))), target, str(tmp_path / "check"))
+        assert {r.status: r.jobs for r in ledger.live_counts(spark.read.parquet(target)).collect()} == want[n]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visagelake.functions import catalog, paths
-from visagelake.operators import analytics, discover, sidecar, tables
+from visagelake.operators import analytics, discover, sidecar, sketches, tables, typed
 from visagelake.plans.views import duck, view
 from visagelake.sources import media as files
+from visagelake.sources import sidecars
 
 QUERIES, ORACLE = {}, {}
 IS_IMAGE = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in paths.IMAGE_EXTENSIONS) + ")"
@@ -377,3 +378,66 @@ def bucketed_documents(spark, sf_dir):
     media = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.concat(F.lit("/photos/u"), "user_id", F.lit(".jpg")).alias("path")).distinct()
     found = sidecar.with_documents(media, docs)
     return found.select("user_id", F.size("entries").cast("long").alias("n_entries"), sidecar.read_field(F.col("entries"), "scrfd", "version").alias("version"))
+
+
+RANKS = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+@query(
+    COUNTS + "SELECT year(mtime) AS year, count(*) AS images, count(DISTINCT media_id) AS exact, true AS distinct_close, true AS q25_close, true AS q50_close, true AS q75_close FROM counts GROUP BY GROUPING SETS ((1), ())",
+    "media", "faces",
+)
+def sketched_statistics(spark, sf_dir):
+    """Sketches stored per directory and year, merged for every year and for all, beside the exact answers that they must be close to."""
+    exact = tables.save(counts(spark, sf_dir).select("media_id", "dir", F.year("mtime").alias("year"), "n_faces"), "counts")
+    stored = tables.save(sketches.sketched(exact, ["dir", "year"]), "sketches")
+    years = exact.unionByName(exact.withColumn("year", F.lit(None).cast("int"))).withColumn("year", F.coalesce("year", F.lit(0)))
+    estimated = tables.save(sketches.estimates(sketches.merged(stored, ["year"]).unionByName(sketches.merged(stored, []).withColumn("year", F.lit(0))), RANKS), "estimates")
+    shares = sketches.rank_range(years, estimated, ["year"], RANKS)
+    found = years.groupBy("year").agg(F.countDistinct("media_id").alias("exact")).join(estimated, "year").join(shares, "year")
+    close = [((F.col(f"{n}_below") <= r + sketches.RANK_ERROR) & (F.col(f"{n}_up_to") >= r - sketches.RANK_ERROR)).alias(f"{n}_close") for n, r in RANKS.items()]
+    near = (F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.COUNT_ERROR * F.col("exact"))).alias("distinct_close")
+    return found.select(F.nullif("year", F.lit(0)).alias("year"), "images", "exact", near, *close)
+
+
+def typed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed entries, lists of faces among them: half stored, the others merged in."""
+    log = view(spark, sf_dir, "entries")
+    listed = log.withColumn("entry_value", F.when(F.col("entry_key") == "face.scrfd.faces", F.concat(F.lit("["), "entry_value", F.lit(","), "entry_value", F.lit("]"))).otherwise(F.col("entry_value")))
+    stored = tables.save(sidecar.latest(typed.typed(listed.where("seq % 2 = 0"))), "typed")
+    return sidecar.merge(stored, typed.typed(listed.where("seq % 2 = 1")))
+
+
+@query(
+    LATEST + "SELECT scar_path, max(CAST(json_extract(entry_value, '$.k') AS BIGINT)) FILTER (entry_key = 'face.scrfd.version') AS version_k, max(CAST(json_extract(entry_value, '$.k') AS BIGINT)) FILTER (entry_key = 'face.scrfd.faces') AS second_face_k,"
+    " CAST(NULL AS BIGINT) AS other_kind, count(*) AS n FROM latest GROUP BY 1",
+    "entries",
+)
+def typed_section(spark, sf_dir):
+    e = F.col("entries")
+    docs = sidecar.documents(typed_entries(spark, sf_dir))
+    return docs.select(
+        "scar_path", typed.field(e, "scrfd", "version", "$.k", "bigint").alias("version_k"), typed.field(e, "scrfd", "faces", "$[1].k", "bigint").alias("second_face_k"),
+        typed.field(e, "scrfd", "faces", "$.k", "bigint").alias("other_kind"), F.size(e).cast("long").alias("n"),
+    )
+
+
+@query(LATEST + "SELECT scar_path, split_part(entry_key, '.', 2) AS tool, split_part(entry_key, '.', 3) AS field, CASE WHEN entry_key = 'face.scrfd.faces' THEN '2 item(s)' ELSE replace(entry_value, ': ', ':') END AS shown FROM latest WHERE entry_key LIKE 'face.%'", "entries")
+def typed_summary(spark, sf_dir):
+    return typed.inspect_summary(typed_entries(spark, sf_dir))
+
+
+@query("SELECT DISTINCT entry_key, CASE WHEN entry_key = 'face.scrfd.faces' THEN 'ARRAY<OBJECT<k: BIGINT>>' ELSE 'OBJECT<k: BIGINT>' END AS kind FROM entries", "entries")
+def entry_kinds(spark, sf_dir):
+    return typed.kinds(typed_entries(spark, sf_dir))
+
+
+@query(LATEST + "SELECT scar_path, entry_key, entry_value FROM latest WHERE entry_key LIKE 'face.scrfd.%'", "entries")
+def sidecar_files(spark, sf_dir):
+    """Documents as files, and the fields of one tool read from them by the data source."""
+    at = scratch(spark, "files")
+    docs = documents(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("scar_path"), F.lit(8)).cast("string"))
+    sidecars.register(spark)
+    sidecars.write_files(docs, at, "part")
+    read = spark.read.format("sidecars").load(at).where("tool = 'scrfd' and entry_key like 'face.%'")
+    return read.select(F.concat(F.lit("/photos/"), F.element_at(F.split("scar_path", "/"), -1)).alias("scar_path"), "entry_key", "entry_value")

@@ -10,7 +10,7 @@ from visagelake.functions import decode, paths, records
 from visagelake.operators import analytics, clustering, inference, overlay, payloads, sidecar, tables, vectors
 from visagelake.plans.views import duck, view
 from visagelake.sources import media
-from visagelake.streaming import jobs
+from visagelake.streaming import jobs, ledger
 
 QUERIES, ORACLE = {}, {}
 
@@ -576,3 +576,20 @@ def stream_merge(spark, sf_dir):
     run = jobs.merge_patches(jobs.table_stream(spark, f"{at}/in", files_per_trigger=1), f"{at}/out", f"{at}/checkpoint")
     run.awaitTermination()
     return jobs.merged(spark, f"{at}/out").select("scar_path", "entry_key", "entry_value", "seq")
+
+
+@query(
+    ", last AS (SELECT job, status, ended_at FROM (SELECT event_id % 400 AS job, CASE WHEN event_type = 'click' THEN 'failed' WHEN event_type = 'view' THEN 'skipped' ELSE 'ok' END AS status, ts AS ended_at, event_id FROM events)"
+    " QUALIFY row_number() OVER (PARTITION BY job ORDER BY ended_at DESC, event_id DESC) = 1)"
+    " SELECT status, count(*) AS jobs FROM last WHERE status <> 'failed' OR epoch_ms(ended_at) + 86400000 > (SELECT epoch_ms(max(ts)) FROM events) GROUP BY 1",
+    "jobs",
+)
+def live_jobs(spark, sf_dir):
+    """Jobs by their last status, results coming in two parts: failures that are retried or a day old count no more."""
+    at = f"{tables.folder(spark)}/visagelake/stream-{uuid.uuid4().hex}"
+    status = F.when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "view", "skipped").otherwise("ok")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("job-"), F.col("event_id") % 400).alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    for part in ("day(at) <= 15", "day(at) > 15"):
+        events.where(part).write.mode("append").parquet(f"{at}/in")
+        ledger.run(ledger.changes(jobs.table_stream(spark, f"{at}/in", files_per_trigger=1_000_000)), f"{at}/out", f"{at}/checkpoint")
+    return ledger.live_counts(spark.read.parquet(f"{at}/out"))
