@@ -103,3 +103,27 @@ def test_pages_hold_their_documents(spark):
             assert doc[:2000].split()[-1] in r.text
             assert "©" not in r.text and "track(" not in r.text
     assert seen
+
+
+@pytest.mark.parametrize("name", ["select", "object", "svg", "video", "audio", "canvas", "template"])
+def test_unclosed_elements_end_where_a_block_begins(name):
+    text = "The river rose for three days, and the people of the village carried all they had to the hill."
+    inside = "<option>Red<option>Blue" if name == "select" else "fallback"
+    page = f"<article><p>{text}</p><{name}>{inside}<p>{text}</p><p>{text}</p></article>"
+    assert html.main_text(page) == f"{text} {text} {text}"
+    closed = f"<article><p>{text}</p><{name}>{inside}</{name}><p>{text}</p></article>"
+    assert html.main_text(closed) == f"{text} {text}"
+    if name not in ("object", "svg", "template"):
+        assert html.main_text(f"<article><p>{text}</p><{name}>{inside}<p>{text}</p><{name}>{inside}</{name}><p>{text}</p></article>") == f"{text} {text} {text}"
+
+
+def test_formulas_in_a_sentence_stay():
+    page = "<article><p>The area is <math><mi>a</mi> <mo>+</mo> <mi>b</mi><annotation encoding='t'>a+b</annotation></math> for every one of the fields on the map.</p></article>"
+    assert html.main_text(page) == "The area is a + b for every one of the fields on the map."
+
+
+@pytest.mark.parametrize("bad", ["<select>", "<svg><svg ", "<video><video>", "<object>", "<select></select", "<math><annotation>"])
+def test_unclosed_elements_take_linear_time(bad):
+    began = time.time()
+    html.main_text("<p>Some text.</p>" + bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 5

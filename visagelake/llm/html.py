@@ -27,10 +27,14 @@ ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""
 WORDS = re.compile(r"[A-Za-z]+")
 TOGETHER = 4_000_000  # bytes of html handled together
 
-RAW = frozenset("script style textarea title noscript iframe svg math template select object canvas audio video head".split())
+RAW = frozenset("script style textarea title noscript iframe svg annotation annotation-xml template select object canvas audio video head".split())
+#: Of those, elements of markup, not of plain characters: one that is not closed ends where the next block begins or a container ends.
+LOOSE = frozenset("svg annotation annotation-xml template select object canvas audio video".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr figure fieldset menu dialog details blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre address figcaption caption summary legend option button label".split())
 
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - {'option', 'button', 'label', 'legend'}))})(?=[\s/>])", re.IGNORECASE)
+
 #: Evidence that containers of a plain meaning pass to their blocks (log odds, content is positive).
 TAG_EVIDENCE = {"nav": -2.5, "footer": -2.5, "aside": -2.5, "menu": -2.5, "dialog": -2.5, "fieldset": -1.2, "form": -1.2}
 CONTENT, NAMED, PARTLY, HEADER, HEADER_INSIDE, LEAST = 1.2, -2.5, -0.3, -1.5, -0.6, -5.0
@@ -134,13 +138,17 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         attributes = page[found.end() : end]
         at = end + 1
         if name in RAW and not closing and not attributes.endswith("/"):
-            ended = None if name in unclosed else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if ended:
+            again = rf"|<{name}(?=[\s>])" if name in ("select", "canvas", "audio", "video") else ""  # these hold none of their kind
+            ended = None if name in unclosed else re.compile(rf"</{name}\s*>{again}", re.IGNORECASE).search(page, at)
+            if ended and ended[0][1] == "/":
                 at = ended.end()
             else:
-                unclosed.add(name)
+                if not ended:
+                    unclosed.add(name)
+                if name in LOOSE:
+                    ended = BLOCK_TAG.search(page, at)
                 if name != "head":
-                    at = len(page)
+                    at = ended.start() if ended else len(page)
         yield start, at, name, closing, attributes
 
 
