@@ -118,3 +118,30 @@ def test_recall_on_reparameterised_questions(spark, how):
     found = {(r.doc_id, r.item_id) for r in d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert sum((i, i % 5) in found for i in range(100)) >= 90
     assert not {i for i, _ in found if i >= 1000} and not {(i, k) for i, k in found if k != i % 5}
+
+
+def test_runs_are_compared_whole(spark):
+    items = [(1, "They met Anna Bell Carl Dora Emil at the gate of the old town hall."), (2, "The row of numbers was 1 2 3 4 5 and nothing else stood on the board.")]
+    rows = [(1, items[0][1]), (2, items[1][1]), (3, items[0][1].replace("Emil", "Fritz")), (4, items[1][1].replace("4 5", "4 9"))]
+    found = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.verbatim for r in found} == {(1, 1): True, (2, 2): True, (3, 1): False, (4, 2): False}
+
+
+SHORT_FRAMES = [
+    "Compute {x} - {y} + {z}.", "Is {x} larger than {y}?", "{a} has {x} apples and {b} has {y}.", "How many legs do {x} spiders have?", "What is {x} percent of {y}?",
+    "If {a} is {x} and {b} is {y}, who is older?", "A box of {x} kg costs {y} euros.", "Divide {x} sweets among {y} children and {z} guests.",
+]
+
+
+def test_recall_on_short_questions(spark):
+    """Short frames with other numbers and names: nine in ten at least where three words are plain, and no text of ordinary
+    words. The first frame has one plain word and is sought with its own numbers only."""
+    rng = random.Random(5)
+    items = [(k, filled(rng, frame)) for k, frame in enumerate(SHORT_FRAMES)]
+    rows = [(i, f"Something stands before it, as ever. {filled(rng, SHORT_FRAMES[i % 8])} And something after it.") for i in range(160)]
+    clean = ["We compute 7 and go on.", "He is larger than she is.", "The train has 12 coaches and the bus has none.", "A box of tea costs 4 euros.", "How many legs do they have?", "What is left of it?", "Peter is 5 and lives in the house of Anna."]
+    rows += [(1000 + i, t) for i, t in enumerate(clean)]
+    found = {(r.doc_id, r.item_id) for r in d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hit = [sum((i, k) in found for i in range(k, 160, 8)) for k in range(8)]
+    assert hit[0] == 0 and sum(hit[1:]) >= 126, hit
+    assert not {(i, k) for i, k in found if i >= 1000 or k != i % 8}

@@ -67,25 +67,19 @@ def template(text: Column) -> Column:
 
 
 def described(df: DataFrame, text: Column) -> DataFrame:
-    """df with `raw` (words), `kinds` (their kinds), `canon` (the template) and `slots` (the words behind it, of a run the
-    first four)."""
+    """df with `raw` (words), `kinds` (their kinds), `canon` (the template) and `slots` (the words behind it, all those of a
+    run)."""
 
     def one(tokens: Column, word: Column, at: Column) -> Column:
         kind, goes_on = typed(tokens, word, at)
         return F.struct(kind.alias("kind"), F.lower(word).alias("word"), goes_on.alias("on"))
 
-    def run(words: Column, p: Column, i: Column) -> Column:
-        more, same = [], F.lit(True)
-        for k in (1, 2, 3):
-            same = same & F.coalesce(F.get(words, i + k)["on"], F.lit(False))
-            more.append(F.when(same, F.get(words, i + k)["word"]))
-        return F.struct(p["kind"].alias("kind"), p["on"].alias("on"), F.concat_ws(" ", p["word"], *more).alias("word"))
-
     all_words = let(tokens_of(text), lambda tokens: F.filter(F.transform(tokens, lambda w, i: one(tokens, w, i)), lambda p: p["kind"].isNotNull()))
     named = df.withColumn("pairs", all_words)
-    named = named.withColumn("short", F.filter(let(F.col("pairs"), lambda words: F.transform(words, lambda p, i: run(words, p, i))), lambda p: ~p["on"]))
-    columns = {"raw": F.col("pairs")["word"], "kinds": F.col("pairs")["kind"], "canon": F.col("short")["kind"], "slots": F.col("short")["word"]}
-    return named.withColumns(columns).drop("pairs", "short")
+    written = F.array_join(F.transform("pairs", lambda p: F.concat(F.when(p["on"], F.lit(" ")).otherwise(F.lit("\x03")), p["word"])), "")
+    slots = F.filter(F.split(written, "\x03"), lambda w: w != "")
+    columns = {"raw": F.col("pairs")["word"], "kinds": F.col("pairs")["kind"], "canon": F.filter("pairs", lambda p: ~p["on"])["kind"], "slots": slots}
+    return named.withColumns(columns).drop("pairs")
 
 
 def windows(words: Column, kind: str, length: int) -> Column:
@@ -109,14 +103,24 @@ KINDS, SHORT, BAND = ("canon", "raw"), 4, 64
 
 
 def sought_windows(items: DataFrame, length: int) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """Windows (item, version, kind, n, item_at, hash) of items, and the kinds and lengths that there are."""
-    least = {"canon": F.least(F.size("canon"), F.lit(length)), "raw": F.least(F.size("raw"), F.lit(min(SHORT, length)))}
-    found = items.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), least[k].alias("n")) for k in KINDS))).alias("f")).distinct()
+    """Windows (item, version, kind, n, item_at, hash) of items, and the kinds and lengths that there are.
+
+    A template window of a longer item needs three plain words of eight. An item of one window at most is sought as a whole if it
+    has three plain words, and without its first word, which may be a name, if three are left.
+    """
+    size = F.size("canon")
+    least = {"canon": F.least(size, F.lit(length)), "raw": F.least(F.size("raw"), F.lit(min(SHORT, length)))}
+    lengths = [F.struct(F.lit(k).alias("kind"), least[k].alias("n")) for k in KINDS] + [F.struct(F.lit("canon").alias("kind"), F.when((size <= length) & (size > SHORT), size - 1).alias("n"))]
+    found = items.select(F.explode(F.array(*lengths)).alias("f")).where("f.n is not null").distinct()
     kinds = sorted((r.f.kind, r.f.n) for r in found.collect())  # length + SHORT rows at most
     out = items.select("item", "version", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("kind"), F.lit(0).alias("n")).limit(0)
     for kind, n in kinds:
-        one = items.where(least[kind] == n).select("item", "version", "canon", F.posexplode(windows(F.col(kind), kind, n)).alias("item_at", "hash"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
-        out = out.unionByName(one.where((F.lit(kind) == "raw") | (2 * literals(F.col("canon"), F.col("item_at"), n) >= length)).drop("canon"))
+        plain = literals(F.col("canon"), F.col("item_at"), n)
+        whole, headless = (size == n) & (plain >= 3), (size == n + 1) & (size <= length) & (F.col("item_at") == 1) & (plain >= 3)
+        good = F.lit(True) if kind == "raw" else F.when(size <= length, whole | headless).otherwise(8 * plain >= 3 * length)
+        one = items.where((least[kind] == n) | (F.lit(kind == "canon") & (size <= length) & (size == n + 1)))
+        one = one.select("item", "version", "canon", F.posexplode(windows(F.col(kind), kind, n)).alias("item_at", "hash"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
+        out = out.unionByName(one.where(good).drop("canon"))
     return out.distinct(), kinds
 
 
@@ -152,8 +156,9 @@ def contaminated(
 
     Returns (id_col, item_col, covered, n_words, n_slots, verbatim), one row per pair: words of the item covered by
     matching windows, its words (of its template, where that matches best), its placeholders among them, and whether those
-    hold the item's own words. An item shorter than a window is sought as one window of its length. Template windows
-    with fewer than length / 2 other words are sought with the item's own words only, not with other numbers or names.
+    hold the item's own words. An item shorter than a window is sought as one window of its length, and its numbers
+    only against as many numbers. Windows with too few plain words, see sought_windows(), are sought with the item's
+    own words only, not with other numbers or names.
     Where the template matches more of an item than anything else and its slots contradict each other, the pair is none. An item
     without words, a null or empty text, and null ids never match. Repeated documents or items give one row per pair of
     ids (of equal ids with different texts, and of several copies in one text, the best match). Texts of any length are cut
@@ -198,11 +203,13 @@ def contaminated(
     matched = F.when(F.col("kind") == "canon", F.transform(in_template, lambda w: told(w, F.col("i_slots"), F.col("slots"), shift_of(w)))).otherwise(
         F.transform(in_words, lambda w: told(w, F.col("i_raw"), F.col("raw"), F.coalesce(shift_of(w), shift_of(w - 1))))
     )
-    both = both.select("doc", "item", "kind", "words", "n_words", F.size(matched).alias("n_slots"), F.array_distinct(matched).alias("matched"))
+    both = both.select("doc", "item", "kind", "words", "n_words", F.size(matched).alias("n_slots"), F.array_distinct(matched).alias("matched"), (F.size("i_canon") <= length).alias("one_window"))
+    digit = lambda w: F.coalesce(F.substring(w, 1, 1).between("0", "9"), F.lit(False))
+    numbers = F.forall("matched", lambda m: ~digit(m["a"]) | (digit(m["b"]) & (F.size(F.split(m["a"], " ")) == F.size(F.split(m["b"], " ")))))
     one_to_one = (F.size(F.array_distinct(F.col("matched")["a"])) == F.size("matched")) & (F.size(F.array_distinct(F.col("matched")["b"])) == F.size("matched"))
     verbatim = F.forall("matched", lambda m: F.coalesce(m["a"] == m["b"], F.lit(False))) & (F.size("words") >= coverage * F.col("n_words"))
     best_of = F.struct((F.size("words") / F.col("n_words")).alias("share"), verbatim.alias("verbatim"), F.size("words").alias("covered"), F.col("n_words"), F.col("n_slots"))
-    both = both.withColumn("agrees", one_to_one)
+    both = both.withColumn("agrees", one_to_one & (~F.col("one_window") | numbers))
     against = F.coalesce(F.max(F.when(~F.col("agrees") & (F.col("kind") == "canon"), F.size("words") / F.col("n_words"))), F.lit(0.0)).alias("against")
     found = both.groupBy("doc", "item").agg(F.max(F.when(F.col("agrees"), best_of)).alias("b"), against).where("b is not null and b.share >= against")
     return found.select(
