@@ -1,3 +1,5 @@
+import random
+
 from visagelake.llm import chat
 
 A = "The lake is frozen today.\nWho wants to skate?"
@@ -79,3 +81,42 @@ def test_tables(spark):
     messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert sorted((r.conv_id, r.turn, r.text) for r in chat.link(messages).collect()) == sorted((r.conv_id, r.turn, r.text) for r in messages.collect())
     assert chat.conversations(chat.link(messages.limit(0))).collect() == []
+
+
+def test_short_parts_of_lines_against_a_plain_search(spark):
+    """Quotes of one line and two to five words; the search shares no code with the operator."""
+    draw, rows, want = random.Random(3), [], {}
+    names = [f"w{i}" for i in range(14)]
+    for conv in range(25):
+        said = []
+        for turn in range(12):
+            own = [draw.choice(names) for _ in range(draw.randint(2, 9))]
+            quote = []
+            if turn % 2:
+                of = draw.choice(said)
+                at = draw.randint(0, len(of) - 2)
+                quote = of[at : at + draw.randint(2, 5)]
+            whole = [t for t, x in enumerate(said) if x == quote and len(quote) < 5]
+            within = [t for t, x in enumerate(said) if quote and any(x[i : i + len(quote)] == quote for i in range(len(x)))]
+            want[conv, turn] = (whole or within or [None])[0]
+            rows.append((conv, turn, "u", (f"> {' '.join(quote).upper()}\n" if quote else "") + " ".join(own)))
+            said.append(own)
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.reply_turn for r in got} == want and all(r.reply_conv in (None, r.conv_id) for r in got)
+    assert sum(t is not None for t in want.values()) == 25 * 6
+
+
+def test_short_parts_do_not_leave_their_conversation(spark):
+    rows = [(1, 0, "u", "The train leaves the old station at six."), (1, 1, "u", "> The train leaves the\nWhich one?"), (2, 0, "u", "> train leaves the\nElsewhere."), (1, 2, "u", "> station\nOne word of a line."), (1, 3, "u", "> leaves later\nNobody said so."), (1, 4, "u", "leaves later, then")]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (None, None), (1, 1): (1, 0), (2, 0): (None, None), (1, 2): (None, None), (1, 3): (None, None), (1, 4): (None, None)}
+
+
+def test_order_of_conversations_from_a_column(spark):
+    line = "Seven grey geese crossed the river before the storm."
+    rows = [("9", 0, "u", line, 1), ("10", 0, "u", f"> {line}\nI saw them too.", 2), ("8", 0, "u", f"> {line}\nEarlier than all.", 0), ("7", 0, "u", f"> {line}\nNo time known.", None)]
+    messages = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, at long")
+    by_time = {r.conv_id: r.reply_conv for r in chat.link(messages, "at").collect()}
+    assert by_time == {"9": None, "10": "9", "8": None, "7": None}
+    by_id = {r.conv_id: r.reply_conv for r in chat.link(messages).collect()}
+    assert by_id == {"9": None, "10": None, "8": None, "7": None}
