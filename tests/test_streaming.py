@@ -22,6 +22,23 @@ def test_duplicates_within_the_watermark(spark, tmp_path):
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["/a.jpg", "/c.png"]
 
 
+def test_one_job_a_day_and_state_that_shrinks(spark, tmp_path):
+    at = lambda hours: AT + datetime.timedelta(hours=hours)
+    days = [[("/a.jpg", at(1)), ("/a.jpg", at(2)), ("/b.png", at(3))], [("/a.jpg", at(24 * 4)), ("/b.txt", at(24 * 4))], [("/a.jpg", at(24 * 4 + 1)), ("/c.jpg", at(24 * 4 + 2)), ("/late.jpg", at(5))]]
+    files(spark, days[:1], "path string, at timestamp", tmp_path / "in")
+    stream = jobs.once_per_day(jobs.discover(jobs.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)))
+    kept = []
+    for n in range(len(days)):
+        if n:
+            files(spark, days[n : n + 1], "path string, at timestamp", tmp_path / "in")
+        run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.path, r.day) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("/a.jpg", AT), ("/a.jpg", at(24 * 4)), ("/b.png", AT), ("/c.jpg", at(24 * 4))]
+    assert kept == [2, 1, 2]  # the first day's ids are gone
+
+
 def test_failures_leave_the_state(spark, tmp_path):
     rows = [[("failed", AT), ("ok", AT), ("failed", AT + datetime.timedelta(minutes=5))], [("failed", AT + datetime.timedelta(days=3))]]
     files(spark, rows, "status string, at timestamp", tmp_path / "in")

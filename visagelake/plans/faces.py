@@ -556,7 +556,12 @@ def stream_discovery(spark, sf_dir):
 
 @query("SELECT DISTINCT 'process-' || substr(sha256('/photos/u' || user_id || '.jpg'), 1, 24) AS job_id FROM events WHERE event_type <> 'view'")
 def stream_dedupe(spark, sf_dir):
-    return finished(spark, jobs.once_per_path(jobs.discover(event_paths(spark, sf_dir)), "36500 days")).select("job_id")
+    return finished(spark, jobs.once_per_path(jobs.discover(event_paths(spark, sf_dir)))).select("job_id")
+
+
+@query("SELECT DISTINCT 'process-' || substr(sha256('/photos/u' || user_id || '.jpg'), 1, 24) AS job_id, date_trunc('day', ts) AS day FROM events WHERE event_type <> 'view'")
+def stream_daily_jobs(spark, sf_dir):
+    return finished(spark, jobs.once_per_day(jobs.discover(event_paths(spark, sf_dir)))).select("job_id", "day")
 
 
 @query("SELECT CASE WHEN event_type = 'click' THEN 'failed' ELSE 'ok' END AS status, count(*) AS jobs FROM events GROUP BY 1")

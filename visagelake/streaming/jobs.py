@@ -29,6 +29,12 @@ def once_per_path(jobs: DataFrame, within: str = FAILURES_KEPT) -> DataFrame:
     return jobs.withWatermark("at", within).dropDuplicatesWithinWatermark(["job_id"])
 
 
+def once_per_day(jobs: DataFrame, within: str = "48 hours") -> DataFrame:
+    """The first job of every id and day, with the day as a column; a path that comes again on another day is a new job.
+    Days that lie as long as within before the latest one leave the state, and later jobs of theirs are dropped."""
+    return jobs.withColumn("day", F.date_trunc("day", "at")).withWatermark("day", within).dropDuplicates(["job_id", "day"])
+
+
 def running_counts(results: DataFrame) -> DataFrame:
     """Counts of job results by status, for the update or complete mode."""
     return results.groupBy("status").agg(F.count("*").alias("jobs"))
