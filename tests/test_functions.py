@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from visagelake.functions import catalog, decode, paths, records
@@ -173,6 +174,24 @@ def test_image_files_through_the_hooks(spark, tmp_path):
     assert units[7].status == "error" and abs(sum(v * v for v in units[98].embedding) - 1) < 1e-6
 
 
+def test_few_prepared_crops_are_held_at_once():
+    held, most = [0], []
+    crops = pd.DataFrame({"crop_h": [1] * 200, "crop_w": [1] * 200, "crop": [bytes([k % 250, 1, 2]) for k in range(200)]})
+
+    def prepare(image):
+        held[0] += 1
+        most.append(held[0])
+        return np.full((1 << 18,), image[0, 0, 0], dtype=np.float32)  # 1 MiB
+
+    def model(x):
+        held[0] -= len(x)
+        return x[:, :1]
+
+    got = list(inference.run_together(crops, prepare, model))
+    assert [(i, v[0], e) for i, v, e in got] == [(k, k % 250, None) for k in range(200)]
+    assert max(most) <= inference.MODEL_ROWS + 1
+
+
 def test_preprocessing_against_loops():
     image = np.random.default_rng(3).integers(0, 256, (5, 7, 3)).astype(np.uint8)
     for tool, (size, channels, scale, norm) in inference.PREPROCESS.items():

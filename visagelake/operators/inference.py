@@ -25,8 +25,8 @@ PREPROCESS = {
 }
 DETECTED = "media_id bigint, face_index int, bbox array<double>, det_score double, landmarks array<array<double>>, status string, error string"
 CROPS = "media_id bigint, face_index int, crop_h int, crop_w int, crop binary, status string, error string"
-#: Crops that a model gets together.
-MODEL_ROWS = 32
+#: Crops that a model gets together, and bytes of their prepared inputs.
+MODEL_ROWS, MODEL_BYTES = 32, 32 << 20
 
 
 def pixels(height: int, width: int, data: bytes) -> np.ndarray:
@@ -80,10 +80,10 @@ def resized(image: np.ndarray, size: int) -> np.ndarray:
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    a = image.astype(np.float32)
-    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx
-    low = a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx
-    return top * (1 - fy) + low * fy
+    need = np.unique(np.concatenate([y0, y1]))  # rows are stretched once, however many of the result they give
+    a = image[need].astype(np.float32)
+    rows = a[:, x0] * (1 - fx) + a[:, x1] * fx
+    return rows[np.searchsorted(need, y0)] * (1 - fy) + rows[np.searchsorted(need, y1)] * fy
 
 
 def preprocessed(image: np.ndarray, tool: str) -> np.ndarray:
@@ -99,25 +99,35 @@ def preprocessed(image: np.ndarray, tool: str) -> np.ndarray:
 
 
 def run_together(crops: pd.DataFrame, prepare: Callable[[np.ndarray], np.ndarray], model: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
-    """(row, output, error) of crops in groups of MODEL_ROWS; where a group fails, its crops run one by one, so that only the
-    faulty ones give errors."""
-    inputs: list[tuple[int, np.ndarray]] = []
+    """(row, output, error) of crops in groups of MODEL_ROWS and MODEL_BYTES of input at most, prepared one group at a time; where a
+    group fails, its crops run one by one, so that only the faulty ones give errors."""
+    group: list[tuple[int, np.ndarray]] = []
+    held = 0
     for i, r in enumerate(crops.itertuples()):
         try:
-            inputs.append((i, prepare(pixels(r.crop_h, r.crop_w, r.crop))))
+            one = prepare(pixels(r.crop_h, r.crop_w, r.crop))
         except Exception as error:  # noqa: BLE001  any fault of a crop is the row's
             yield i, None, f"{type(error).__name__}: {error}"
-    for at in range(0, len(inputs), MODEL_ROWS):
-        group = inputs[at : at + MODEL_ROWS]
-        try:
-            out = np.asarray(model(np.stack([x for _, x in group])), dtype=np.float64).reshape(len(group), -1)
-            yield from ((i, v, None) for (i, _), v in zip(group, out, strict=True))
-        except Exception:  # noqa: BLE001  found again, and told, one by one
-            for i, x in group:
-                try:
-                    yield i, np.asarray(model(x[None]), dtype=np.float64).reshape(-1), None
-                except Exception as error:  # noqa: BLE001  any fault of a user's model is the row's
-                    yield i, None, f"{type(error).__name__}: {error}"
+            continue
+        if group and (len(group) == MODEL_ROWS or held + one.nbytes > MODEL_BYTES):
+            yield from run_group(group, model)
+            group, held = [], 0
+        group.append((i, one))
+        held += one.nbytes
+    if group:
+        yield from run_group(group, model)
+
+
+def run_group(group: list[tuple[int, np.ndarray]], model: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    try:
+        out = np.asarray(model(np.stack([x for _, x in group])), dtype=np.float64).reshape(len(group), -1)
+        yield from ((i, v, None) for (i, _), v in zip(group, out, strict=True))
+    except Exception:  # noqa: BLE001  found again, and told, one by one
+        for i, x in group:
+            try:
+                yield i, np.asarray(model(x[None]), dtype=np.float64).reshape(-1), None
+            except Exception as error:  # noqa: BLE001  any fault of a user's model is the row's
+                yield i, None, f"{type(error).__name__}: {error}"
 
 
 def model_rows(crops: DataFrame, output: str, prepare: Callable[[np.ndarray], np.ndarray], build: Callable[[], Callable[[np.ndarray], np.ndarray]], finish=lambda v: v) -> DataFrame:
