@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -117,6 +118,31 @@ def test_discovery_step_against_brute_force(spark):
     assert want and secrets.most_steps(secrets.scan(docs, "text"), 0.1) == want
 
 
+def test_every_text_is_counted_at_every_length(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text] + ["Some words of an ordinary text 2024 " * 9000, "", "short", "  "]
+    want = {}
+    for text in texts:
+        for encoding, line in secrets.ordinary(text).items():
+            for length in secrets.LENGTH_CLASSES:
+                rows = line[: len(line) // length * length].reshape(-1, length)
+                rows = rows[(secrets.CLASS_OF[encoding][rows] < 2).any(axis=1)]
+                for step in secrets.battery(rows, encoding).tolist() if len(rows) else []:
+                    want[f"{encoding}:{length}", step] = want.get((f"{encoding}:{length}", step), 0) + 1
+    assert len({family for family, _ in want}) == len(secrets.ENCODINGS) * len(secrets.LENGTH_CLASSES)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for row in secrets.scan(docs, "text").collect():
+        for n in row["__null"]:
+            got[n.family, n.step] = got.get((n.family, n.step), 0) + n.n
+    assert got == want
+
+
+def test_tails():
+    z = np.array([-30.0, -9.99, -1.2345, 0.0, 0.77777, 5.00005, 36.9, 60.0])
+    want = [-math.log(max(0.5 * math.erfc(v / math.sqrt(2)), 1e-300)) for v in z]
+    assert np.allclose(secrets.log_tail(z), want, rtol=0, atol=1e-7)
+
+
 def test_battery():
     """Random tokens are rejected as often as the level says; words are."""
     draw = np.random.default_rng(4)

@@ -8,7 +8,7 @@ joins them.
 
 The hypothesis that is put to the test is that a token is ordinary. How random ordinary tokens look is counted over the
 whole corpus, per encoding and length class: the words of every text, written together as names are and cut into
-tokens, go through the same battery (words of standard modules' documentation are counted in, so that small corpora have
+tokens of every length class, go through the same battery (words of standard modules' documentation are counted in, so that small corpora have
 a measure too). A candidate's p-value is the share of ordinary tokens that look as random as it does, and the
 Benjamini-Hochberg rule per encoding and length class keeps the expected share of ordinary tokens among the reported
 ones at `fdr`. Short tokens are reported only where they stand out from the ordinary ones of their length.
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ STANDARD = " ".join(m.__doc__ or "" for m in (argparse, doctest, json, logging,
 TOGETHER = 1_000_000
 #: Letters of tokens that go through the battery together.
 LETTERS = 100_000
+#: Lines of letters are counted in parts of so many: tokens of no length class lie across two.
+PART = 4 * math.lcm(*LENGTH_CLASSES)
 #: How far from random a token looks, -ln of the joined p-value, is kept in steps, for a histogram of bounded size.
 STEPS, MOST = 20, 1000
 #: Step from which a token is told from random ones at the level 0.01.
@@ -105,9 +108,25 @@ def length_class(n: int) -> int:
     return max(k for k in LENGTH_CLASSES if k <= n)
 
 
-log_tail = np.frompyfunc(lambda z: -math.log(max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)), 1, 1)
+#: Bounds and steps a unit of the table of normal tails; linear in between, within 1e-8.
+TAIL_FROM, TAIL_TO, TAIL_STEPS = -10, 40, 5000
 
 
+@cache
+def tails() -> np.ndarray:
+    z = np.arange(TAIL_FROM * TAIL_STEPS, TAIL_TO * TAIL_STEPS + 2) / TAIL_STEPS
+    return np.array([-math.log(max(0.5 * math.erfc(v / math.sqrt(2)), 1e-300)) for v in z.tolist()])
+
+
+def log_tail(z: np.ndarray) -> np.ndarray:
+    """-ln of the chance that a normal variable exceeds z."""
+    table = tails()
+    at = (np.clip(z, TAIL_FROM, TAIL_TO) - TAIL_FROM) * TAIL_STEPS
+    low = at.astype(np.int32)
+    return table[low] + (at - low) * (table[low + 1] - table[low])
+
+
+@cache
 def bins_of(encoding: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins of an alphabet for tokens of a length, each within one class of letters, and the expected counts; four a bin where it can be."""
     kinds, size = CLASS_OF[encoding], len(ENCODINGS[encoding])
@@ -120,33 +139,47 @@ def bins_of(encoding: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.array(expected)
 
 
-def battery(places: np.ndarray, encoding: str) -> np.ndarray:
-    """Steps of -ln of the joined p-value of tokens of one length (rows of places in the alphabet): large for ordinary ones."""
+def squares_of(places: np.ndarray, encoding: str) -> np.ndarray:
+    """Chi-squared of tokens of one length (rows of places in the alphabet) against a uniform alphabet."""
     rows, n = places.shape
     most = max(1, LETTERS // n)
     if rows > most:
-        return np.concatenate([battery(places[at : at + most], encoding) for at in range(0, rows, most)])
-    size, kinds = len(ENCODINGS[encoding]), CLASS_OF[encoding]
+        return np.concatenate([squares_of(places[at : at + most], encoding) for at in range(0, rows, most)])
     bins, expected = bins_of(encoding, n)
     own = bins[places] + np.arange(rows)[:, None] * len(expected)
-    counts = np.bincount(own.ravel(), minlength=rows * len(expected)).reshape(rows, -1)
-    squares = ((counts - expected) ** 2 / expected).sum(axis=1)
-    free = len(expected) - 1
+    counts = np.bincount(own.ravel(), minlength=rows * len(expected)).reshape(rows, -1).astype(float)
+    return (counts * counts) @ (1 / expected) - n
+
+
+def joined_steps(squares: np.ndarray, changes: np.ndarray, products: np.ndarray, encoding: str, n: int) -> np.ndarray:
+    """Steps of -ln of the joined p-value of tokens of n letters, by their chi-squared, their changes between classes of letters,
+    and the sum of products of neighbouring places, each counted from the middle of the alphabet."""
+    size, kinds = len(ENCODINGS[encoding]), CLASS_OF[encoding]
+    free = len(bins_of(encoding, n)[1]) - 1
     spread = 2 / (9 * free)
     uniform = log_tail((np.cbrt(np.maximum(squares, 1e-12) / free) - 1 + spread) / math.sqrt(spread))  # Wilson and Hilferty
     part = np.bincount(kinds, minlength=3) / size
     change, twice = 1 - (part**2).sum(), (part * (1 - part) ** 2).sum()
-    found = kinds[places]
-    changes = (found[:, 1:] != found[:, :-1]).sum(axis=1)
     wide = math.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * (twice - change * change))
     runs = log_tail(((n - 1) * change - changes - 0.5) / wide)  # ordinary tokens change less often
-    centred = places - (size - 1) / 2
-    serial = np.abs((centred[:, 1:] * centred[:, :-1]).sum(axis=1)) / math.sqrt(n - 1) / ((size * size - 1) / 12)
-    half = (uniform + runs + np.maximum(log_tail(serial) - math.log(2), 0)).astype(float)
+    serial = np.abs(products) / math.sqrt(n - 1) / ((size * size - 1) / 12)
+    half = uniform + runs + np.maximum(log_tail(serial) - math.log(2), 0)
     joined = half - np.log1p(half + half * half / 2)
     return np.minimum(MOST, STEPS * joined).astype(np.int64)
 
 
+def battery(places: np.ndarray, encoding: str) -> np.ndarray:
+    """Steps of tokens of one length (rows of places in the alphabet): large for ordinary ones."""
+    rows, n = places.shape
+    most = max(1, LETTERS // n)
+    if rows > most:
+        return np.concatenate([battery(places[at : at + most], encoding) for at in range(0, rows, most)])
+    found = CLASS_OF[encoding][places]
+    changes = (found[:, 1:] != found[:, :-1]).sum(axis=1)
+    centred = places - (len(ENCODINGS[encoding]) - 1) / 2
+    return joined_steps(squares_of(places, encoding), changes, (centred[:, 1:] * centred[:, :-1]).sum(axis=1), encoding, n)
+
+
 def steps_of(tokens: list[tuple[str, str]]) -> list[int]:
     """Steps of tokens (encoding, body), those of one encoding and length together."""
     together = defaultdict(list)
@@ -171,9 +204,9 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
     return found
 
 
-def ordinary(text: str, length: int) -> dict[str, np.ndarray]:
-    """Ordinary tokens of a length from the words of a whole text, by encoding: the words written together, with
-    capitals in front and numbers here and there, for base 64; the letters that an encoding has, for the others."""
+def ordinary(text: str) -> dict[str, np.ndarray]:
+    """Lines of letters that ordinary tokens are cut from, of a whole text by encoding, as places in the alphabet: the words
+    written together, with capitals in front and numbers here and there, for base 64; the letters that an encoding has, for the others."""
     raw = np.frombuffer(RUN.sub(" ", text).encode("utf-8", "replace"), dtype=np.uint8)
     letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
     kept = letter | ((raw >= 48) & (raw <= 57))
@@ -183,39 +216,66 @@ def ordinary(text: str, length: int) -> dict[str, np.ndarray]:
         for k, digit in enumerate(f"20{zlib.crc32(raw) % 100:02d}"):
             names[20 + k :: 24] = ord(digit)
     small, large = np.where(letter, raw | 32, raw), np.where(letter, raw & 0xDF, raw)
-    out = {}
-    for encoding, line in (("base64", names), ("hex_lower", small), ("hex_upper", large), ("base32", large)):
-        places = PLACE_OF[encoding][line]
-        places = places[places >= 0]
-        places = places[: len(places) // length * length].reshape(-1, length)
-        some = (CLASS_OF[encoding][places] < 2).any(axis=1)
-        if some.any():
-            out[encoding] = places[some]
-    return out
-
+    lines = {name: PLACE_OF[name][line] for name, line in (("base64", names), ("hex_lower", small), ("hex_upper", large), ("base32", large))}
+    return {name: line[line >= 0] for name, line in lines.items()}
+
+
+FAMILIES = [(encoding, length) for encoding in ENCODINGS for length in LENGTH_CLASSES]
+
+
+def line_counts(lines: list[np.ndarray], encoding: str, length: int, sums: tuple[np.ndarray, ...]) -> np.ndarray:
+    """How many tokens of a length have each step, every line being cut from its start; tokens without a letter don't count."""
+    line, letters, changes, products = sums
+    sizes = np.array([len(x) for x in lines])
+    n = sizes // length
+    starts = np.repeat(np.cumsum(sizes) - sizes - length * (np.cumsum(n) - n), n) + length * np.arange(n.sum())
+    starts = starts[letters[starts + length] > letters[starts]]
+    if not len(starts):
+        return np.zeros(MOST + 1, dtype=np.int64)
+    ends = starts + length - 1
+    places = np.lib.stride_tricks.sliding_window_view(line, length)[starts]
+    steps = joined_steps(squares_of(places, encoding), changes[ends] - changes[starts], (products[ends] - products[starts]) / 4, encoding, length)
+    return np.bincount(steps, minlength=MOST + 1)
+
+
+def null_counts(texts: list[str]) -> np.ndarray:
+    """How many ordinary tokens of the texts have each step: a row for each of FAMILIES. The lines of every text are cut
+    into tokens of every length class."""
+    out = np.zeros((len(FAMILIES), MOST + 1), dtype=np.int64)
+    waiting, held = {name: [] for name in ENCODINGS}, dict.fromkeys(ENCODINGS, 0)
+
+    def count(encoding: str) -> None:
+        lines, waiting[encoding], held[encoding] = waiting[encoding], [], 0
+        line = np.concatenate(lines)
+        kind, twice = CLASS_OF[encoding][line], 2 * line.astype(np.int64) - (len(ENCODINGS[encoding]) - 1)
+        upto = lambda values: np.concatenate(([0], np.cumsum(values)))
+        sums = line, upto(kind < 2), upto(kind[1:] != kind[:-1]), upto(twice[1:] * twice[:-1])
+        for row, (name, length) in enumerate(FAMILIES):
+            if name == encoding:
+                out[row] += line_counts(lines, encoding, length, sums)
 
-def null_counts(texts: list[str]) -> dict[tuple[str, int], int]:
-    """How many ordinary tokens of the texts have each step, by family; a text's length class comes from its hash."""
-    together = defaultdict(list)
     for text in texts:
-        length = LENGTH_CLASSES[zlib.crc32(text.encode("utf-8", "replace")) // 2 % len(LENGTH_CLASSES)]
-        for encoding, places in ordinary(text, length).items():
-            together[encoding, length].append(places)
-    out = {}
-    for (encoding, length), parts in together.items():
-        counts = np.bincount(battery(np.concatenate(parts), encoding))
-        out |= {(f"{encoding}:{length}", int(step)): int(counts[step]) for step in np.flatnonzero(counts)}
+        for encoding, whole in ordinary(text).items():
+            for line in (whole[at : at + PART] for at in range(0, len(whole), PART)):
+                if len(line) >= LENGTH_CLASSES[0]:
+                    waiting[encoding].append(line)
+                    held[encoding] += len(line)
+                    if held[encoding] >= LETTERS:
+                        count(encoding)
+    for encoding in ENCODINGS:
+        if waiting[encoding]:
+            count(encoding)
     return out
 
 
+def count_rows(counts: np.ndarray) -> list[tuple[str, int, int]]:
+    """Rows (family, step, n) of null_counts()."""
+    return [("{}:{}".format(*FAMILIES[row]), int(step), int(counts[row, step])) for row, step in np.argwhere(counts)]
+
+
 def standard_counts() -> list[tuple[str, int, int]]:
     """Rows (family, step, n) of the ordinary tokens of STANDARD, at every length."""
-    out = []
-    for length in LENGTH_CLASSES:
-        for encoding, places in ordinary(STANDARD, length).items():
-            counts = np.bincount(battery(places, encoding))
-            out += [(f"{encoding}:{length}", int(step), int(counts[step])) for step in np.flatnonzero(counts)]
-    return out
+    return count_rows(null_counts([STANDARD]))
 
 
 BASE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("step", pa.int32())]))
@@ -223,9 +283,8 @@ FOUND_TYPE = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()),
 NULL_TYPE = pa.list_(pa.struct([("family", pa.string()), ("step", pa.int32()), ("n", pa.int64())]))
 
 
-def scanned_columns(texts: list[str | None]) -> list[pa.Array]:
-    """Columns base, found and null of texts. The ordinary tokens of all the texts are counted in the first row."""
-    texts = [t or "" for t in texts]
+def scanned_columns(texts: list[str]) -> list[pa.Array]:
+    """Columns base and found of texts."""
     spans = [base_spans(t) for t in texts]
     more = [candidates(t, s) for t, s in zip(texts, spans, strict=True)]
     values = [(infer_encoding(v), body_of(v)) for s in spans for *_, v in s]
@@ -238,19 +297,26 @@ def scanned_columns(texts: list[str | None]) -> list[pa.Array]:
         [{"family": f"{encoding}:{length_class(len(body_of(t[s:e])))}", "start": s, "end": e, "step": next(steps)} for encoding, s, e in some]
         for t, some in zip(texts, more, strict=True)
     ]
-    null = [[{"family": f, "step": step, "n": n} for (f, step), n in null_counts(texts).items()]] + [[]] * (len(texts) - 1)
-    return [pa.array(base, BASE_TYPE), pa.array(found, FOUND_TYPE), pa.array(null[: len(texts)], NULL_TYPE)]
+    return [pa.array(base, BASE_TYPE), pa.array(found, FOUND_TYPE)]
 
 
 def scan(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with base spans, candidates with their steps, and counts of ordinary tokens (columns __base, __found and
-    __null) of whole texts; a null text counts as an empty one."""
+    __null) of whole texts; a null text counts as an empty one. The ordinary tokens of all texts of a task are counted in its last row."""
     names = ["__base", "__found", "__null"]
     where = docs.columns.index(text_col)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, last, counts = [], None, np.zeros((len(FAMILIES), MOST + 1), dtype=np.int64)
         for batch in (part for whole in found for part in slices(whole, where, TOGETHER)):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *scanned_columns(batch.column(where).to_pylist())], names=[*batch.schema.names, *names])
+            if last is not None:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([[]] * last.num_rows, NULL_TYPE)], names=[*last.schema.names, *names])
+            texts = [t or "" for t in batch.column(where).to_pylist()]
+            columns, last = [*batch.columns, *scanned_columns(texts)], batch
+            counts += null_counts(texts)
+        if last is not None:
+            null = [{"family": f, "step": step, "n": n} for f, step, n in count_rows(counts)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([[]] * (last.num_rows - 1) + [null], NULL_TYPE)], names=[*last.schema.names, *names])
 
     from_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(batches, f"{from_schema}, __base {SPAN}, __found {FOUND}, __null {NULL}")
