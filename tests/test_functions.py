@@ -174,6 +174,14 @@ def test_image_files_through_the_hooks(spark, tmp_path):
     assert units[7].status == "error" and abs(sum(v * v for v in units[98].embedding) - 1) < 1e-6
 
 
+def test_landmark_maps_are_made_once(spark):
+    rows = [(1, {"nose_tip": [(1.0, 2.0)], "chin": [(3.0, 4.0), (5.0, 6.0)], "other": [(9.0, 9.0)]}), (2, {}), (3, None), (4, {"chin": []})]
+    df = spark.createDataFrame(rows, "id long, parts map<string, array<struct<x: double, y: double>>>")
+    assert [r.p for r in df.select("id", records.flat_landmarks(F.col("parts")).alias("p")).orderBy("id").collect()] == [[[3.0, 4.0], [5.0, 6.0], [1.0, 2.0]], None, None, None]
+    made = F.create_map(F.lit("made"), F.array().cast("array<struct<x: double, y: double>>"))
+    assert df.select(records.flat_landmarks(made).alias("p"))._jdf.queryExecution().analyzed().toString().count("map(made") == 1
+
+
 def test_few_prepared_crops_are_held_at_once():
     held, most = [0], []
     crops = pd.DataFrame({"crop_h": [1] * 200, "crop_w": [1] * 200, "crop": [bytes([k % 250, 1, 2]) for k in range(200)]})

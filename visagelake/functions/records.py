@@ -27,8 +27,9 @@ def flat_landmarks(parts: Column) -> Column:
     """Points of a map of landmark parts in their fixed order; null without any point."""
     point = lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))
     none = F.array().cast("array<struct<x:double,y:double>>")
-    points = F.flatten(F.array(*(F.transform(F.coalesce(F.try_element_at(parts, F.lit(k)), none), point) for k in LANDMARK_PARTS)))
-    return F.when(F.size(points) > 0, points)
+    listed = lambda m: F.flatten(F.array(*(F.coalesce(F.try_element_at(m, F.lit(k)), none) for k in LANDMARK_PARTS)))
+    found = F.transform(F.array(parts), lambda m: F.transform(listed(m), point))  # a list of one, so that the map is made once
+    return F.get(F.filter(found, lambda points: F.size(points) > 0), F.lit(0))
 
 
 def key_points(landmarks: Column, kps: Column) -> Column:
