@@ -68,3 +68,27 @@ def test_bounds_hold(spark):
     apart = cells.distances(x, x)
     bounds = units.bounds(x)
     assert all(bounds[i, unit[j]] <= apart[i, j] + cells.SLACK for i in range(len(x)) for j in range(len(x)))
+
+
+def test_faces_are_sent_to_few_blocks(spark):
+    assert [cells.blocks_of(n, 64, 2000) for n in (1, 4_000, 100_000, 1_000_000)] == [1, 2, 16, 16]
+    assert cells.blocks_of(10_000_000, 64, 2000) * cells.BLOCK_BYTES >= 10_000_000 * 64 * 8
+    rows, units, blocks = cells.asking_of(unit_faces(spark, identities(7, 30, 20)), 3, 10)
+    sizes = [r["count"] for r in rows.groupBy("block").count().collect()]
+    assert units.pieces.sum() > 16 and len(sizes) <= blocks == cells.BLOCKS and sum(sizes) == 600 and max(sizes) <= 150
+
+
+def test_equal_scores_go_by_key_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(cells, "ANSWERS", 7)
+    monkeypatch.setattr(cells, "ASKING", 11)
+    monkeypatch.setattr(cells, "AGAIN", 13)
+    x = np.tile(np.random.default_rng(3).standard_normal((6, 64)), (25, 1))
+    held = cells.Held(4, alike=True)
+    u = vectors.unit_rows(x)
+    keys = np.arange(len(u))
+    held.ask(keys // 3, keys % 3, u, np.full(len(u), -1.0))
+    for some in np.array_split(np.random.default_rng(4).permutation(len(u)), 5):
+        held.answer(some // 3, some % 3, u[some])
+    out = held.found().to_pylist()
+    got = {(r["media_id"] * 3 + r["face_index"], r["neighbour_media"] * 3 + r["neighbour_face"]) for r in out}
+    assert got == {(i, j) for i in range(len(u)) for j in [j for j in range(i % 6, len(u), 6) if j != i][:4]}
