@@ -141,6 +141,75 @@ def test_edges_hold_the_tree_of_all(spark, x, block_rows):
     assert len(edges) == len(x) - 1 and sum(r.w for r in edges) == pytest.approx(want)
 
 
+def first_tree(node, x, core):
+    """The edges (a, b, w) of the minimum spanning tree over all pairs that come first in the order of (w, a, b)."""
+    pairs = []
+    for i in range(len(x)):
+        w = np.maximum(np.maximum(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), core), core[i])
+        pairs += [(float(w[j]), min(node[i], node[j]), max(node[i], node[j])) for j in range(i)]
+    part, tree = {k: k for k in node}, []
+    for w, a, b in sorted(pairs):
+        one, other = part[a], part[b]
+        if one != other:
+            part = {k: one if p == other else p for k, p in part.items()}
+            tree.append((a, b, w))
+    return sorted(tree)
+
+
+@pytest.mark.parametrize(("block_rows", "last", "few"), [(1500, 4000, 100_000), (23, 10, 40)])
+def test_the_first_tree_is_found_whatever_the_blocks(spark, monkeypatch, block_rows, last, few):
+    x = np.concatenate([blobs(3, 4, 20, 40), np.repeat(np.eye(16)[:2], 2, axis=0)])
+    unit = vectors.normalize(faces_of(spark, x)).withColumn("node", (F.col("media_id") * 3 + F.col("face_index")) * 37 % 1009)
+    cores = vectors.core_distance(unit, 2, 1500).localCheckpoint()
+    monkeypatch.setattr(clustering, "LAST", last)
+    monkeypatch.setattr(clustering, "FEW", few)
+    got = clustering.minimum_spanning_tree(clustering.spanning_edges(unit, cores, block_rows)).collect()
+    rows = unit.join(cores, vectors.KEY).collect()
+    want = first_tree([r.node for r in rows], np.array([r.embedding for r in rows]), np.array([r.core for r in rows]))
+    assert sorted(map(tuple, got)) == want
+
+
+def test_edges_grow_as_faces_do(spark):
+    for n in (400, 800):
+        unit = vectors.normalize(faces_of(spark, np.random.default_rng(n).standard_normal((n, 64)))).withColumn("node", F.col("media_id") * 3 + F.col("face_index"))
+        cores = vectors.core_distance(unit, 2, 50).localCheckpoint()
+        assert clustering.spanning_edges(unit, cores, 50).count() < 3 * n
+
+
+def test_bottlenecks_of_the_order(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = {(k - 1 - int(rng.integers(0, min(k, 9))), k): float(rng.integers(1, 30)) for k in range(1, 90)} | {(int(a), int(a + b)): float(w) for a, b, w in zip(rng.integers(0, 60, 60), rng.integers(1, 30, 60), rng.integers(1, 30, 60), strict=True)}
+    most = np.full((90, 90), np.inf)
+    for (a, b), w in edges.items():
+        most[a, b] = most[b, a] = min(w, most[a, b])
+    for k in range(90):
+        most = np.minimum(most, np.maximum(most[:, k][:, None], most[k]))
+    table = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, w double")
+    for few in (1000, 25):
+        monkeypatch.setattr(clustering, "FEW", few)
+        found = sorted(clustering.in_order(spark.range(90).select(F.col("id").alias("node")), table).collect(), key=lambda r: r.rank)
+        assert [r.rank for r in found] == list(range(90))
+        for i in range(90):
+            for j in range(i + 1, 90):
+                assert max(r.joins for r in found[i + 1 : j + 1]) == most[found[i].node, found[j].node]
+
+
+def test_forest_keeps_the_first_edges():
+    rng = np.random.default_rng(2)
+    node = rng.permutation(50)
+    a, b = rng.integers(0, 50, 600), rng.integers(0, 50, 600)
+    a, b = a[a != b], b[a != b]
+    w = rng.integers(0, 6, len(a)).astype(float)
+    at, want = list(range(50)), []
+    for k in sorted(range(len(a)), key=lambda k: (w[k], min(node[a[k]], node[b[k]]), max(node[a[k]], node[b[k]]))):
+        i, j = at[a[k]], at[b[k]]
+        if i != j:
+            at = [i if v == j else v for v in at]
+            want.append((w[k], *sorted((node[a[k]], node[b[k]]))))
+    got = clustering.forest(a, b, w, node)
+    assert sorted((w[k], *sorted((node[a[k]], node[b[k]]))) for k in got) == sorted(want)
+
+
 def test_identities_need_few_trees_of_two_pieces(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([c + rng.standard_normal((40, 8)) * 0.01 for c in rng.standard_normal((12, 8))])

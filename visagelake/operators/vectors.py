@@ -49,7 +49,12 @@ def top_k(faces: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
 
 def core_distance(faces: DataFrame, k: int = 2, block_rows: int = 2000) -> DataFrame:
     """(media_id, face_index, core): euclidean distance of unit vectors to the k-th other face; null with fewer."""
-    kth = top_k(faces, k, block_rows).where(F.col("rank") == k).select(*KEY, F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("core"))
+    return cores_of(faces, top_k(faces, k, block_rows), k)
+
+
+def cores_of(faces: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """core_distance() of faces whose k most similar ones are known."""
+    kth = near.where(F.col("rank") == k).select(*KEY, F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("core"))
     return faces.select(*KEY).join(kth, KEY, "left")
 
 
