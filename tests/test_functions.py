@@ -200,6 +200,47 @@ def test_few_prepared_crops_are_held_at_once():
     assert max(most) <= inference.MODEL_ROWS + 1
 
 
+def test_inputs_of_all_groups_lie_in_the_same_memory(spark):
+    sizes = [(4, 4), (3, 2), (9, 70), (1, 1), (200, 33)]
+    rng = np.random.default_rng(2)
+    images = [rng.integers(0, 256, (*sizes[k % 5], 3)).astype(np.uint8) for k in range(90)]
+    rows = [(k, 0, x.shape[0], x.shape[1], bytearray(x.tobytes() if k % 7 else b"0")) for k, x in enumerate(images)]
+    crops = spark.createDataFrame(rows, "media_id long, face_index int, crop_h int, crop_w int, crop binary").coalesce(1)
+    model = lambda: lambda x: np.stack([x[:, 0, 0, 0], x[:, -1, -1, -1], np.full(len(x), x.__array_interface__["data"][0] % 2**52)], axis=1).astype(np.float64)
+    got = {r.media_id: r for r in inference.analyze_crops(crops, "fairface", model).collect()}
+    assert all(got[k].status == ("ok" if k % 7 else "error") for k in range(90)) and len({got[k].scores[2] for k in range(90) if k % 7}) == 1
+    for k in range(1, 7):
+        want = inference.preprocessed(images[k], "fairface")
+        assert np.allclose(got[k].scores[:2], [want[0, 0, 0], want[-1, -1, -1]])
+    vectors = {r.media_id: r.embedding for r in inference.embed_crops(crops, lambda: lambda x: x[:, 5, 7, :]).collect() if r.status == "ok"}
+    for k, v in vectors.items():
+        want = inference.resized(images[k], 112)[5, 7].astype(np.float64)
+        assert np.allclose(v, want / np.linalg.norm(want))
+
+
+def test_a_model_may_write_into_its_inputs():
+    crops = pd.DataFrame({"crop_h": [1] * 9, "crop_w": [1] * 9, "crop": [bytes([k, k, k]) for k in range(9)]})
+
+    def model(x):
+        x += 1
+        if (x == 6).any():
+            raise ValueError("five")
+        return x[:, :1, 0, 0]
+
+    def prepare(image, out):
+        out[:] = image[0, 0, 0]
+        return out
+
+    got = list(inference.run_together(crops, prepare, model, np.empty((4, 1, 2, 2), dtype=np.float32)))
+    assert [(i, None if v is None else v[0], e) for i, v, e in got] == [(k, None, "ValueError: five") if k == 5 else (k, k + 1, None) for k in range(9)]
+
+
+def test_crops_are_dealt_by_rows(spark):
+    crops = spark.range(0, 1700, 1, 1).withColumn("crop", F.lit(b"x"))
+    sizes = [r.n for r in inference.dealt(crops).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1700 and len(sizes) == 4 and max(sizes) <= inference.TASK_ROWS
+
+
 def test_preprocessing_against_loops():
     image = np.random.default_rng(3).integers(0, 256, (5, 7, 3)).astype(np.uint8)
     for tool, (size, channels, scale, norm) in inference.PREPROCESS.items():

@@ -398,7 +398,9 @@ def form_sql(tool: str) -> str:
 
 @query(IMAGES + " UNION ALL ".join(map(form_sql, inference.PREPROCESS)))
 def preprocess_batch(spark, sf_dir):
-    crops = tables.save(little_crops(spark, sf_dir), "crops")
+    found = tables.save(little_crops(spark, sf_dir), "found")
+    crops = tables.save(inference.dealt(found), "crops")
+    tables.drop(found)
     corners = lambda: lambda x: np.stack([x[:, 0, 0, 0], x[:, -1, -1, -1]], axis=1)
     out = None
     for tool in inference.PREPROCESS:
