@@ -53,6 +53,18 @@ def test_equal_vectors_and_too_few(spark):
     assert vectors.top_k(unit_faces(spark, np.eye(3)).limit(0), 5).collect() == []
 
 
+def test_few_of_equal_vectors_answer(spark):
+    equal = np.repeat(np.eye(4)[:3], 400, axis=0)
+    faces = unit_faces(spark, equal[np.random.default_rng(7).permutation(len(equal))])
+    assert cells.met_share(faces, 2, 50) < 0.06  # their own pieces; a third of all pairs is of equal vectors
+    x = np.concatenate([identities(8, 3, 20), np.repeat(identities(9, 2, 1), 70, axis=0), identities(10, 4, 15)])
+    x = x[np.random.default_rng(11).permutation(len(x))]
+    assert found(vectors.top_k(unit_faces(spark, x), 4, 12)) == all_pairs(x, 4)
+    packed = unit_faces(spark, x).select(*cells.KEY, cells.as_bytes("embedding").alias("packed"))
+    kept = cells.few_equal(packed, 5)
+    assert kept.count() == len(x) - 2 * 65 and "WindowGroupLimit" in kept._jdf.queryExecution().toString()
+
+
 def test_identities_skip_most_pairs(spark):
     faces = unit_faces(spark, identities(5, 40, 50, dim=32, spread=0.02))
     assert cells.met_share(faces, 5, 50) < 0.25

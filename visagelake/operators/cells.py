@@ -264,12 +264,20 @@ def blocks_of(rows: int, components: int, block_rows: int) -> int:
     return max(1, min(BLOCKS, -(-rows // block_rows)), -(-rows * components * 8 // BLOCK_BYTES))
 
 
+def few_equal(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, packed, ..) without those that follow on `most` others of an equal vector, in the order of keys. Each task leaves out its own
+    before vectors are shuffled, so that no task gets all rows of a frequent one."""
+    place = F.row_number().over(Window.partitionBy("packed").orderBy(*KEY))
+    return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def meeting(asking: DataFrame, rows_of: Callable[[DataFrame], DataFrame], units: Units, blocks: int, k: int, alike: bool = True, count: bool = False) -> DataFrame:
     """Neighbours for asking (key, packed, least, block) among rows_of(pairs), rows (key, packed, unit) of the units of pairs: candidates
-    that hold the k best, or (met) how many pairs each task compared. alike: faces of one key are the same, and don't find themselves. Tasks are groups of a block and a slice of the answers, sorted so that the block comes first."""
+    that hold the k best, or (met) how many pairs each task compared. alike: faces of one key are the same, and don't find themselves. Of equal
+    vectors only the first k + 1 answer: the others can be among the k best of no face. Tasks are groups of a block and a slice of the answers, sorted so that the block comes first."""
     pairs = tables.small(tables.save(aimed(asking, units), "aims"), 1_000_000)
     part = lambda at: (F.col("block") * SLICES + at).cast("int").alias("group")
-    answers = rows_of(pairs).select(*KEY, "packed", "unit").join(pairs, "unit").select(part(F.pmod(F.xxhash64(*KEY, F.lit(2)), F.lit(SLICES))), "unit", *KEY, "packed", F.lit(0.0).alias("least"))
+    answers = few_equal(rows_of(pairs).select(*KEY, "packed", "unit"), k + 1).join(pairs, "unit").select(part(F.pmod(F.xxhash64(*KEY, F.lit(2)), F.lit(SLICES))), "unit", *KEY, "packed", F.lit(0.0).alias("least"))
     asked = asking.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select(part(F.col("at")), F.lit(-1).alias("unit"), *KEY, "packed", "least")
     sent = asked.unionByName(answers).repartitionById(blocks * SLICES, F.col("group")).sortWithinPartitions("group", "unit")
 
